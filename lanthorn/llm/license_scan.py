@@ -61,17 +61,21 @@ def _windows(text: Column, step: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)), F.lit(step))
         shingle = lambda i: F.xxhash64(F.slice(words, i, SHINGLE))
         pair = lambda i: F.struct(shingle(i).alias("h0"), shingle(F.least(i + 1, n - (SHINGLE - 1))).alias("h1"))
-        return F.when(n >= SHINGLE, F.transform(starts, pair))
+        low = lambda h: h.bitwiseAND(F.lit(LOW).cast("long"))
+        with_low = lambda w: F.struct(w["h0"], w["h1"], low(w["h0"]).alias("g0"), low(w["h1"]).alias("g1"))
+        return F.when(n >= SHINGLE, F.transform(F.transform(starts, pair), with_low))
 
     return F.element_at(F.transform(F.array(tokens(text)), of), 1)
 
 
-def _masks(p: Scan) -> list[int]:
-    return np.random.default_rng(p.seed).integers(0, (1 << 63) - 1, p.minima, dtype=np.int64).tolist()
+LOW = (1 << 31) - 1
 
 
-def _minimum(mask: int) -> str:
-    return f"least(h0 ^ {mask}L, h1 ^ {mask}L)"
+def _functions(p: Scan) -> list[str]:
+    """For each band the least of a universal hash (multiply by an odd number, modulo
+    2^31) over a window's shingles, as SQL. Short enough for the JVM to compile all."""
+    odd = np.random.default_rng(p.seed).integers(1, 1 << 30, p.minima) * 2 + 1
+    return [f"least((g0 * {a}L) & {LOW}L, (g1 * {a}L) & {LOW}L)" for a in odd.tolist()]
 
 
 def notices(spark, named: dict[str, str] | None = None) -> DataFrame:
@@ -86,9 +90,9 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, key: st
     spark = docs.sparkSession
     templates = (notices(spark) if templates is None else templates).select("template_id", "template")
     mine = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    masks = _masks(p)
+    minima = _functions(p)
     model = templates.select("template_id", F.inline(_windows(F.col("template"), 1)))
-    rows = model.select("template_id", "h0", "h1", F.array(*(F.expr(_minimum(m)) for m in masks)).alias("m")).limit(p.most_windows + 1).collect()
+    rows = model.select("template_id", "h0", "h1", F.array(*map(F.expr, minima)).alias("m")).limit(p.most_windows + 1).collect()
     if len(rows) > p.most_windows:
         raise ValueError("too many templates for one scan; scan them in parts")
     if not rows:
@@ -100,9 +104,9 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, key: st
     bands = F.broadcast(spark.createDataFrame(bands, "band int, m long, template_id string"))
     held = F.broadcast(spark.createDataFrame(held, "template_id string, h long"))
     sizes = F.broadcast(spark.createDataFrame(sorted(sizes.items()), "template_id string, template_shingles long"))
-    met = [f"{_minimum(mask)} in ({', '.join(str(v) + 'L' for v in sorted({r['m'][j] for r in rows}))})" for j, mask in enumerate(masks)]
+    met = [f"{least} in ({', '.join(f'{v}L' for v in sorted({r['m'][j] for r in rows}))})" for j, least in enumerate(minima)]
     cut = mine.select("doc_id", F.inline(_windows(F.col("text"), STEP))).where(" or ".join(met))
-    hits = cut.select("doc_id", "h0", "h1", F.posexplode(F.array(*(F.expr(_minimum(m)) for m in masks))).alias("band", "m"))
+    hits = cut.select("doc_id", "h0", "h1", F.posexplode(F.array(*map(F.expr, minima))).alias("band", "m"))
     hits = hits.join(bands, ["band", "m"]).select("doc_id", "template_id", F.explode(F.array("h0", "h1")).alias("h"))
     matched = hits.join(held, ["template_id", "h"]).groupBy("doc_id", "template_id").agg(F.count_distinct("h").alias("matched_shingles"))
     out = matched.join(sizes, "template_id")
