@@ -3,7 +3,10 @@
 The encoding of a prefix is the encoding of a shorter prefix plus one last token.
 That token is the only vocabulary entry which ends the prefix and whose boundary
 with the shorter prefix's last token no earlier merge would cross. A trie over a
-batch's distinct words therefore gives every shared prefix its last token once.
+batch's distinct words therefore gives every shared prefix its last token once. The
+sorted words are the trie in depth-first order: what two neighbours share is the path
+down to the node where they part, and its last tokens stay on a stack. An automaton over
+the vocabulary names the entries that end a prefix, longest first.
 
 Null and empty texts encode to no tokens. Repeated rows give repeated results.
 """
@@ -45,7 +48,6 @@ class Vocabulary:
         vocab = spec["model"]["vocab"]
         self.id_of = {of(p): i for p, i in vocab.items() if p not in self.added}
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: t.encode() for t, i in self.added.items()}
-        self.longest = max(map(len, self.id_of))
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank = dict.fromkeys(self.id_of.values(), -1)
         self.merged: dict[tuple[int, int], int] = {}
@@ -54,16 +56,57 @@ class Vocabulary:
             a, b, whole = self.id_of[left], self.id_of[right], self.id_of[left + right]
             self.merged[a, b] = rank
             self.parts[whole], self.rank[whole] = (a, b), rank
-        self.stays: dict[tuple[int, int], bool] = {}
+        self.stays: dict[int, bool] = {}
+        self._link()
         self.split = regex.compile(SPLIT).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda t: [t]
 
+    def _link(self) -> None:
+        """The automaton: ``goto`` (state * 256 + byte), and for each state the longest
+        token that ends its string; for each token the next shorter one that ends it."""
+        self.goto: dict[int, int] = {}
+        depth, whole = [0], [-1]
+        for piece, token in self.id_of.items():
+            at = 0
+            for byte in piece:
+                step = at * 256 + byte
+                if step not in self.goto:
+                    self.goto[step] = len(depth)
+                    depth.append(depth[at] + 1)
+                    whole.append(-1)
+                at = self.goto[step]
+            whole[at] = token
+        self.edges = dict(self.goto)
+        self.fail, self.ends = [0] * len(depth), list(whole)
+        self.size = [0] * (max(self.bytes_of) + 1)
+        for piece, token in self.id_of.items():
+            self.size[token] = len(piece)
+        self.names = list(map(str, range(len(self.size))))
+        self.shorter: dict[int, int] = {}
+        for step, state in sorted(self.edges.items(), key=lambda e: depth[e[1]]):
+            parent, byte = divmod(step, 256)
+            if parent:
+                self.fail[state] = self._next(self.fail[parent], byte)
+            behind = self.ends[self.fail[state]] if parent else -1
+            if whole[state] >= 0:
+                self.shorter[whole[state]] = behind
+            else:
+                self.ends[state] = behind
+
+    def _next(self, state: int, byte: int) -> int:
+        """The state after a byte; found by failure links once, then known."""
+        step = state * 256 + byte
+        while (goal := self.edges.get(state * 256 + byte)) is None and state:
+            state = self.fail[state]
+        if len(self.goto) > 2_000_000:
+            self.goto.clear()
+            self.goto.update(self.edges)
+        self.goto[step] = goal = goal or 0
+        return goal
+
     def boundary_holds(self, left: int, right: int) -> bool:
         """Whether no merge joins the end of ``left`` to the start of ``right`` while
         both are being built. The pieces that touch are followed back in time."""
-        known = self.stays.get((left, right))
-        if known is not None:
-            return known
         x, y, x_ends, y_ends, holds = left, right, float("inf"), float("inf"), True
         while holds:
             at = self.merged.get((x, y))
@@ -77,47 +120,44 @@ class Vocabulary:
                 break
         if len(self.stays) > 1_000_000:
             self.stays.clear()
-        self.stays[left, right] = holds
+        self.stays[left << 20 | right] = holds
         return holds
 
-    def last_token(self, prefix: bytearray, lasts: list[int]) -> int:
-        """The last token of the prefix, given those of all shorter prefixes."""
-        n, tail = len(prefix), bytes(prefix[-self.longest :])
-        for size in range(len(tail), 0, -1):
-            token = self.id_of.get(tail[len(tail) - size :])
-            if token is not None and (size == n or self.boundary_holds(lasts[n - size], token)):
-                return token
-        raise ValueError("a byte is missing from the vocabulary")
-
     def encode_words(self, distinct: set[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings of distinct words. Words go into a trie; walking it depth first
-        keeps the last tokens of the current path."""
-        root: dict = {}
-        for word in distinct:
-            node = root
-            for byte in word.encode("utf-8", "surrogatepass"):
-                node = node.setdefault(byte, {})
-            node[-1] = word
+        """Encodings of distinct words, in depth-first order of their trie. ``lasts`` and
+        ``states`` belong to the prefixes of the current word."""
         found: dict[str, tuple[int, ...]] = {}
-        path, lasts = bytearray(), [-1]
-        stack = [(root, iter(root.items()))]
-        while stack:
-            key, child = next(stack[-1][1], (None, None))
-            if key is None:
-                stack.pop()
-                if path:
-                    path.pop()
-                    lasts.pop()
-            elif key == -1:
-                ids, n = [], len(path)
-                while n:
-                    ids.append(lasts[n])
-                    n -= len(self.bytes_of[lasts[n]])
-                found[child] = tuple(reversed(ids))
-            else:
-                path.append(key)
-                lasts.append(self.last_token(path, lasts))
-                stack.append((child, iter(child.items())))
+        lasts, states, before = [-1], [0], b""
+        goto, ends, size, shorter, stays = self.goto, self.ends, self.size, self.shorter, self.stays
+        for word, data in sorted(((w, w.encode("utf-8", "surrogatepass")) for w in distinct), key=lambda x: x[1]):
+            shared, most = 0, min(len(before), len(data))
+            while shared < most and before[shared] == data[shared]:
+                shared += 1
+            del lasts[shared + 1 :], states[shared + 1 :]
+            state, n = states[shared], shared
+            for byte in data[shared:]:
+                try:
+                    state = goto[state << 8 | byte]
+                except KeyError:
+                    state = self._next(state, byte)
+                n += 1
+                token = ends[state]
+                while start := n - size[token]:
+                    left = lasts[start]
+                    try:
+                        if stays[left << 20 | token]:
+                            break
+                    except KeyError:
+                        if self.boundary_holds(left, token):
+                            break
+                    token = shorter[token]
+                lasts.append(token)
+                states.append(state)
+            before, ids = data, []
+            while n:
+                ids.append(lasts[n])
+                n -= size[lasts[n]]
+            found[word] = tuple(reversed(ids))
         return found
 
     def pieces(self, text: str) -> list[str]:
@@ -130,26 +170,66 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Remembered(dict):
+    """Two generations of a bounded size: what is in use moves on to the younger one; the
+    older one is dropped when that is full."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that are not known."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        older = self.older
+        new = {k for k in keys if k not in self}
+        again = {k for k in new if k in older}
+        self.update((k, older[k]) for k in again)
+        return new - again
+
+
 class Encoder:
-    """Encodes texts, remembering a bounded number of words."""
+    """Encodes texts. Spaces with no other white space beside them part a text into chunks
+    that encode by themselves; chunks and words are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 250_000):
-        self.vocabulary, self.limit = vocabulary, limit
-        self.known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
+        self.vocabulary = vocabulary
+        self.words, self.chunks = Remembered(limit), Remembered(limit)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        v, known = self.vocabulary, self.known
-        split = [v.pieces(t) if t else [] for t in texts]
-        if len(known) > self.limit:
-            known.clear()
-        if not known:
-            known.update((t, (i,)) for t, i in v.added.items())
-        new = set(chain.from_iterable(split)).difference(known)
-        short = {w for w in new if len(w) <= 64}
-        known.update(v.encode_words(short))
-        long = {w: v.encode_words({w})[w] for w in new - short}
-        get = (known | long).__getitem__ if long else known.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in split]
+        v, out = self.vocabulary, [[] for _ in texts]
+        plain = {i: t.split(" ") for i, t in enumerate(texts) if t and not any(a in t for a in v.added)}
+        self._learn(set(chain.from_iterable(plain.values())))
+        get, slow = self.chunks.__getitem__, []
+        for i, chunks in plain.items():
+            encoded = list(map(get, chunks[1:]))
+            if None in encoded or not chunks[0] or chunks[0][-1].isspace():
+                slow.append(i)
+            else:
+                out[i] = [*self._pieces(v.split(chunks[0])), *chain.from_iterable(encoded)]
+        slow += [i for i, t in enumerate(texts) if t and i not in plain]
+        for i in slow:
+            out[i] = self._pieces(v.pieces(texts[i]))
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        """A chunk's encoding behind a space; None if white space touches the space."""
+        new = self.chunks.missing(chunks)
+        split = {c: self.vocabulary.split(" " + c) for c in new if c and not c[0].isspace() and not c[-1].isspace()}
+        self._know(set(chain.from_iterable(split.values())))
+        word = self.words.__getitem__
+        self.chunks.update((c, tuple(chain.from_iterable(map(word, p)))) for c, p in split.items())
+        self.chunks.update(dict.fromkeys(new.difference(split)))
+
+    def _know(self, words: set[str]) -> None:
+        self.words.update(self.vocabulary.encode_words(self.words.missing(words)))
+
+    def _pieces(self, pieces: list[str]) -> list[int]:
+        added = self.vocabulary.added
+        self._know({p for p in pieces if p not in added})
+        return list(chain.from_iterable((added[p],) if p in added else self.words[p] for p in pieces))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -203,13 +283,14 @@ def bpe_digests(docs: DataFrame, vocabulary_path: str, text: str = "text", key:
 
     def run(source):
         enc = encoder(shipped.value)
+        names = enc.vocabulary.names
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in source:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids = enc.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([digest(",".join(map(str, i))) for i in ids]), pa.array([digest(enc.vocabulary.decode(i)) for i in ids])],
+                    [part.column(0).cast(pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([digest(",".join(map(names.__getitem__, i))) for i in ids]), pa.array([digest(enc.vocabulary.decode(i)) for i in ids])],
                     schema=SCHEMA,
                 )
 
