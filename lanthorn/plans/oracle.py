@@ -174,7 +174,7 @@ select page_id, case when carries then 'link-carries-data' else 'public-link' en
     "prompt_intent": _intent_sql(),
     "latency_percentiles": "with n as (select event_type, list_sort(list(value)) as v, count(value) as n from events group by 1) select event_type, "
     + ", ".join(f"v[1 + least(n - 1, floor({p}::double / 100 * n)::bigint)] as p{p}" for p in (50, 95, 99)) + " from n",
-    "rolling_latency": "select event_id, event_type, round(avg(value) over w, 4) as rolling_mean, count(value) over w as rolling_n from events window w as (partition by event_type order by event_id rows between 199 preceding and current row)",
+    "rolling_latency": "select event_id, event_type, round(avg(value) over w + 1e-7, 4) as rolling_mean, count(value) over w as rolling_n from events window w as (partition by event_type order by event_id rows between 199 preceding and current row)",
     "newest_events": "select event_id, event_type from (select *, row_number() over (partition by event_type order by event_id desc) as n from events) where n <= 200",
     "table_rows_as_text": "select c_custkey as doc_id, coalesce(c_name, '') || ' | ' || coalesce(c_mktsegment, '') || ' | ' || coalesce(c_acctbal::varchar, '') as text from customer",
     "token_islands": f"""with d as ({NOTES_SQL}), r as (select doc_id, text, regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}''’-]*') as ms, regexp_split_to_array(text, '\\p{{Lu}}[\\p{{L}}''’-]*') as ps from d),

@@ -227,7 +227,7 @@ def latency_percentiles(spark, sf_dir):
 
 def rolling_latency(spark, sf_dir):
     rows = metrics.rolling(table(spark, sf_dir, "events"), "value", "event_id", "event_type")
-    return rows.select("event_id", "event_type", F.round("rolling_mean", 4).alias("rolling_mean"), "rolling_n")
+    return rows.select("event_id", "event_type", F.round(F.col("rolling_mean") + 1e-7, 4).alias("rolling_mean"), "rolling_n")
 
 
 def newest_events(spark, sf_dir):
