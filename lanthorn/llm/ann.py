@@ -89,7 +89,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             chosen = np.flatnonzero(est + slack >= least)
         else:
             chosen = np.arange(len(est))
-        score = distinct[chosen] @ query
+        score = (distinct[chosen] * query).sum(axis=1)  # the same for equal vectors, wherever they stand
         if len(score) > want:
             near = score >= np.partition(score, len(score) - want)[len(score) - want]
             chosen, score = chosen[near], score[near]
