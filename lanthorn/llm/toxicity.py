@@ -70,12 +70,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def choose(sets: list[set[int]], y: np.ndarray, most: int, least_rows: int) -> list[int]:
+def choose(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int) -> list[int]:
     """The buckets whose presence is tied most to the label, ties by number."""
-    ids = np.concatenate([np.fromiter(s, np.int64, len(s)) for s in sets]) if sets else np.empty(0, np.int64)
-    marks = np.repeat(y, [len(s) for s in sets]) if sets else ids
-    seen = np.bincount(ids, minlength=BUCKETS)
-    toxic = np.bincount(ids, weights=marks, minlength=BUCKETS)
+    seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r, mark in zip(rows, y, strict=True):
+        seen[r] += 1
+        toxic[r] += mark
     n, positive = len(y), y.sum()
     a, b = toxic, seen - toxic
     c, d = positive - a, n - positive - b
@@ -86,21 +86,24 @@ def choose(sets: list[set[int]], y: np.ndarray, most: int, least_rows: int) -> l
     return [int(b) for b in order if chi[b] > 0]
 
 
-def fit(sets: list[set[int]], y: np.ndarray, most: int = 1024, least_rows: int = 4, rank: int = 8, epochs: int = 40, rate: float = 0.1, decay: float = 1e-3, most_weight: float = 4.0, seed: int = 3) -> Machine:
-    """Adagrad on logistic loss, in which the rarer toxic rows weigh up to ``most_weight``.
+def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 1024, least_rows: int = 4, rank: int = 8, epochs: int = 40, rate: float = 0.1, decay: float = 1e-3, most_weight: float = 4.0, seed: int = 3) -> Machine:
+    """From each row's distinct buckets and its label. Adagrad on logistic loss, in which the rarer toxic rows weigh up to ``most_weight``.
     With one label only, the score is that label's share."""
     y = y.astype(np.float64)
     n, positive = len(y), y.sum()
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     weigh = np.where(y == 1, np.clip((n - positive) / max(positive, 1), 1, most_weight), 1.0)
-    buckets = choose(sets, y, most, least_rows) if 0 < positive < n else []
+    buckets = choose(rows, y, most, least_rows) if 0 < positive < n else []
     column = {b: k for k, b in enumerate(buckets)}
     m, rng = len(buckets), np.random.default_rng(seed)
     w, f = np.zeros(m), rng.normal(0, 0.01, (m, rank))
     gw, gf, gb = np.full(m, 1e-8), np.full((m, rank), 1e-8), 1e-8
     x = np.zeros((n, m), np.uint8)
-    for i, s in enumerate(sets):
-        x[i, [column[b] for b in s & column.keys()]] = 1
+    numbers = np.full(BUCKETS, -1, np.int32)
+    numbers[buckets] = np.arange(m, dtype=np.int32)
+    for i, r in enumerate(rows):
+        at = numbers[r]
+        x[i, at[at >= 0]] = 1
     for _ in range(epochs if m else 0):
         for at in np.array_split(rng.permutation(n), max(1, n // 256)):
             part = x[at].astype(np.float64)
@@ -128,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tu
     may_learn = bucket(F.col("id"), held_out[0]) != held_out[1]
     rows = labelled(docs, labels, label, may_learn, key, text, most).select("text", "label")
     found = sorted((bytes(r["terms"]), r["label"]) for r in rows.mapInArrow(run, "label int, terms binary").collect())
-    return fit([set(np.frombuffer(b, np.int32).tolist()) for b, _ in found], np.array([y == 1 for _, y in found], np.int64))
+    return fit([np.frombuffer(b, np.int32) for b, _ in found], np.array([y == 1 for _, y in found], np.int64))
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine, held_out: tuple[int, int] = (5, 0), key: str = "doc_id", text: str = "text") -> DataFrame:
