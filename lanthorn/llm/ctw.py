@@ -47,7 +47,7 @@ U = np.uint64
 @dataclass(frozen=True)
 class Tree:
     depth: int = 5
-    block_bytes: int = 24 << 20
+    block_bytes: int = 8 << 20
     buckets: int = 64
 
 
@@ -84,8 +84,9 @@ def mixed(own, below) -> np.ndarray:
 # Strings of depth + 1 bytes, as numbers; the low byte is the one to predict.
 
 
-def canonical(tokens: list[bytes]) -> bytes:
-    return b" ".join(tokens) + b"\n"
+def canonical(text: str | None) -> bytes:
+    """The words with one space between."""
+    return b" ".join(words(text))
 
 
 def strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,19 +118,21 @@ def in_buckets(keys: np.ndarray, where: np.ndarray, buckets: int) -> tuple[np.nd
 
 
 class Block:
-    """Documents of a block with their distinct words and strings."""
+    """Documents ``(id, learn, canonical text)`` of a block with their distinct words and
+    strings. Words are split off a document at a time."""
 
-    def __init__(self, docs: list[tuple[int, bool, list[bytes]]], p: Tree):
+    def __init__(self, docs: list[tuple[int | None, bool, bytes]], p: Tree):
         self.p = p
         trained: Counter = Counter()
-        for _, learn, tokens in docs:
-            if learn:
-                trained.update(tokens)
-        distinct = list(set(trained).union(*(t for _, learn, t in docs if not learn)))
-        h = WordHashes().of(distinct)
-        counts = np.fromiter((trained.get(w, 0) for w in distinct), np.int64, len(distinct))
+        distinct: set[bytes] = set()
+        for _, learn, body in docs:
+            trained.update(body.split()) if learn else distinct.update(body.split())
+        self.words = list(distinct.union(trained))
+        h = WordHashes().of(self.words)
         order = np.argsort(h, kind="stable")
-        self.word_keys, self.word_counts = h[order], counts[order]
+        self.word_keys = h[order]
+        self.word_counts = np.fromiter((trained.get(self.words[i], 0) for i in order), np.int64, len(order))
+        self.words = [self.words[i] for i in order]
         del trained, distinct
         keys, sums = [], []
         for texts, learn in self._chunks(docs):
@@ -141,13 +144,13 @@ class Block:
         self.string_counts = np.bincount(inverse, np.concatenate(sums) if sums else None, minlength=len(self.string_keys)).astype(np.int64)
 
     @staticmethod
-    def _chunks(docs, size: int = 4 << 20):
+    def _chunks(docs, size: int = 3 << 20):
         for learn in (True, False):
             texts, total = [], 0
-            for _, l, tokens in docs:
+            for _, l, body in docs:
                 if l is learn:
-                    texts.append(canonical(tokens))
-                    total += len(texts[-1])
+                    texts.append(body + b"\n")
+                    total += len(body)
                     if total >= size:
                         yield texts, int(learn)
                         texts, total = [], 0
@@ -168,7 +171,8 @@ class Block:
                     yield kind, k, keys[at], counts[at]
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_train", pa.int64()), ("docs_train", pa.int64()), ("kind", pa.string())])
+_PART = pa.struct([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("doc", pa.binary()), ("n_train", pa.int64()), ("docs_train", pa.int64()), ("word", pa.list_(_PART)), ("string", pa.list_(_PART))])
 
 
 def _pack(b: bytes) -> bytes:
@@ -185,35 +189,33 @@ def _blocks(docs: DataFrame, key: str, text: str, learns, p: Tree) -> DataFrame:
 
     def rows(number: int, docs: list):
         block = (TaskContext.get().partitionId() << 24) + number
-        ids = np.array([-1 if i is None else i for i, _, _, _ in docs], np.int64)
-        flags = np.array([(learn << 1) | (i is None) for i, learn, _, _ in docs], np.uint8)
-        sizes = np.array([len(t) for _, _, t, _ in docs], np.int64)
-        body = b"".join(t for _, _, t, _ in docs)
-        split = [(i, learn, tokens) for i, learn, _, tokens in docs]
+        ids = np.array([-1 if i is None else i for i, _, _ in docs], np.int64)
+        flags = np.array([(learn << 1) | (i is None) for i, learn, _ in docs], np.uint8)
+        sizes = np.array([len(t) for _, _, t in docs], np.int64)
         head = np.array([len(docs)], np.int64).tobytes() + ids.tobytes() + sizes.tobytes() + flags.tobytes()
-        trained = [len(t) for _, learn, t in split if learn]
-        out = [(block, 0, _pack(head + body), None, sum(trained), len(trained), "doc")]
-        out += [(block, b, _pack(k.tobytes()), _pack(c.astype(np.uint32).tobytes()), 0, 0, kind) for kind, b, k, c in Block(split, p).parts()]
-        for at in range(0, len(out), 64):
-            yield record(_BLOCK, *(list(c) for c in zip(*out[at : at + 64], strict=True)))
+        made = Block(docs, p)
+        n_train = int(made.word_counts.sum())
+        parts: dict[str, list] = {"word": [], "string": []}
+        for kind, k, keys, counts in made.parts():
+            parts[kind].append({"bucket": k, "keys": _pack(keys.tobytes()), "counts": _pack(counts.astype(np.uint32).tobytes())})
+        doc = _pack(head + b"".join(t for _, _, t in docs))
+        return record(_BLOCK, [block], [doc], [n_train], [int((flags >> 1).sum())], [parts["word"]], [parts["string"]])
 
     def run(source):
         held, size, number = [], 0, 0
         for ids, texts, learn in batches(source, ["id", "text", "learn"], 500):
             for i, t, l in zip(ids, texts, learn, strict=True):
-                tokens = words(t)
-                body = b" ".join(tokens)
-                held.append((i, bool(l), body, tokens))
-                size += len(body) + 64
+                held.append((i, bool(l), canonical(t)))
+                size += len(held[-1][2]) + 64
             if size >= p.block_bytes:
-                yield from rows(number, held)
+                yield rows(number, held)
                 held, size, number = [], 0, number + 1
         if held:
-            yield from rows(number, held)
+            yield rows(number, held)
 
     mine = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     mine = mine.withColumn("learn", F.coalesce(learns, F.lit(True)))
-    return mine.mapInArrow(run, "block long, bucket int, keys binary, counts binary, n_train long, docs_train long, kind string")
+    return mine.mapInArrow(run, "block long, doc binary, n_train long, docs_train long, word array<struct<bucket:int,keys:binary,counts:binary>>, string array<struct<bucket:int,keys:binary,counts:binary>>")
 
 
 def _merged(table: pa.Table, with_counts: bool = True) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
@@ -343,14 +345,14 @@ def _score_block(p: Tree, n_all: int, v_all: int, n_end: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         columns: list[tuple] = []
-        for packed in left.column("keys"):
+        for packed in left.column("doc"):
             raw = _unpack(packed.as_py())
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             ids, sizes = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
             flags = np.frombuffer(raw, np.uint8, n, 8 + 16 * n)
             at, docs = 8 + 17 * n, []
             for i, size, flag in zip(ids.tolist(), sizes.tolist(), flags.tolist(), strict=True):
-                docs.append((None if flag & 1 else i, bool(flag & 2), raw[at : at + size].split()))
+                docs.append((None if flag & 1 else i, bool(flag & 2), raw[at : at + size]))
                 at += size
             block = Block(docs, p)
             found = {(k, b): v for k, b, v in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("vals"), strict=True)}
@@ -360,19 +362,18 @@ def _score_block(p: Tree, n_all: int, v_all: int, n_end: int):
                 for b in range(p.buckets):
                     if bounds[b + 1] > bounds[b]:
                         values[kind][order[bounds[b] : bounds[b + 1]]] = _unpack(found[kind, b].as_py(), form)
-            hashes = WordHashes(limit=1 << 30)
-            word_score = np.log10(values["word"] + 0.5)
+            index = dict(zip(block.words, range(len(block.words)), strict=True))
+            word_score, is_known = np.log10(values["word"] + 0.5), values["word"] > 0
             for first in range(0, len(docs), 500):
                 some = docs[first : first + 500]
-                logs = np.zeros(0)
-                g, starts = strings([canonical(t) for _, _, t in some], p.depth)
-                logs = np.concatenate([[0.0], np.cumsum(_lookup(block.string_keys, values["string"], g))])
-                totals = np.add.reduceat(np.diff(logs), starts[:-1]) if len(g) else []
-                for (i, learn, tokens), total, size in zip(some, totals, np.diff(starts).tolist(), strict=True):
-                    at = np.searchsorted(block.word_keys, hashes.of(tokens))
-                    known = int((values["word"][at] > 0).sum()) + (n_end > 0)
+                g, starts = strings([body + b"\n" for _, _, body in some], p.depth)
+                totals = np.add.reduceat(_lookup(block.string_keys, values["string"], g), starts[:-1])
+                for (i, learn, body), total, size in zip(some, totals.tolist(), np.diff(starts).tolist(), strict=True):
+                    tokens = body.split()
+                    at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+                    known = int(is_known[at].sum()) + (n_end > 0)
                     base = float(word_score[at].sum()) + end - (len(tokens) + 1) * floor
-                    columns.append((i, not learn, len(tokens) + 1, known, base, float(total) / math.log(10), size))
+                    columns.append((i, not learn, len(tokens) + 1, known, base, total / math.log(10), size))
         return pa.Table.from_batches([record(_OUT, *(list(c) for c in zip(*columns, strict=True)))] if columns else [], schema=_OUT)
 
     return run
@@ -389,17 +390,17 @@ def text_scores(docs: DataFrame, learns=None, key: str = "doc_id", text: str = "
     """
     if learns is None:
         learns = crc_bucket(F.col("id"), 5) != 1
-    table = written(_blocks(docs, key, text, learns, p), "kind")
-    kind = lambda k: table.where(F.col("kind") == k)
-    heads = kind("doc")
+    table = written(_blocks(docs, key, text, learns, p))
+    kind = lambda k: table.select("block", F.inline(k))
+    heads = table.select("block", "doc", "n_train", "docs_train")
     n_words, n_end = heads.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("docs_train"), F.lit(0))).first()
-    word_values = written(kind("word").select("block", "bucket", "keys", "counts").groupBy("bucket").applyInArrow(_word_bucket, "block long, bucket int, vals binary, distinct long"))
+    word_values = written(kind("word").groupBy("bucket").applyInArrow(_word_bucket, "block long, bucket int, vals binary, distinct long"))
     v_all = (word_values.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]) + (n_end > 0)
-    kept = kind("string").select("block", "bucket", "keys", "counts")
+    kept = kind("string")
     upper = kept.groupBy("bucket").applyInArrow(_upper_nodes(p.depth), "bucket int, node long, n0 double, n1 double, total double")
     above = written(_weights_above(written(upper)))
     string_values = kept.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_string_bucket(p.depth), "block long, bucket int, vals binary")
     values = word_values.select("block", "bucket", "vals", F.lit("word").alias("kind")).unionByName(string_values.withColumn("kind", F.lit("string")))
-    scored = heads.select("block", "keys").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(p, n_words + n_end, v_all, n_end), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    scored = heads.select("block", "doc").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(p, n_words + n_end, v_all, n_end), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_words + n_end).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
