@@ -186,7 +186,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     file. A file that can't be read, and PDF, have a null text and an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content").withColumn("kind", kind(F.col("name"))).where("kind is not null")
-    plain = files.where(F.col("kind").isin("txt", "csv")).select("path", "name", "kind", "size", F.decode("content", F.lit("UTF-8")).alias("text"), F.lit(None).cast("array<string>").alias("sheet_names"), F.lit(None).cast("string").alias("error"))
+    plain = files.where(F.col("kind").isin("txt", "csv")).select("path", "name", "kind", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("array<string>").alias("sheet_names"), F.lit(None).cast("string").alias("error"))
 
     def run(source):
         for batch in source:

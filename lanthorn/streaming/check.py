@@ -30,13 +30,13 @@ def checked(prompts: DataFrame, text: str = "text", policy: Policy = Policy(), v
     a second look could change the answer. Works on streams and tables alike. A prompt of
     over a million characters is not scanned; the policy says what then happens."""
     too_long = F.length(text) > MOST_CHARS
-    df = prompts.withColumn("__full", F.col(text)).withColumn(text, F.when(too_long, F.lit(None)).otherwise(F.col(text)))
+    df = prompts.withColumn("__prompt", F.col(text)).withColumn(text, F.when(too_long, F.lit(None)).otherwise(F.col(text)))
     df = scan(df, text, vocabulary).withColumn("__outcome", evaluate(F.col("findings"), policy))
     decision, headline, summary = unavailable(policy)
-    or_unavailable = lambda c, u: F.when(F.length("__full") > MOST_CHARS, u).otherwise(F.col(f"__outcome.{c}"))
+    or_unavailable = lambda c, u: F.when(F.length("__prompt") > MOST_CHARS, u).otherwise(F.col(f"__outcome.{c}"))
     df = df.withColumns({"decision": or_unavailable("decision", decision), "headline": or_unavailable("headline", headline), "summary": or_unavailable("summary", summary), "wire": wire_findings(F.col("findings"))})
     deeper = (F.col("decision") != "allow") & needs_confirming(F.col("findings"), F.col("recoverable"))
-    return df.withColumn("deeper", deeper).withColumn(text, F.col("__full")).drop("__full", "__outcome")
+    return df.withColumn("deeper", deeper).withColumn(text, F.col("__prompt")).drop("__prompt", "__outcome")
 
 
 def deep_checked(first: DataFrame, text: str = "text", policy: Policy = Policy(), confirmer: DeepContext | None = None) -> DataFrame:
