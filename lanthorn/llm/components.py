@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ._store import checkpointed
 
 
+#: Edges that a file of a step holds, about; few edges make few files.
+EDGES_A_FILE = 20_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -35,10 +39,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     its smallest node. Self-loops, repeated edges and either direction are allowed;
     edges with a null end are left out. No edges give no rows."""
     edges = edges.select("u", "v").where("u is not null and v is not null and u <> v")
-    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    parts = edges.count() // EDGES_A_FILE + 1
+    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(parts))
     seen = _state(edges)
     for _ in range(most_rounds):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(_large_star(edges)).coalesce(parts))
         now = _state(edges)
         if now == seen:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -39,6 +39,10 @@ class MinHash:
     seed: int = 20_117
 
 
+#: Documents whose rows an intermediate file holds, about.
+DOCS_A_FILE = 5000
+
+
 def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles. Fewer words than k make
     one shingle, no words none."""
@@ -195,7 +199,7 @@ def _rest_links(members: DataFrame, component: DataFrame, sets: DataFrame, p: Mi
     mine = F.xxhash64("id")
     base = rows.select("band", "id", "component", F.lit(False).alias("probe"), F.pmod(mine, F.col("base_blocks")).alias("i"), F.explode(F.expr("sequence(0, probe_blocks - 1)")).alias("j"))
     probe = rows.where("component <> largest").select("band", "id", "component", F.lit(True).alias("probe"), F.explode(F.expr("sequence(0, base_blocks - 1)")).alias("i"), F.pmod(mine, F.col("probe_blocks")).alias("j"))
-    blocks = checkpointed(base.unionByName(probe.select(base.columns)))
+    blocks = base.unionByName(probe.select(base.columns))
     return blocks.join(sets, "id").groupBy("band", "i", "j").applyInArrow(_block_links(p), "a long, b long").distinct()
 
 
@@ -207,22 +211,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     gives an empty result.
     """
     signed = written(_signed(docs, key, text, p))
+    # Files by the number of documents, so that few documents don't make many small files.
+    n = signed.count()
+    tables, links_parts = n // DOCS_A_FILE + 1, n // (4 * DOCS_A_FILE) + 1
     sized = signed.where("n_shingles > 0 and id is not null")
     first = sized.groupBy("set_key").agg(F.min("id").alias("rep"))
-    heads = checkpointed(sized.join(first.select(F.col("rep").alias("id"), F.col("set_key").alias("k")), "id").where("k = set_key").select("id", "bands", "signature").dropDuplicates(["id"]))
+    heads = checkpointed(sized.join(first.select(F.col("rep").alias("id"), F.col("set_key").alias("k")), "id").where("k = set_key").select("id", "bands", "signature").dropDuplicates(["id"]).coalesce(tables))
     members = heads.select("id", F.explode("bands").alias("band"))
     groups = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
-    grouped = checkpointed(members.join(groups, "band"))
+    grouped = checkpointed(members.join(groups, "band").coalesce(tables))
     small = grouped.where(F.col("n") <= p.most_paired).select("band", "id")
     paired = small.groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pairs = paired.select(F.explode(F.expr("flatten(transform(sequence(1, size(ids) - 1), i -> transform(slice(ids, i + 1, size(ids)), x -> struct(ids[i - 1] as a, x as b))))")).alias("p")).select("p.a", "p.b")
     stars = grouped.where((F.col("n") > p.most_paired) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    sets = written(_sets(docs, key, text, grouped.select("id").distinct(), p))
+    sets = written(_sets(docs, key, text, grouped.select("id").distinct(), p).coalesce(tables))
     likely = _similar(pairs.unionByName(stars).distinct(), heads, "signature", signature_check(p))
-    links = checkpointed(_similar(likely, sets, "shingles", set_check(p)).toDF("u", "v"))
+    links = checkpointed(_similar(likely, sets, "shingles", set_check(p)).toDF("u", "v").distinct().coalesce(links_parts))
     component = connected_components(links)
     large = grouped.where(F.col("n") > p.most_paired).select("band", "id")
-    more = checkpointed(_rest_links(large, component, sets, p).toDF("u", "v"))
+    more = checkpointed(_rest_links(large, component, sets, p).toDF("u", "v").coalesce(links_parts))
     if not more.isEmpty():
         component = connected_components(links.unionByName(more))
     head_of = first.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("component"))
