@@ -86,6 +86,8 @@ SUBJECTS = [
 # Patterns of confidentiality, publicity and structure.
 CONFIDENTIAL_MARK = r"\b(?:strictly\s+)?confidential(?!ity\s+(?:policy|agreement|statement|clause|notice|undertaking))\b|\binternal use only\b|\bnot for (?:external )?distribution\b|\bdo not (?:share|distribute|forward)\b|\bcompany confidential\b|\bproprietary and confidential\b|\brestricted\b"
 PUBLIC_MARK = r"\bpress release\b|\bfor immediate release\b|\bpublicly available\b|\bpublished\b|\bdatasheet\b|\ball rights reserved\b|\bterms of service\b|\bprivacy policy\b|\bconfidentiality policy\b|\buser guide\b|\bknowledge base\b|\bhelp cent(?:re|er)\b|\bavailable to all customers\b|\bgenerally available\b"
+CONFIDENTIAL_WORDS = ("confidential", "internal", "not for", "do not", "restricted")
+PUBLIC_WORDS = ("release", "public", "published", "datasheet", "rights", "terms", "privacy", "confidentiality", "guide", "knowledge", "help", "available")
 FILE_MARK = r"\b(?:internal|confidential|restricted|private|nda|do[-_ ]?not[-_ ]?(?:distribute|share|forward))\b"
 FILE_SUBJECT = r"roadmap|strategy|strategic|pricing|price[-_ ]?list|rate[-_ ]?card|internal|confidential|restricted|forecast|board|pipeline|budget|margin|competitive|battlecard|nda|q[1-4][-_ ]?(?:fy)?\d{2,4}|fy\d{2,4}|do[-_ ]?not[-_ ]?distribute"
 SECTION_SUBJECT = r"roadmap|strategy|strategic|pricing|price[-_ ]?list|rate[-_ ]?card|forecast|board pack|pipeline|budget|margin|competitive|battlecard|q[1-4][-_ ]?(?:fy)?\d{2,4}|fy\d{2,4}"

@@ -21,6 +21,50 @@ SPACES = "\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\
 BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+WORD_START = "(?<![A-Za-z0-9_])"
+
+
+def _alternatives(group: str) -> list[str]:
+    """The alternatives of a group's body."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(group):
+        if group[i] == "\\":
+            i += 1
+        elif group[i] == "[":
+            i = group.index("]", i + 2)
+        elif group[i] in "()":
+            depth += 1 if group[i] == "(" else -1
+        elif group[i] == "|" and depth == 0:
+            out.append(group[start:i])
+            start = i + 1
+        i += 1
+    return [*out, group[start:]]
+
+
+def starts_with_word(pattern: str) -> bool:
+    """Whether what the pattern matches surely starts with a word character; a simple
+    reading that says no where it can't tell."""
+    if pattern[:2] == "\\d" or pattern[:1].isalnum():
+        return pattern[2 if pattern[:1] == "\\" else 1 :][:1] not in ("?", "*") and pattern[1:3] != "{0"
+    if pattern[:1] == "[":
+        end = pattern.index("]", 2)
+        return all(c.isalnum() or c == "_" or (c == "-" and 1 < k < end - 1) for k, c in enumerate(pattern[1:end], 1)) and pattern[end + 1 : end + 2] not in ("?", "*")
+    if pattern[:3] == "(?:":
+        depth, i = 0, 0
+        while i < len(pattern):
+            if pattern[i] == "\\":
+                i += 1
+            elif pattern[i] == "[":
+                i = pattern.index("]", i + 2)
+            elif pattern[i] in "()":
+                depth += 1 if pattern[i] == "(" else -1
+                if depth == 0:
+                    break
+            i += 1
+        return pattern[i + 1 : i + 2] not in ("?", "*") and all(map(starts_with_word, _alternatives(pattern[3:i])))
+    return False
+
+
 def portable(pattern: str, ignore_case: bool = False) -> str:
     """The pattern for ``java.util.regex`` and Python's ``regex``."""
     out, in_class, i = [], False, 0
@@ -29,7 +73,8 @@ def portable(pattern: str, ignore_case: bool = False) -> str:
         if c == "\\":
             pair = pattern[i : i + 2]
             if pair == "\\b" and not in_class:
-                out.append(BOUNDARY)
+                # Before a word character, a boundary is that none stands before it.
+                out.append(WORD_START if starts_with_word(pattern[i + 2 :]) else BOUNDARY)
             elif pair == "\\s":
                 out.append(SPACES if in_class else f"[{SPACES}]")
             elif pair == "\\S" and not in_class:

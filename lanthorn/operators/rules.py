@@ -124,16 +124,42 @@ LAYERS = {"pattern": PATTERN_RULES, "business": BUSINESS_RULES, "confidential":
 RULES = {r.id: (layer, r) for layer, rules in LAYERS.items() for r in rules}
 
 
+# Rules whose matches may lack a digit.
+WITHOUT_DIGITS = {"pem_block", "github_token", "slack_token", "google_key", "stripe_key", "model_key", "jwt", "bearer", "database_url", "odbc_string", "password", "secret", "aws_key", "email", "mac", "uuid", "ipv6", "url", "host", "domain", "share", "project", "beta_timing", "licence_key"}
+# What at least one of must stand in a text, lower-cased, for a rule to match.
+NEEDS = {
+    "bearer": ("bearer",), "database_url": ("://",), "odbc_string": ("server", "data source"), "password": ("pass", "pwd"), "secret": ("key", "secret", "token"), "url": ("http", "www."), "domain": (".local", ".internal", ".corp", ".lan", ".intra", ".priv", ".home"),
+    "email": ("@",), "share": ("\\\\",), "jwt": ("eyj",), "slack_token": ("xox",), "google_key": ("aiza",), "stripe_key": ("k_live_", "k_test_"), "model_key": ("sk-",), "github_token": ("gh",), "project": ("pro", "initiative", "codename", "workstream"),
+    "beta_timing": ("internal", "private", "closed", "limited"), "discount": ("%",), "licence_key": ("-",), "host": ("-",), "uuid": ("-",), "ipv4": (".",), "ipv6": (":",), "ssn": ("-",), "reference": ("-",),
+}
+
+
+def possible(text: Column, rule: Rule) -> Column:
+    """A cheap test that every text with a match passes."""
+    tests = [text.rlike("[0-9]")] if rule.id not in WITHOUT_DIGITS else []
+    if rule.id in NEEDS:
+        low = F.lower(text)
+        some = F.lit(False)
+        for literal in NEEDS[rule.id]:
+            some = some | F.contains(low, F.lit(literal))
+        tests.append(some)
+    out = F.lit(True)
+    for t in tests:
+        out = out & t
+    return out
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """``array<struct<value, start, end, match, at>>`` of what the rule accepts. A text
-    without the literal that every match has is not searched."""
+    that can't have a match is not searched."""
     found = spans(text, rule.regex, rule.groups, rule.trim)
     if rule.check is not None:
         found = F.filter(found, lambda s: rule.check(s, text))
+    test = possible(text, rule)
     literal = required_literal(rule.pattern)
     if len(literal) > 2 and not rule.ignore_case:
-        found = F.when(F.contains(text, F.lit(literal)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return found
+        test = test & F.contains(text, F.lit(literal))
+    return F.when(test, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def rule_candidates(text: Column, rules: list[Rule], layer: str) -> Column:

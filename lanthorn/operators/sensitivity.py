@@ -29,8 +29,10 @@ def lines(text: Column) -> Column:
 
 def headings(text: Column) -> Column:
     """Lines that read as headings: marked, in capitals, or in title case."""
+    # A heading has at most 80 characters besides the space and dashes around it.
+    rest = lambda line: F.length(F.translate(line, " -\t\r\u00a0\u3000", ""))
     bare = lambda line: strip(F.regexp_replace(strip(line), portable(r"^-{2,}\s*|\s*-{2,}$"), ""))
-    rows = F.transform(F.slice(lines(text), 1, MOST_LINES), lambda line: F.struct(line.alias("line"), bare(line).alias("bare")))
+    rows = F.transform(F.filter(F.slice(lines(text), 1, MOST_LINES), lambda line: rest(line) <= 80), lambda line: F.struct(line.alias("line"), bare(line).alias("bare")))
 
     def is_heading(r: Column) -> Column:
         t = r["bare"]
@@ -42,12 +44,13 @@ def headings(text: Column) -> Column:
 
 
 def roadmap_rows(text: Column) -> Column:
-    return F.size(F.filter(lines(text), lambda line: line.rlike(portable(C.ROADMAP_ROW, True))))
+    return F.size(F.filter(lines(text), lambda line: line.rlike("[0-9]") & line.rlike(portable(C.ROADMAP_ROW, True))))
 
 
-def _found(text: Column, pattern: str) -> Column:
+def _found(text: Column, lower: Column, pattern: str, needs: tuple[str, ...]) -> Column:
+    """The first match, sought only where one of the words that it needs occurs."""
     java = portable(pattern, True)
-    return F.when(text.rlike(java), strip(F.regexp_extract(text, java, 0)))
+    return F.when(F.exists(F.array(*map(F.lit, needs)), lambda w: F.contains(lower, w)) & text.rlike(java), strip(F.regexp_extract(text, java, 0)))
 
 
 def _quoted(before: str, x: Column, after: str) -> Column:
@@ -79,7 +82,7 @@ def signed(text: Column, lower: Column, candidates: Column, classification: Colu
     sheets = F.coalesce(sheets, no_names) if sheets is not None else no_names
     given = F.coalesce(given_headings, no_names) if given_headings is not None else no_names
     name = file_name if file_name is not None else F.lit(None).cast("string")
-    mark, public = _found(text, C.CONFIDENTIAL_MARK), _found(text, C.PUBLIC_MARK)
+    mark, public = _found(text, lower, C.CONFIDENTIAL_MARK, C.CONFIDENTIAL_WORDS), _found(text, lower, C.PUBLIC_MARK, C.PUBLIC_WORDS)
     rows = [F.when(mark.isNotNull(), _row(signal("marker", 0.35, _quoted('Marked "', mark, '" in the content itself')), "markers"))]
     rows += [_subject(lower, *s) for s in C.SUBJECTS]
     in_name = F.regexp_extract(name, portable(C.FILE_MARK, True), 0)
