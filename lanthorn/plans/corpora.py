@@ -34,13 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer partitions than cores, dealt out to all cores; larger
+    inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note for each customer."""
-    return table(spark, sf_dir, "customer").select((F.col("c_custkey") + NOTES_FROM).alias("doc_id"), F.expr(note_sql("c_custkey")).alias("text"))
+    return spread(table(spark, sf_dir, "customer")).select((F.col("c_custkey") + NOTES_FROM).alias("doc_id"), F.expr(note_sql("c_custkey")).alias("text"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
