@@ -66,11 +66,11 @@ def paper_sql(key: str) -> str:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, and a paper for each order."""
-    made = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + PAPERS_FROM).alias("doc_id"), F.expr(paper_sql("o_orderkey")).alias("text"))
+    """All documents, and a paper for each customer."""
+    made = spread(table(spark, sf_dir, "customer")).select((F.col("c_custkey") + PAPERS_FROM).alias("doc_id"), F.expr(paper_sql("c_custkey")).alias("text"))
     return documents(spark, sf_dir).unionByName(made)
 
 
-PAPERS_SQL = f"select doc_id, text from documents union all select o_orderkey + {PAPERS_FROM} as doc_id, {paper_sql('o_orderkey')} as text from orders"
+PAPERS_SQL = f"select doc_id, text from documents union all select c_custkey + {PAPERS_FROM} as doc_id, {paper_sql("c_custkey")} as text from customer"
 NOTES_SQL = f"select c_custkey + {NOTES_FROM} as doc_id, {note_sql('c_custkey')} as text from customer"
 CORPUS_SQL = f"select doc_id, text from documents union all {NOTES_SQL}"
