@@ -8,6 +8,9 @@ they fail to meet with probability (2/3)^40 < 1e-7. Retrieved templates are veri
 exact containment: the share of the template's shingles that the text's windows hold,
 compared by 64-bit hashes.
 
+A template of fewer than five words is one shingle of all its words; a text holds it where
+these words stand in a row, compared as words.
+
 Band values of the templates are literals of the plan; their number is checked. Windows
 are compared where they are made, so only retrieved ones are shuffled.
 """
@@ -17,14 +20,17 @@ from __future__ import annotations
 import string
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._licenses import BODIES
+
 WINDOW, STEP, SHINGLE = 6, 2, 5
 
-# Fixed texts: notices by which public licences are declared.
+# Fixed texts: notices by which public licences are declared, and bodies of licences.
 NOTICES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -35,6 +41,7 @@ NOTICES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced.",
+    **BODIES,
 }
 
 
@@ -68,6 +75,16 @@ def _windows(text: Column, step: int) -> Column:
     return F.element_at(F.transform(F.array(tokens(text)), of), 1)
 
 
+def _short(text: Column, templates: list[tuple[str, int, str]]) -> Column:
+    """The short templates, ``(template_id, h, words)``, whose words stand in a text."""
+
+    def of(plain: Column) -> Column:
+        hit = lambda t, h, words: F.when(plain.contains(f" {words} "), F.struct(F.lit(t).alias("template_id"), F.lit(h).alias("h")))
+        return F.array_compact(F.array(*(hit(*x) for x in templates)))
+
+    return F.element_at(F.transform(F.array(F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))), of), 1)
+
+
 LOW = (1 << 31) - 1
 
 
@@ -84,30 +101,39 @@ def notices(spark, named: dict[str, str] | None = None) -> DataFrame:
 
 def license_matches(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id", text: str = "text", p: Scan = Scan()) -> DataFrame:
     """``(doc_id, template_id, template_shingles, matched_shingles, containment)`` where a
-    text holds at least ``p.containment`` of a template's distinct shingles. Texts or
-    templates of fewer than five words, null or empty, match nothing. Rows that share an
-    id are read as one document; a null id takes part as one."""
+    text holds at least ``p.containment`` of a template's distinct shingles. A template of
+    fewer than five words is one shingle; null or empty texts and templates match nothing.
+    Rows that share an id are read as one document; a null id takes part as one."""
     spark = docs.sparkSession
     templates = (notices(spark) if templates is None else templates).select("template_id", "template")
     mine = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     minima = _functions(p)
     model = templates.select("template_id", F.inline(_windows(F.col("template"), 1)))
     rows = model.select("template_id", "h0", "h1", F.array(*map(F.expr, minima)).alias("m")).limit(p.most_windows + 1).collect()
-    if len(rows) > p.most_windows:
+    few = templates.select("template_id", tokens(F.col("template")).alias("w")).where(F.size("w").between(1, SHINGLE - 1))
+    few = few.select("template_id", F.xxhash64("w").alias("h"), F.array_join("w", " ").alias("words")).distinct().limit(p.most_windows + 1).collect()
+    if len(rows) + len(few) > p.most_windows:
         raise ValueError("too many templates for one scan; scan them in parts")
-    if not rows:
+    if not rows and not few:
         return mine.where("false").select("doc_id", F.lit("").alias("template_id"), F.lit(0).cast("long").alias("template_shingles"), F.lit(0).cast("long").alias("matched_shingles"), F.lit(0.0).alias("containment"))
+    short = sorted(tuple(r) for r in few)
     bands = sorted({(j, m, r["template_id"]) for r in rows for j, m in enumerate(r["m"])})
-    held = sorted({(r["template_id"], h) for r in rows for h in (r["h0"], r["h1"])})
+    held = sorted({(r["template_id"], h) for r in rows for h in (r["h0"], r["h1"])} | {(t, h) for t, h, _ in short})
     sizes = Counter(t for t, _ in held)
     # Each of these three has at most ``most_windows`` times ``minima`` rows.
     bands = F.broadcast(spark.createDataFrame(bands, "band int, m long, template_id string"))
     held = F.broadcast(spark.createDataFrame(held, "template_id string, h long"))
     sizes = F.broadcast(spark.createDataFrame(sorted(sizes.items()), "template_id string, template_shingles long"))
-    met = [f"{least} in ({', '.join(f'{v}L' for v in sorted({r['m'][j] for r in rows}))})" for j, least in enumerate(minima)]
-    cut = mine.select("doc_id", F.inline(_windows(F.col("text"), STEP))).where(" or ".join(met))
-    hits = cut.select("doc_id", "h0", "h1", F.posexplode(F.array(*map(F.expr, minima))).alias("band", "m"))
-    hits = hits.join(bands, ["band", "m"]).select("doc_id", "template_id", F.explode(F.array("h0", "h1")).alias("h"))
-    matched = hits.join(held, ["template_id", "h"]).groupBy("doc_id", "template_id").agg(F.count_distinct("h").alias("matched_shingles"))
+    found = []
+    if rows:
+        met = [f"{least} in ({', '.join(f'{v}L' for v in sorted({r['m'][j] for r in rows}))})" for j, least in enumerate(minima)]
+        cut = mine.select("doc_id", F.inline(_windows(F.col("text"), STEP))).where(" or ".join(met))
+        hits = cut.select("doc_id", "h0", "h1", F.posexplode(F.array(*map(F.expr, minima))).alias("band", "m"))
+        hits = hits.join(bands, ["band", "m"]).select("doc_id", "template_id", F.explode(F.array("h0", "h1")).alias("h"))
+        found.append(hits.join(held, ["template_id", "h"]).select("doc_id", "template_id", "h"))
+    if short:
+        found.append(mine.select("doc_id", F.inline(_short(F.col("text"), short))).select("doc_id", "template_id", "h"))
+    found = reduce(DataFrame.unionAll, found)
+    matched = found.groupBy("doc_id", "template_id").agg(F.count_distinct("h").alias("matched_shingles"))
     out = matched.join(sizes, "template_id")
     return out.where(F.col("matched_shingles") >= p.containment * F.col("template_shingles")).select("doc_id", "template_id", "template_shingles", "matched_shingles", (F.col("matched_shingles") / F.col("template_shingles")).alias("containment"))

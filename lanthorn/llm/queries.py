@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, ctw, decontam, dedup, license_scan, quality, token_counts, toxicity
+from ._licenses import SHORT
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +25,11 @@ def op1_license_scan(spark, sf_dir):
     return license_scan.license_matches(_table(spark, sf_dir, "documents"))
 
 
+def op1_short_notices(spark, sf_dir):
+    """Notices of fewer than five words, which op1_license_scan's SQL has no shingle for."""
+    return license_scan.license_matches(_table(spark, sf_dir, "documents"), license_scan.notices(spark, SHORT))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -67,7 +73,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_bpe, op3_nearest, op4_ctw, op5_quality, op6_toxicity, op7_near_dedup, op8_decontamination, op9_chat, op10_token_counts)
+    f.__name__: f for f in (op1_license_scan, op1_short_notices, op2_bpe, op3_nearest, op4_ctw, op5_quality, op6_toxicity, op7_near_dedup, op8_decontamination, op9_chat, op10_token_counts)
 }
 
 
@@ -95,6 +101,17 @@ select doc_id, template_id, template_shingles, matched_shingles, matched_shingle
 from m join n using (template_id) where matched_shingles >= 0.8 * template_shingles"""
 
 
+def _short_sql() -> str:
+    bare = "regexp_replace({}, '[!-/:-@\\[-`{{-~]+', '', 'g')"
+    plain = lambda c: f"' ' || array_to_string({_WORDS.format(_LOWER.format(bare.format(c)))}, ' ') || ' '"
+    values = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in SHORT.items())
+    return f"""
+with t as (select template_id, {plain('body')} as w from (values {values}) as v(template_id, body)),
+d as (select doc_id, {plain("coalesce(text, '')")} as x from documents)
+select distinct doc_id, template_id, 1::bigint as template_shingles, 1::bigint as matched_shingles, 1.0::double as containment
+from d join t on contains(x, w)"""
+
+
 def _dedup_sql() -> str:
     return f"""
 with recursive d as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents),
@@ -128,4 +145,4 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from c group by conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": _license_sql(), "op7_near_dedup": _dedup_sql(), "op9_chat": _chat_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": _license_sql(), "op1_short_notices": _short_sql(), "op7_near_dedup": _dedup_sql(), "op9_chat": _chat_sql()}

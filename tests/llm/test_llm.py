@@ -77,6 +77,17 @@ def test_license_against_brute_force(spark):
     assert got == want and want
 
 
+def test_license_short_templates_and_bodies(spark):
+    docs = [(1, "Intro. All rights\nreserved."), (2, "ALL RIGHTS RESERVED"), (3, "all rights were reserved"), (4, "overall rights reserved"), (5, None), (None, "a b, all rights reserved!")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    named = spark.createDataFrame([("short", "All rights reserved."), ("one", "Intro")], "template_id string, template string")
+    got = {(r["doc_id"], r["template_id"], r["template_shingles"], r["matched_shingles"], r["containment"]) for r in license_scan.license_matches(docs, named).collect()}
+    assert got == {(1, "short", 1, 1, 1.0), (2, "short", 1, 1, 1.0), (None, "short", 1, 1, 1.0), (1, "one", 1, 1, 1.0)}
+    mit = "Copyright (c) 2020 X\n\n" + license_scan.NOTICES["MIT-text"].replace(". ", ".\n\n")
+    got = license_scan.license_matches(spark.createDataFrame([(1, mit)], "doc_id long, text string")).collect()
+    assert [(r["template_id"], r["containment"]) for r in got] == [("MIT-text", 1.0)]
+
+
 # 2
 
 
