@@ -56,78 +56,85 @@ def rule_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.inline(_rule(name))).select("doc_id", "value", "start", "end")
 
 
+def core_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(corpus(spark, sf_dir), "candidates", _core_candidates())
+
+
+def core_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(core_candidates(spark, sf_dir), "scored", _core_scored())
+
+
 def core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = settled(corpus(spark, sf_dir), "candidates", _core_candidates())
-    df = settled(df, "scored", _core_scored())
-    return settled(df, "findings", _core_findings())
+    return settled(core_scored(spark, sf_dir), "findings", _core_findings())
 
 
-def core_rows(spark, sf_dir):
-    return finding_rows(core(spark, sf_dir), "doc_id")
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan with all rules, entities and document states."""
+    return scan(corpus(spark, sf_dir))
 
 
-def candidate_counts(spark, sf_dir):
-    rows = settled(corpus(spark, sf_dir), "candidates", _core_candidates()).select("doc_id", F.inline("candidates"))
+def candidate_counts(spark, sf_dir, found=core_candidates):
+    rows = found(spark, sf_dir).select("doc_id", F.inline("candidates"))
     return rows.groupBy("layer", "rule", "category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-def tier_assignment(spark, sf_dir):
-    rows = settled(settled(corpus(spark, sf_dir), "candidates", _core_candidates()), "scored", _core_scored()).select("doc_id", F.inline("scored"))
+def tier_assignment(spark, sf_dir, found=core_scored):
+    rows = found(spark, sf_dir).select("doc_id", F.inline("scored"))
     return rows.groupBy("category", "tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-def overlap_resolved(spark, sf_dir):
-    return core_rows(spark, sf_dir).select("doc_id", "id", "category", "value", "start", "end", F.round("confidence", 6).alias("confidence"))
+def overlap_resolved(spark, sf_dir, found=core):
+    return finding_rows(found(spark, sf_dir), "doc_id").select("doc_id", "id", "category", "value", "start", "end", F.round("confidence", 6).alias("confidence"))
 
 
-def risk_per_document(spark, sf_dir):
-    df = settled(core(spark, sf_dir), "risk", _core_risk())
+def risk_per_document(spark, sf_dir, found=core):
+    df = settled(found(spark, sf_dir), "risk", _core_risk())
     return df.select("doc_id", F.col("risk.score").alias("score"), F.col("risk.level").alias("level"), *(F.col(f"risk.counts.{g}").alias(g) for g in ("personal", "internal", "confidential", "secret", "total")))
 
 
-def risk_level_histogram(spark, sf_dir):
-    return risk_per_document(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("max_score"))
+def risk_level_histogram(spark, sf_dir, found=core):
+    return risk_per_document(spark, sf_dir, found).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("max_score"))
 
 
-def findings_by_value(spark, sf_dir):
-    return metrics.by_value(core_rows(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+def findings_by_value(spark, sf_dir, found=core):
+    return metrics.by_value(finding_rows(found(spark, sf_dir), "doc_id")).withColumn("confidence", F.round("confidence", 6))
 
 
-def findings_by_group(spark, sf_dir):
-    return metrics.by_group(core_rows(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+def findings_by_group(spark, sf_dir, found=core):
+    return metrics.by_group(finding_rows(found(spark, sf_dir), "doc_id")).withColumn("confidence", F.round("confidence", 6))
 
 
-def category_join(spark, sf_dir):
+def category_join(spark, sf_dir, found=core):
     """Findings joined with the category table, which has 29 rows."""
-    rows = core_rows(spark, sf_dir).join(F.broadcast(category_table(spark)), "category")
+    rows = finding_rows(found(spark, sf_dir), "doc_id").join(F.broadcast(category_table(spark)), "category")
     return rows.groupBy("group", "severity", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def policy_decision(spark, sf_dir):
-    df = settled(core(spark, sf_dir), "outcome", risk.evaluate(F.col("findings")))
+def policy_decision(spark, sf_dir, found=core):
+    df = settled(found(spark, sf_dir), "outcome", risk.evaluate(F.col("findings")))
     return df.select("doc_id", F.col("outcome.decision").alias("decision"), F.col("outcome.headline").alias("headline"), F.size("outcome.drivers").alias("n_drivers"), F.col("outcome.summary").alias("summary"))
 
 
-def strongest_mention(spark, sf_dir):
-    return metrics.strongest_mentions(core_rows(spark, sf_dir)).select("doc_id", F.lower("value").alias("value"), "category", F.round("confidence", 6).alias("confidence"), "start")
+def strongest_mention(spark, sf_dir, found=core):
+    return metrics.strongest_mentions(finding_rows(found(spark, sf_dir), "doc_id")).select("doc_id", F.lower("value").alias("value"), "category", F.round("confidence", 6).alias("confidence"), "start")
 
 
-def redacted_text(spark, sf_dir):
-    return settled(core(spark, sf_dir), "clean", _sanitized("redact")).select("doc_id", F.col("clean.text").alias("text"))
+def redacted_text(spark, sf_dir, found=core):
+    return settled(found(spark, sf_dir), "clean", _sanitized("redact")).select("doc_id", F.col("clean.text").alias("text"))
 
 
-def pseudonym_map(spark, sf_dir):
-    df = settled(core(spark, sf_dir), "clean", _sanitized("pseudonymize"))
+def pseudonym_map(spark, sf_dir, found=core):
+    df = settled(found(spark, sf_dir), "clean", _sanitized("pseudonymize"))
     return df.select("doc_id", F.inline("clean.replacements")).select("doc_id", "category", F.lower("value").alias("value"), "replacement").distinct()
 
 
-def output_offsets(spark, sf_dir):
-    df = settled(core(spark, sf_dir), "clean", _sanitized("redact"))
+def output_offsets(spark, sf_dir, found=core):
+    df = settled(found(spark, sf_dir), "clean", _sanitized("redact"))
     return df.select("doc_id", F.inline("clean.replacements")).select("doc_id", "id", "replacement", F.col("start").alias("out_start"), F.col("end").alias("out_end"))
 
 
-def synthetic_text(spark, sf_dir):
-    return settled(core(spark, sf_dir), "clean", _sanitized("synthetic")).select("doc_id", F.col("clean.text").alias("text"), F.to_json("clean.value_map").alias("value_map"))
+def synthetic_text(spark, sf_dir, found=core):
+    return settled(found(spark, sf_dir), "clean", _sanitized("synthetic")).select("doc_id", F.col("clean.text").alias("text"), F.to_json("clean.value_map").alias("value_map"))
 
 
 def residual_findings(spark, sf_dir):
@@ -139,9 +146,15 @@ def residual_findings(spark, sf_dir):
     return df.select("doc_id", F.size("findings").alias("n_again"), F.size(sanitize.residual(F.col("findings"), F.col("replacements"))).alias("n_residual"))
 
 
-def scan_delta(spark, sf_dir):
+def full_residual_findings(spark, sf_dir):
+    """What a second whole scan still finds in cleaned documents and notes."""
+    df = settled(whole(spark, sf_dir), "clean", _sanitized("synthetic")).select("doc_id", F.col("clean.text").alias("text"), F.col("clean.replacements").alias("replacements"))
+    return scan(df).select("doc_id", F.size("findings").alias("n_again"), F.size(sanitize.residual(F.col("findings"), F.col("replacements"))).alias("n_residual"))
+
+
+def scan_delta(spark, sf_dir, found=core):
     """Findings that a policy without phone numbers would withdraw."""
-    rows = core_rows(spark, sf_dir)
+    rows = finding_rows(found(spark, sf_dir), "doc_id")
     return metrics.delta(rows, rows.where("category <> 'PHONE'"))
 
 
@@ -150,8 +163,8 @@ def url_signals(spark, sf_dir):
     return rows.select("page_id", F.col("s.id").alias("signal"), F.col("s.weight").alias("weight"))
 
 
-def highlights(spark, sf_dir):
-    return core(spark, sf_dir).select("doc_id", F.posexplode(metrics.highlights(F.col("text"), F.col("findings"))).alias("part", "p")).select("doc_id", "part", F.col("p.text").alias("text"), F.col("p.finding").alias("finding"))
+def highlights(spark, sf_dir, found=core):
+    return found(spark, sf_dir).select("doc_id", F.posexplode(metrics.highlights(F.col("text"), F.col("findings"))).alias("part", "p")).select("doc_id", "part", F.col("p.text").alias("text"), F.col("p.finding").alias("finding"))
 
 
 def class_confidence(spark, sf_dir):
@@ -216,8 +229,10 @@ def prompt_intent(spark, sf_dir):
     return df.select("conv_id", "turn", improve.intent(F.col("text")).alias("intent"), improve.domain(F.col("text")).alias("domain"), improve.has_context(F.col("text")).alias("has_context"))
 
 
-def feedback_records(spark, sf_dir):
-    df = core(spark, sf_dir).withColumn("document", F.struct(F.lit("general").alias("state"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("topics"), F.array().cast(f"array<{scoring.SIGNAL}>").alias("signals")))
+def feedback_records(spark, sf_dir, found=core):
+    df = found(spark, sf_dir)
+    if "document" not in df.columns:
+        df = df.withColumn("document", F.struct(F.lit("general").alias("state"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("topics"), F.array().cast(f"array<{scoring.SIGNAL}>").alias("signals")))
     return feedback.records(df).select("id", "fingerprint.chars", "fingerprint.finding_counts.personal", "fingerprint.finding_counts.secret", "system_state", "user_decision")
 
 
@@ -234,9 +249,9 @@ def newest_events(spark, sf_dir):
     return metrics.newest(table(spark, sf_dir, "events"), "event_id", "event_type").select("event_id", "event_type")
 
 
-def quality_confusion(spark, sf_dir):
+def quality_confusion(spark, sf_dir, found=core):
     """How well a risk above zero tells toxic documents: a confusion count."""
-    rows = table(spark, sf_dir, "labels").join(risk_per_document(spark, sf_dir).select("doc_id", "score"), "doc_id")
+    rows = table(spark, sf_dir, "labels").join(risk_per_document(spark, sf_dir, found).select("doc_id", "score"), "doc_id")
     return rows.agg(*metrics.confusion(F.col("toxic") == 1, F.col("score") > 0))
 
 
@@ -271,7 +286,12 @@ def token_islands(spark, sf_dir):
 
 _FUNCTIONS = (
     candidate_counts, tier_assignment, overlap_resolved, risk_per_document, risk_level_histogram, findings_by_value, findings_by_group, category_join, policy_decision, strongest_mention, redacted_text, pseudonym_map, output_offsets,
-    synthetic_text, residual_findings, scan_delta, url_signals, highlights, class_confidence, classification, heading_lines, roadmap_rows, sensitivity_state, entity_candidates, scan_findings, scan_risk, recoverable_topk, confirmed_findings,
+    synthetic_text, residual_findings, full_residual_findings, scan_delta, url_signals, highlights, class_confidence, classification, heading_lines, roadmap_rows, sensitivity_state, entity_candidates, scan_findings, scan_risk, recoverable_topk, confirmed_findings,
     prompt_rewrite, prompt_intent, feedback_records, latency_percentiles, rolling_latency, newest_events, quality_confusion, table_rows_as_text, stream_check, stream_metrics, token_islands,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"rule_{name}": partial(rule_query, name) for name in RULES} | {f.__name__: f for f in _FUNCTIONS}
+# The same questions, asked of the whole scan; SQL can't follow it.
+_WHOLE = (
+    candidate_counts, tier_assignment, overlap_resolved, risk_per_document, risk_level_histogram, findings_by_value, findings_by_group, category_join, policy_decision, strongest_mention,
+    redacted_text, pseudonym_map, output_offsets, synthetic_text, scan_delta, highlights, feedback_records, quality_confusion,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"rule_{name}": partial(rule_query, name) for name in RULES} | {f.__name__: f for f in _FUNCTIONS} | {f"full_{f.__name__}": partial(f, found=whole) for f in _WHOLE}
