@@ -3,7 +3,8 @@
 A text's terms are its distinct words, lower-cased (A-Z) and stripped of ASCII
 punctuation, and these words' beginnings, hashed to buckets. The score adds a weight for each term and, for each pair
 of terms, the inner product of their factors, so a pair can count for more (or less) than
-its terms alone. Of the buckets, those tied most to the label (chi-squared) are learned.
+its terms alone. Every bucket of the training rows is learned: the ones tied most to the
+label (chi-squared) first and by themselves, then all together, from there.
 
 Labels are learned from a bounded sample (``MOST_LABELLED`` rows); scoring reads whole
 texts of all rows.
@@ -14,7 +15,6 @@ from __future__ import annotations
 import string
 import zlib
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,36 +35,50 @@ def term_buckets(word: bytes) -> list[int]:
     return [zlib.crc32(word) % BUCKETS, *(zlib.crc32(word[:n], 1) % BUCKETS for n in range(3, min(9, len(word))))]
 
 
+class Column:
+    """The numbers of the learned buckets, in their order."""
+
+    def __init__(self, buckets: np.ndarray):
+        self.numbers = np.full(BUCKETS, -1, np.int32)
+        self.numbers[buckets] = np.arange(len(buckets), dtype=np.int32)
+
+    def __contains__(self, bucket: int) -> bool:
+        return self.numbers[bucket] >= 0
+
+    def __getitem__(self, bucket: int) -> int:
+        return self.numbers[bucket]
+
+
 class Terms:
     """The buckets of whole texts; of a bounded number of words they are remembered.
     ``column`` numbers the buckets that matter (default: all, by themselves)."""
 
-    def __init__(self, column: dict[int, int] | None = None, limit: int = 300_000):
+    def __init__(self, column: Column | None = None, limit: int = 300_000):
         self.column, self.limit, self.known = column, limit, {}
 
-    def of(self, text: str | None) -> set[int]:
+    def of(self, text: str | None) -> np.ndarray:
         distinct, column = set(words(text)), self.column
         if len(self.known) > self.limit:
             self.known.clear()
         for w in distinct.difference(self.known):
             found = term_buckets(w)
-            self.known[w] = tuple(found if column is None else (column[b] for b in found if b in column))
-        return set(chain.from_iterable(map(self.known.__getitem__, distinct)))
+            self.known[w] = np.array(found if column is None else [column[b] for b in found if b in column], np.int32).tobytes()
+        return np.unique(np.frombuffer(b"".join(map(self.known.__getitem__, distinct)), np.int32))
 
 
 @dataclass(frozen=True)
 class Machine:
-    """Over the chosen buckets: a bias, a weight and some factors for each."""
+    """Over the learned buckets: a bias, a weight and some factors for each."""
 
-    column: dict[int, int]
+    column: Column
     bias: float
     weight: np.ndarray
     factor: np.ndarray
 
-    def score(self, columns: list[set[int]]) -> np.ndarray:
+    def score(self, columns: list[set[int] | np.ndarray]) -> np.ndarray:
         out = np.empty(len(columns))
         for i, s in enumerate(columns):
-            at = sorted(s)
+            at = s if isinstance(s, np.ndarray) else sorted(s)
             f = self.factor[at]
             out[i] = self.bias + self.weight[at].sum() + 0.5 * (f.sum(axis=0) ** 2 - (f**2).sum(axis=0)).sum()
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
@@ -88,13 +102,13 @@ def choose(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int) ->
 
 def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 1024, least_rows: int = 4, rank: int = 8, epochs: int = 40, rate: float = 0.1, decay: float = 1e-3, most_weight: float = 4.0, seed: int = 3) -> Machine:
     """From each row's distinct buckets and its label. Adagrad on logistic loss, in which the rarer toxic rows weigh up to ``most_weight``.
+    ``most`` and ``least_rows`` bound the buckets that are learned first, not the machine's.
     With one label only, the score is that label's share."""
     y = y.astype(np.float64)
     n, positive = len(y), y.sum()
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     weigh = np.where(y == 1, np.clip((n - positive) / max(positive, 1), 1, most_weight), 1.0)
     buckets = choose(rows, y, most, least_rows) if 0 < positive < n else []
-    column = {b: k for k, b in enumerate(buckets)}
     m, rng = len(buckets), np.random.default_rng(seed)
     w, f = np.zeros(m), rng.normal(0, 0.01, (m, rank))
     gw, gf, gb = np.full(m, 1e-8), np.full((m, rank), 1e-8), 1e-8
@@ -117,7 +131,57 @@ def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 1024, least_rows: int
             w -= rate * dw / np.sqrt(gw)
             f -= rate * 0.3 * df / np.sqrt(gf)
             bias -= rate * db / np.sqrt(gb)
-    return Machine(column, float(bias), w, f)
+    return fit_all(rows, y, weigh, buckets, float(bias), w, f, epochs // 2, rate, decay, rng)
+
+
+def blocks(rows: list[np.ndarray], order: np.ndarray, size: int = 256):
+    """The rows in blocks: their numbers, their distinct columns, each entry's place among
+    these and where each row's entries start; and the entries by column: their rows and
+    where each column's start. Rows without entries are left out."""
+    order = np.array([i for i in order if len(rows[i])], np.int64)
+    for at in np.array_split(order, max(1, len(order) // size)) if len(order) else ():
+        sizes = np.array([len(rows[i]) for i in at])
+        columns, entry = np.unique(np.concatenate([rows[i] for i in at]), return_inverse=True)
+        by = np.argsort(entry, kind="stable")
+        owner = np.repeat(np.arange(len(at), dtype=np.int32), sizes)[by]
+        yield at, columns, entry.astype(np.int32), np.cumsum(sizes) - sizes, owner, np.searchsorted(entry[by], np.arange(len(columns)))
+
+
+def fit_all(rows: list[np.ndarray], y: np.ndarray, weigh: np.ndarray, first: list[int], bias: float, weight: np.ndarray, factor: np.ndarray, epochs: int, rate: float, decay: float, rng, start: float = 0.1) -> Machine:
+    """The machine over all buckets of the rows, from what the ``first`` ones learned, by
+    sparse Adagrad: a block updates its own columns, whose decay makes up for the blocks
+    without them. Sums of squares begin at ``start``, so a rare bucket moves little."""
+    if not first and (y == y[:1]).all():
+        return Machine(Column(np.empty(0, np.int32)), bias, weight, factor)
+    known = np.unique(np.concatenate(rows))
+    m, rank = len(known), factor.shape[1]
+    w, f = np.zeros(m, np.float32), rng.normal(0, 0.01, (m, rank)).astype(np.float32)
+    at = np.searchsorted(known, np.array(first, np.int32))
+    w[at], f[at] = weight, factor
+    gw, gf, gb = np.full(m, start, np.float32), np.full((m, rank), start, np.float32), start
+    parts = list(blocks([np.searchsorted(known, r).astype(np.int32) for r in rows], rng.permutation(len(rows))))
+    touched = np.zeros(m, np.float32)
+    for part in parts:
+        touched[part[1]] += 1
+    late = len(parts) / np.maximum(touched, 1)
+    for _ in range(epochs):
+        for k in rng.permutation(len(parts)):
+            at, columns, entry, starts, owner, firsts = parts[k]
+            wl, fl, d = w[columns], f[columns], decay * late[columns]
+            total = np.add.reduceat(fl[entry], starts, axis=0)
+            z = bias + np.add.reduceat((wl - 0.5 * (fl**2).sum(axis=1))[entry], starts) + 0.5 * (total**2).sum(axis=1)
+            g = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[at]) * weigh[at] / len(at)).astype(np.float32)
+            both = np.add.reduceat(np.column_stack([g, g[:, None] * total])[owner], firsts, axis=0)
+            dw = both[:, 0] + d * wl / 10
+            df = both[:, 1:] - both[:, :1] * fl + d[:, None] * fl
+            gw[columns] += dw**2
+            gf[columns] += df**2
+            db = float(g.sum())
+            gb += db**2
+            w[columns] = wl - rate * dw / np.sqrt(gw[columns])
+            f[columns] = fl - rate * 0.3 * df / np.sqrt(gf[columns])
+            bias -= rate * db / np.sqrt(gb)
+    return Machine(Column(known), float(bias), w, f)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (5, 0), key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> Machine:
@@ -126,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tu
     def run(source):
         terms = Terms()
         for texts, marks in batches(source, ["text", "label"]):
-            yield record(schema, marks, [np.array(sorted(terms.of(t)), np.int32).tobytes() for t in texts])
+            yield record(schema, marks, [terms.of(t).tobytes() for t in texts])
 
     may_learn = bucket(F.col("id"), held_out[0]) != held_out[1]
     rows = labelled(docs, labels, label, may_learn, key, text, most).select("text", "label")

@@ -283,6 +283,21 @@ def test_pairs_count_beyond_their_terms():
     assert score(a, b) > 0.5 > max(score(a), score(b))
 
 
+def test_neutral_terms_are_learned_among_many():
+    """Two terms as common in toxic rows as in others, toxic only when one stands alone,
+    among more noise terms than are learned first."""
+    a, b, rng = 1, 2, np.random.default_rng(0)
+    sets, y = [], []
+    for k in range(1600):
+        s = ({a} if k & 1 else set()) | ({b} if k & 2 else set()) | set((10 + rng.choice(1500, 4, replace=False)).tolist())
+        sets.append(np.array(sorted(s), np.int32))
+        y.append((k & 1) ^ (k >> 1 & 1))
+    assert not {a, b} & set(toxicity.choose(sets, np.array(y), 1024, 4))
+    m = toxicity.fit(sets, np.array(y), epochs=400)
+    score = lambda *t: m.score([{m.column[x] for x in t}])[0]
+    assert min(score(a), score(b)) > 0.5 > max(score(a, b), score())
+
+
 # 7
 
 
