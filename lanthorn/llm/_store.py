@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that a writer holds before they go to the file, about.
+ROW_GROUP = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. A folder of its own only where that
     is unset, as in local tests."""
@@ -33,8 +37,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As ``checkpointed``, but columnar: later readers take only their columns."""
+    """As ``checkpointed``, but columnar: later readers take only their columns. The
+    table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

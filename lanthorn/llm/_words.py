@@ -3,9 +3,14 @@ split at ``[\\x20\\x09-\\x0D]+``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 MASK64 = (1 << 64) - 1
 
@@ -56,3 +61,18 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],
         schema=schema,
     )
+
+
+def rows_where(docs: DataFrame, text: Column, decide: Callable[[], Callable[[list], np.ndarray]], most_rows: int = 500) -> DataFrame:
+    """The rows whose text ``decide`` keeps, all columns as they were. Only the texts go to
+    Python and only flags come back. ``decide()`` makes the test of a task: a function of a
+    list of texts that returns a flag for each."""
+
+    @F.arrow_udf(BooleanType())
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        test = decide()
+        for batch in batches:
+            flags = [test(batch.slice(at, most_rows).to_pylist()) for at in range(0, len(batch), most_rows)]
+            yield pa.array(np.concatenate(flags) if flags else [], pa.bool_())
+
+    return docs.where(keep(text))

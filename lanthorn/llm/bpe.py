@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from contextlib import contextmanager
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed: the split pattern of the vocabulary file, as its pre-tokeniser states it.
 # White space is named by its Unicode property.
@@ -98,7 +101,7 @@ class Vocabulary:
         step = state * 256 + byte
         while (goal := self.edges.get(state * 256 + byte)) is None and state:
             state = self.fail[state]
-        if len(self.goto) > 2_000_000:
+        if len(self.goto) > len(self.edges) + 200_000:
             self.goto.clear()
             self.goto.update(self.edges)
         self.goto[step] = goal = goal or 0
@@ -118,7 +121,7 @@ class Vocabulary:
                 y_ends, y = self.rank[y], self.parts[y][0]
             else:
                 break
-        if len(self.stays) > 1_000_000:
+        if len(self.stays) > 250_000:
             self.stays.clear()
         self.stays[left << 20 | right] = holds
         return holds
@@ -189,59 +192,81 @@ class Remembered(dict):
         self.update((k, older[k]) for k in again)
         return new - again
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Encoder:
     """Encodes texts. Spaces with no other white space beside them part a text into chunks
-    that encode by themselves; chunks and words are remembered."""
+    that encode by themselves; chunks of up to ``longest`` characters are remembered, so
+    memory is bounded by ``limit`` times that."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
-        self.vocabulary = vocabulary
-        self.words, self.chunks = Remembered(limit), Remembered(limit)
+    def __init__(self, vocabulary: Vocabulary, limit: int = 150_000, longest: int = 40):
+        self.vocabulary, self.longest = vocabulary, longest
+        self.chunks = Remembered(limit)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         v, out = self.vocabulary, [[] for _ in texts]
         plain = {i: t.split(" ") for i, t in enumerate(texts) if t and not any(a in t for a in v.added)}
-        self._learn(set(chain.from_iterable(plain.values())))
-        get, slow = self.chunks.__getitem__, []
+        long = self._learn(set(chain.from_iterable(plain.values())))
+        firsts = dict(zip(plain, self._pieces([v.split(c[0]) for c in plain.values()]), strict=True))
+        get, slow = self.chunks.__getitem__, {}
         for i, chunks in plain.items():
             encoded = list(map(get, chunks[1:]))
             if None in encoded or not chunks[0] or chunks[0][-1].isspace():
-                slow.append(i)
+                slow[i] = v.pieces(texts[i])
             else:
-                out[i] = [*self._pieces(v.split(chunks[0])), *chain.from_iterable(encoded)]
-        slow += [i for i, t in enumerate(texts) if t and i not in plain]
-        for i in slow:
-            out[i] = self._pieces(v.pieces(texts[i]))
+                out[i] = [*firsts[i], *chain.from_iterable(encoded)]
+        slow |= {i: v.pieces(t) for i, t in enumerate(texts) if t and i not in plain}
+        for i, ids in zip(slow, self._pieces(list(slow.values())), strict=True):
+            out[i] = ids
+        for c in long:
+            del self.chunks[c]
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """A chunk's encoding behind a space; None if white space touches the space."""
+    def _learn(self, chunks: set[str]) -> list[str]:
+        """Finds each chunk's encoding behind a space; None if white space touches the
+        space. Returns the chunks that are too long to be remembered."""
         new = self.chunks.missing(chunks)
         split = {c: self.vocabulary.split(" " + c) for c in new if c and not c[0].isspace() and not c[-1].isspace()}
-        self._know(set(chain.from_iterable(split.values())))
-        word = self.words.__getitem__
+        word = self.vocabulary.encode_words(set(chain.from_iterable(split.values()))).__getitem__
         self.chunks.update((c, tuple(chain.from_iterable(map(word, p)))) for c, p in split.items())
         self.chunks.update(dict.fromkeys(new.difference(split)))
+        return [c for c in new if len(c) > self.longest]
 
-    def _know(self, words: set[str]) -> None:
-        self.words.update(self.vocabulary.encode_words(self.words.missing(words)))
-
-    def _pieces(self, pieces: list[str]) -> list[int]:
+    def _pieces(self, texts: list[list[str]]) -> list[list[int]]:
+        """The ids of texts that are split into pieces."""
         added = self.vocabulary.added
-        self._know({p for p in pieces if p not in added})
-        return list(chain.from_iterable((added[p],) if p in added else self.words[p] for p in pieces))
+        word = self.vocabulary.encode_words({p for pieces in texts for p in pieces if p not in added})
+        return [list(chain.from_iterable((added[p],) if p in added else word[p] for p in pieces)) for pieces in texts]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(content: str) -> Encoder:
-    """One per Python worker and vocabulary."""
+@contextmanager
+def encoder(content: str):
+    """One per Python worker and vocabulary. What it remembers of texts goes when the task
+    ends, since an idle worker keeps its memory; the vocabulary stays."""
     key = hashlib.sha256(content.encode()).hexdigest()
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(Vocabulary(content))
-    return _encoders[key]
+    try:
+        yield _encoders[key]
+    finally:
+        _encoders[key].chunks.forget()
+        pa.default_memory_pool().release_unused()
+
+
+def _encoded(source, content: str, column: int, most: int = 500):
+    """Parts of the batches, each with its texts' ids, and the vocabulary."""
+    with encoder(content) as enc:
+        for batch in source:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                yield part, enc.encode(part.column(column).to_pylist()), enc.vocabulary
 
 
 def read_vocabulary(path: str) -> str:
@@ -253,45 +278,36 @@ def read_vocabulary(path: str) -> str:
     return content
 
 
-def bpe_encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``ids`` array<int> and ``decoded`` string, or only the columns in
-    ``keep`` besides those two. One pass without a shuffle; other columns pass through
-    unchanged, whatever their names."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
+def bpe_encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: list[str] | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs``, or only its columns in ``keep``, with ``ids`` array<int> and ``decoded``
+    string after them. A kept column of either name is an error; name the new ones
+    otherwise then. One pass without a shuffle. Each row is encoded by itself: repeated rows
+    repeat, null and empty texts have no tokens and decode to an empty text, an empty table
+    gives an empty one, and a very long text is held by its task as one row."""
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    kept = docs.select(*(keep if keep is not None else [c for c in docs.columns if c not in ("ids", "decoded")]))
-    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    columns = docs.columns if keep is None else keep
+    if {ids.lower(), decoded.lower()} & {c.lower() for c in columns}:
+        raise ValueError(f"the table has a column {ids} or {decoded}; choose other names for the results")
+    kept = docs.select(*(F.col(f"`{c}`") for c in columns))
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(source):
-        enc = encoder(shipped.value)
-        for batch in source:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = enc.encode(part.column(0).to_pylist())
-                decoded = [enc.vocabulary.decode(i) for i in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*part.schema.names[1:], "ids", "decoded"])
+        for part, found, vocabulary in _encoded(source, shipped.value, 0):
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.list_(pa.int32())), pa.array(map(vocabulary.decode, found), pa.string())], names=[*part.schema.names[1:], ids, decoded])
 
-    return docs.select(F.col(text).alias("__text"), *kept.columns).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("__bpe_text"), *(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
 
 
 def bpe_digests(docs: DataFrame, vocabulary_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document the number of tokens and SHA-256 digests of the ids, joined by
-    commas, and of the decoded text."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each row: the number of tokens
+    and SHA-256 digests of the ids, joined by commas, and of the decoded text. Cases are
+    defined as for ``bpe_encode``; a null id stays null and other columns don't matter."""
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(source):
-        enc = encoder(shipped.value)
-        names = enc.vocabulary.names
-        digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for batch in source:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = enc.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([digest(",".join(map(names.__getitem__, i))) for i in ids]), pa.array([digest(enc.vocabulary.decode(i)) for i in ids])],
-                    schema=SCHEMA,
-                )
-
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for part, found, vocabulary in _encoded(source, shipped.value, 1):
+            joined = [digest(",".join(map(vocabulary.names.__getitem__, i))) for i in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, found), pa.int64()), pa.array(joined, pa.string()), pa.array([digest(vocabulary.decode(i)) for i in found], pa.string())], schema=SCHEMA)
+
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._words import batches, record, words
+from ._words import batches, record, rows_where, words
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def rolling(numbers: np.ndarray, width: int) -> np.ndarray:
 
 def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles ``(item start, doc start, length)`` from the seeds' ``(item, doc)``
-    positions. The longest comes first, ties by item position, then by document
+    positions, of which the first of each match is enough. The longest comes first, ties by item position, then by document
     position. A match that earlier tiles cut is offered again in its free parts."""
     seeds = sorted(seeds, key=lambda s: (s[1] - s[0], s[0]))
     heap, end = [], (None, -1)
@@ -92,6 +92,9 @@ class Benchmark:
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.hashes, self.where = flat[order], np.array(where, np.int64).reshape(-1, 2)[order]
+        #: Places in the benchmark, one apart for runs that follow each other in an item.
+        gaps = np.concatenate([np.arange(len(h)) + start for h, start in zip(hashes, np.cumsum([0, *(len(h) + 1 for h in hashes)]), strict=False)]) if hashes else np.empty(0, np.int64)
+        self.order = gaps.astype(np.int64)[order]
 
     def matches(self, tokens: list[bytes]) -> list[tuple[int, int, int, int]]:
         """``(item id, words in the item, words tiled, tiles)`` of each item with a seed."""
@@ -111,8 +114,13 @@ class Benchmark:
         h ^= h >> np.uint64(29)
         low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
         seeds: dict[int, list[tuple[int, int]]] = {}
+        before, last = np.empty(0, np.int64), -2
         for k in np.flatnonzero(high > low):
-            for i, t in self.where[low[k] : high[k]].tolist():
+            here = np.arange(low[k], high[k])
+            # What only goes on with a match of the words before is no new start.
+            new = here if at[k] != last + 1 else here[np.isin(self.order[here], self.order[before] + 1, invert=True)]
+            before, last = here, at[k]
+            for i, t in self.where[new].tolist():
                 if np.array_equal(self.items[i][1][t : t + self.least], windows[k]):
                     seeds.setdefault(i, []).append((t, int(at[k])))
         out = []
@@ -172,3 +180,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.count_if(hit).alias("n_items"), best.alias("b")).select(
         "doc_id", "n_words", "n_items", F.col("b.item_id").alias("item_id"), F.col("b.coverage").alias("coverage"), F.coalesce("b.matched_words", F.lit(0)).alias("matched_words"), F.coalesce("b.tiles", F.lit(0)).alias("tiles"), (F.col("n_items") > 0).alias("contaminated")
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", p: Tiling = Tiling()) -> DataFrame:
+    """The rows of ``docs`` that cover no item to the threshold, all columns as they were.
+    Each row is judged by its text alone, so ids may be null or repeated; null and empty
+    texts stay. An empty benchmark keeps all. A block of the benchmark reads what the blocks
+    before left."""
+    for items in _blocks(benchmark, item_key, item_text, p):
+        shipped = docs.sparkSession.sparkContext.broadcast(items)
+
+        def decide(shipped=shipped):
+            bench = Benchmark(shipped.value, p.least)
+            clean = lambda t: all(m[2] < p.coverage * m[1] for m in bench.matches(words(t)))
+            return lambda texts: np.array([clean(t) for t in texts], bool)
+
+        docs = rows_where(docs, F.col(text), decide)
+    return docs

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import MOST_LABELLED, bucket, labelled
-from ._words import batches, record
+from ._words import batches, record, rows_where
 
 CUT = 0.7
 _CLASSES = 14
@@ -112,13 +112,17 @@ def _collect_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: tuple[int, int] = (4, 2), key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> Ranking:
+    """From the labelled documents that are not held out, at most ``most`` (each a feature
+    vector of fixed size on the driver). Without any, every text reaches the cut."""
     may_learn = bucket(F.col("id"), held_out[0]) != held_out[1]
     return fit(*_collect_features(labelled(docs, labels, label, may_learn, key, text, most)))
 
 
 def quality_scores(docs: DataFrame, ranking: Ranking, held_out: tuple[int, int] = (4, 2), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for each row; null and empty texts get
-    the score of a text without features."""
+    """``(doc_id, held_out, score, predicted)`` for each row. Null and empty texts get the
+    score of a text without features, equal texts equal scores; repeated ids and rows stay,
+    a null id is not held out, an empty table gives an empty result. A text is read whole,
+    however long. Other columns don't matter."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     shipped = docs.sparkSession.sparkContext.broadcast(ranking)
 
@@ -132,14 +136,8 @@ def quality_scores(docs: DataFrame, ranking: Ranking, held_out: tuple[int, int]
 
 
 def keep_good(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score reaches the cut, all columns as they were."""
+    """The rows of ``docs`` whose score reaches the cut, all columns as they were and
+    whatever their names. Each row is judged by its text alone; cases as for
+    ``quality_scores``."""
     shipped = docs.sparkSession.sparkContext.broadcast(ranking)
-    at = docs.columns.index(text)
-
-    def run(source):
-        for batch in source:
-            if batch.num_rows:
-                x = np.stack([features(t) for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array(shipped.value.score(x) >= CUT))
-
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, docs[text], lambda: lambda texts: shipped.value.score(np.stack([features(t) for t in texts])) >= CUT)

@@ -6,14 +6,16 @@ of terms, the inner product of their factors, so a pair can count for more (or l
 its terms alone. Every bucket of the training rows is learned: the ones tied most to the
 label (chi-squared) first and by themselves, then all together, from there.
 
-Labels are learned from a bounded sample (``MOST_LABELLED`` rows); scoring reads whole
+Labels are learned from a bounded sample (``MOST_LABELLED`` rows, ``MOST_TERMS`` terms); scoring reads whole
 texts of all rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import string
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import MOST_LABELLED, bucket, labelled
-from ._words import batches, record, words
+from ._store import written
+from ._words import batches, record, rows_where, words
 
 CUT = 0.5
 BUCKETS = 1 << 20
+#: The bound on the terms of all rows that the machine learns from.
+MOST_TERMS = 12 << 20
 _PUNCTUATION = string.punctuation.encode()
 
 
@@ -53,7 +58,7 @@ class Terms:
     """The buckets of whole texts; of a bounded number of words they are remembered.
     ``column`` numbers the buckets that matter (default: all, by themselves)."""
 
-    def __init__(self, column: Column | None = None, limit: int = 300_000):
+    def __init__(self, column: Column | None = None, limit: int = 100_000):
         self.column, self.limit, self.known = column, limit, {}
 
     def of(self, text: str | None) -> np.ndarray:
@@ -75,10 +80,10 @@ class Machine:
     weight: np.ndarray
     factor: np.ndarray
 
-    def score(self, columns: list[set[int] | np.ndarray]) -> np.ndarray:
-        out = np.empty(len(columns))
-        for i, s in enumerate(columns):
-            at = s if isinstance(s, np.ndarray) else sorted(s)
+    def score(self, columns: Iterable[np.ndarray], n: int) -> np.ndarray:
+        """Of ``n`` texts, given the learned buckets of each."""
+        out = np.empty(n)
+        for i, at in enumerate(columns):
             f = self.factor[at]
             out[i] = self.bias + self.weight[at].sum() + 0.5 * (f.sum(axis=0) ** 2 - (f**2).sum(axis=0)).sum()
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
@@ -131,7 +136,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, most: int = 1024, least_rows: int
             w -= rate * dw / np.sqrt(gw)
             f -= rate * 0.3 * df / np.sqrt(gf)
             bias -= rate * db / np.sqrt(gb)
-    return fit_all(rows, y, weigh, buckets, float(bias), w, f, epochs // 2, rate, decay, rng)
+    return fit_all(rows, y, weigh, buckets, float(bias), w, f, 3 * epochs, rate, decay, rng)
 
 
 def blocks(rows: list[np.ndarray], order: np.ndarray, size: int = 256):
@@ -147,10 +152,10 @@ def blocks(rows: list[np.ndarray], order: np.ndarray, size: int = 256):
         yield at, columns, entry.astype(np.int32), np.cumsum(sizes) - sizes, owner, np.searchsorted(entry[by], np.arange(len(columns)))
 
 
-def fit_all(rows: list[np.ndarray], y: np.ndarray, weigh: np.ndarray, first: list[int], bias: float, weight: np.ndarray, factor: np.ndarray, epochs: int, rate: float, decay: float, rng, start: float = 0.1) -> Machine:
+def fit_all(rows: list[np.ndarray], y: np.ndarray, weigh: np.ndarray, first: list[int], bias: float, weight: np.ndarray, factor: np.ndarray, steps: int, rate: float, decay: float, rng, start: float = 0.1) -> Machine:
     """The machine over all buckets of the rows, from what the ``first`` ones learned, by
-    sparse Adagrad: a block updates its own columns, whose decay makes up for the blocks
-    without them. Sums of squares begin at ``start``, so a rare bucket moves little."""
+    sparse Adagrad in ``steps`` steps (a block of 256 rows each, as many passes as that takes):
+    a block updates its own columns, whose decay makes up for the blocks without them. Sums of squares begin at ``start``, so a rare bucket moves little."""
     if not first and (y == y[:1]).all():
         return Machine(Column(np.empty(0, np.int32)), bias, weight, factor)
     known = np.unique(np.concatenate(rows))
@@ -164,7 +169,7 @@ def fit_all(rows: list[np.ndarray], y: np.ndarray, weigh: np.ndarray, first: lis
     for part in parts:
         touched[part[1]] += 1
     late = len(parts) / np.maximum(touched, 1)
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(len(parts), 1)) if parts else 0):
         for k in rng.permutation(len(parts)):
             at, columns, entry, starts, owner, firsts = parts[k]
             wl, fl, d = w[columns], f[columns], decay * late[columns]
@@ -184,30 +189,46 @@ def fit_all(rows: list[np.ndarray], y: np.ndarray, weigh: np.ndarray, first: lis
     return Machine(Column(known), float(bias), w, f)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (5, 0), key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> Machine:
-    schema = pa.schema([("label", pa.int32()), ("terms", pa.binary())])
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (5, 0), key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED, most_terms: int = MOST_TERMS) -> Machine:
+    """From the labelled documents that are not held out: at most ``most``, and in the order
+    of their hashed ids only as far as they have ``most_terms`` terms together (four bytes
+    each), so one task can learn from them. Without any, every text gets the same score."""
+    schema = pa.schema([("place", pa.int64()), ("label", pa.int32()), ("terms", pa.binary())])
 
     def run(source):
         terms = Terms()
-        for texts, marks in batches(source, ["text", "label"]):
-            yield record(schema, marks, [terms.of(t).tobytes() for t in texts])
+        for places, texts, marks in batches(source, ["place", "text", "label"], 500):
+            yield record(schema, places, marks, [terms.of(t).tobytes() for t in texts])
 
     may_learn = bucket(F.col("id"), held_out[0]) != held_out[1]
-    rows = labelled(docs, labels, label, may_learn, key, text, most).select("text", "label")
-    found = sorted((bytes(r["terms"]), r["label"]) for r in rows.mapInArrow(run, "label int, terms binary").collect())
-    return fit([np.frombuffer(b, np.int32) for b, _ in found], np.array([y == 1 for _, y in found], np.int64))
+    rows = labelled(docs, labels, label, may_learn, key, text, most).select(F.xxhash64("id", F.lit(11)).alias("place"), "text", "label")
+    sample = written(rows.mapInArrow(run, "place long, label int, terms binary"))
+    sizes = sorted((r["place"], r["n"]) for r in sample.select("place", F.octet_length("terms").alias("n")).collect())
+    upto = int(np.searchsorted(np.cumsum([n for _, n in sizes]), 4 * most_terms, "right"))
+    if not upto:
+        return fit([], np.zeros(0, np.int64))
+
+    def learn(source):
+        found = sorted((t, mark) for marks, terms in batches(source, ["label", "terms"], 500) for mark, t in zip(marks, terms, strict=True))
+        machine = fit([np.frombuffer(t, np.int32) for t, _ in found], np.array([y == 1 for _, y in found], np.int64))
+        yield pa.RecordBatch.from_pydict({"machine": pa.array([pickle.dumps(machine)], pa.binary())})
+
+    within = sample.where(F.col("place") <= sizes[upto - 1][0])  # bounded by ``most_terms``
+    return pickle.loads(within.coalesce(1).mapInArrow(learn, "machine binary").first()[0])
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine, held_out: tuple[int, int] = (5, 0), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for each row; a text without known terms,
-    as an empty or null one, gets the bias's score."""
+    """``(doc_id, held_out, score, predicted)`` for each row. A text without known terms, as
+    an empty or null one, gets the bias's score, equal texts equal scores; repeated ids and
+    rows stay, a null id is not held out, an empty table gives an empty result. A text is
+    read whole, however long. Other columns don't matter."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     shipped = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(source):
         terms = Terms(shipped.value.column)
         for ids, texts in batches(source, ["doc_id", "text"]):
-            yield record(schema, ids, shipped.value.score([terms.of(t) for t in texts]))
+            yield record(schema, ids, shipped.value.score(map(terms.of, texts), len(texts)))
 
     scored = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, score double")
     out = F.coalesce(bucket(F.col("doc_id"), held_out[0]) == held_out[1], F.lit(False))
@@ -215,15 +236,12 @@ def toxicity_scores(docs: DataFrame, machine: Machine, held_out: tuple[int, int]
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` below the cut, all columns as they were."""
+    """The rows of ``docs`` below the cut, all columns as they were and whatever their
+    names. Each row is judged by its text alone; cases as for ``toxicity_scores``."""
     shipped = docs.sparkSession.sparkContext.broadcast(machine)
-    at = docs.columns.index(text)
 
-    def run(source):
+    def decide():
         terms = Terms(shipped.value.column)
-        for batch in source:
-            if batch.num_rows:
-                scores = shipped.value.score([terms.of(t) for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array(scores < CUT))
+        return lambda texts: shipped.value.score(map(terms.of, texts), len(texts)) < CUT
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, docs[text], decide)

@@ -99,7 +99,7 @@ def library():
 
 
 def test_bpe_as_the_library(library):
-    enc = bpe.encoder(bpe.read_vocabulary(vocabulary_path()))
+    enc = bpe.Encoder(bpe.Vocabulary(bpe.read_vocabulary(vocabulary_path())))
     rng = random.Random(2)
     parts = ["a", "b", " ", "  ", "\n", "\t", "é", "日", "😀", "'s", "<|endoftext|>", "1", "22", "!", " ", " ", "\x1c", "\x85", "the", "ing", "aaaa", "\x00", "²", " a"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + ["a" * 3000, "xyz" * 500, " " * 50]
@@ -148,6 +148,24 @@ def test_nearest(spark):
     assert same and same == [0, *range(2001, 2060)][: len(same)]
 
 
+def test_nearest_with_repeated_ids(spark):
+    """Rows, ids and vectors that repeat don't crowd out other ids."""
+    rng = np.random.default_rng(4)
+    data = [(1, [3.0, 3.0, 0.0])] * 50 + [(2, [3.0 + k / 100, 3.0, 1.0]) for k in range(40)]
+    data += [(i, rng.normal(size=3).tolist()) for i in range(20, 60)] + [(20, [0.5, 0.5, 0.5]), (None, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("id") % 20 == 0).collect()
+    for q in (20, 40):
+        best: dict = {}
+        for own in (v for i, v in data if i == q):
+            for i, v in data:
+                if i is not None and i != q:
+                    best[i] = max(best.get(i, -1e9), float(np.dot(own, v)))
+        want = sorted((-s, i) for i, s in best.items())[:20]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [i for _, i, _ in mine] == [i for _, i in want] and np.allclose([s for _, _, s in mine], [-s for s, _ in want])
+
+
 def test_nearest_edges(spark):
     nan = float("nan")
     data = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [None, 1.0]), (5, [2.0, 0.0]), (20, [0.0, 3.0, 1.0]), (None, [1.0, 1.0]), (6, []), (7, [float("inf"), 1.0])]
@@ -279,7 +297,7 @@ def test_pairs_count_beyond_their_terms():
         sets.append(np.array(sorted(s), np.int32))
         y.append(int(a in s and b in s))
     m = toxicity.fit(sets, np.array(y), epochs=200)
-    score = lambda *t: m.score([{m.column[x] for x in t if x in m.column}])[0]
+    score = lambda *t: m.score([np.array(sorted(m.column[x] for x in t if x in m.column), np.int32)], 1)[0]
     assert score(a, b) > 0.5 > max(score(a), score(b))
 
 
@@ -294,7 +312,7 @@ def test_neutral_terms_are_learned_among_many():
         y.append((k & 1) ^ (k >> 1 & 1))
     assert not {a, b} & set(toxicity.choose(sets, np.array(y), 1024, 4))
     m = toxicity.fit(sets, np.array(y), epochs=400)
-    score = lambda *t: m.score([{m.column[x] for x in t}])[0]
+    score = lambda *t: m.score([np.array(sorted(m.column[x] for x in t), np.int32)], 1)[0]
     assert min(score(a), score(b)) > 0.5 > max(score(a, b), score())
 
 
@@ -323,6 +341,25 @@ def brute_components(texts, k, percent):
     return {i: (len(sets.get(i, ())), root(i)) for i, _ in texts}
 
 
+def test_near_duplicates_with_shared_ids(spark):
+    """An id with several texts is linked with what any of them is linked with; one row of
+    each group stays."""
+    rng = random.Random(8)
+    body = lambda: [f"w{rng.randrange(5000)}" for _ in range(80)]
+    near = lambda b: " ".join([*b[:-1], f"z{rng.randrange(9)}"])
+    a, b, c = body(), body(), body()
+    data = [(7, " ".join(a)), (7, " ".join(b)), (8, near(a)), (9, near(b)), (9, near(b)), (10, " ".join(c)), (10, " ".join(c)), (3, " ".join(body())), (None, " ".join(c)), (None, " ".join(body())), (None, "only here"), (None, "only here"), (4, None), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, f"r{k}") for k, (i, t) in enumerate(data)], "doc_id long, text string, n_shingles string")
+    for p in (dedup.MinHash(), dedup.MinHash(most_paired=1)):
+        got = {(r["doc_id"], r["component_id"]) for r in dedup.near_duplicates(docs, p=p).where("doc_id is not null").collect()}
+        assert got == {(7, 7), (8, 7), (9, 7), (10, 10), (3, 3), (4, 4), (5, 5)}
+    kept = dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert len(kept) == 8 and [i for i, _ in kept if i is not None].count(7) == 1
+    assert {i for i, _ in kept} == {7, 10, 3, 4, 5, None} and [t for i, t in kept if i is None and t != "only here"] == [data[9][1]]
+
+
 @pytest.mark.parametrize("small", [16, 2])
 def test_near_duplicates_against_brute_force(spark, small):
     """Clouds of near copies in which not all pairs are links; ``small`` decides whether
