@@ -7,7 +7,6 @@ labels of documents that reached their stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lanthorn.llm import bpe, decontam, dedup, quality, toxicity
 from lanthorn.llm._store import written
@@ -24,13 +23,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
-    kept = dedup.near_duplicates(docs, p=dedup.MinHash(shingle=5, percent=80)).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    return dedup.keep_first(docs, p=dedup.MinHash(shingle=5, percent=80))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bad = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """Documents that cover a benchmark item to four fifths go."""
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
