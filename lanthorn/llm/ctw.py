@@ -10,13 +10,15 @@ Run over blocks of documents:
 
 1. Documents are packed into blocks of bounded size, written once. A block also lists its
    distinct words and its distinct (context, byte) strings with their training counts,
-   dealt into buckets. Strings whose last two context bytes agree share a bucket, so each
-   bucket holds whole subtrees.
-2. Buckets add up the counts. Word buckets return each word's count. String buckets weight
-   their subtrees from the leaves up to depth two; the nodes above are few (at most 256^2
-   contexts) and joined as tables; then the mixture's weights go down to the leaves, which
-   gives the log probability of every string.
-3. The values return to their blocks, which add them up for each document.
+   dealt into buckets whose number follows the input. Strings whose last ``split`` context
+   bytes agree share a bucket, so each bucket holds whole subtrees.
+2. Buckets add up the counts, first over groups of ``blocks_a_group`` blocks, then over the
+   groups, so no task holds more than these or the distinct strings of a bucket. Subtrees
+   are weighted from the leaves up to depth ``split``; the nodes above are joined as tables;
+   then the mixture's weights go down to the leaves, which gives the log probability of
+   every string.
+3. The values return to their blocks, a group at a time; blocks add them up for each
+   document.
 
 No model is broadcast or collected. What moves follows the distinct strings of the blocks,
 so it grows with the input. Words are told apart by 64-bit hashes.
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,7 @@ from pyspark.sql.types import DoubleType
 
 from ._labels import bucket as crc_bucket
 from ._store import written
-from ._words import WordHashes, batches, record, words
+from ._words import WordHashes, batches, mix, record, words
 
 HALF = math.log(0.5)
 U = np.uint64
@@ -46,9 +48,21 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Tree:
+    """``depth`` context bytes, 2 to 7; a bucket holds the subtrees below ``split`` of them.
+    There are ``buckets`` at least, and one for each ``bucket_bytes`` of text."""
+
     depth: int = 5
+    split: int = 3
     block_bytes: int = 8 << 20
+    blocks_a_group: int = 256
+    bucket_bytes: int = 32 << 20
     buckets: int = 64
+    most_buckets: int = 4096
+
+    def __post_init__(self):
+        if not 2 <= self.depth <= 7:
+            raise ValueError("a string of depth + 1 bytes is one number: the depth is 2 to 7")
+        object.__setattr__(self, "split", max(1, min(self.split, self.depth - 1)))
 
 
 def _log_gamma_half(n: np.ndarray) -> np.ndarray:
@@ -105,10 +119,10 @@ def strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.concatenate([[0], np.cumsum(lengths)])
 
 
-def string_bucket(g: np.ndarray, buckets: int) -> np.ndarray:
-    """By the last two bytes of the context."""
-    pair = (g >> U(8)) & U(0xFFFF)
-    return ((pair * U(40_503) >> U(4)) % U(buckets)).astype(np.int64)
+def string_bucket(g: np.ndarray, p: Tree) -> np.ndarray:
+    """By the last bytes of the context."""
+    last = (g >> U(8)) & U((1 << (8 * p.split)) - 1)
+    return (mix(last + U(1)) % U(p.buckets)).astype(np.int64)
 
 
 def in_buckets(keys: np.ndarray, where: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +176,7 @@ class Block:
         b = self.p.buckets
         for kind, keys, counts, where in (
             ("word", self.word_keys, self.word_counts, (self.word_keys % U(b)).astype(np.int64)),
-            ("string", self.string_keys, self.string_counts, string_bucket(self.string_keys, b)),
+            ("string", self.string_keys, self.string_counts, string_bucket(self.string_keys, self.p)),
         ):
             order, bounds = in_buckets(keys, where, b)
             for k in range(b):
@@ -197,7 +211,7 @@ def _blocks(docs: DataFrame, key: str, text: str, learns, p: Tree) -> DataFrame:
         n_train = int(made.word_counts.sum())
         parts: dict[str, list] = {"word": [], "string": []}
         for kind, k, keys, counts in made.parts():
-            parts[kind].append({"bucket": k, "keys": _pack(keys.tobytes()), "counts": _pack(counts.astype(np.uint32).tobytes())})
+            parts[kind].append({"bucket": k, "keys": _pack(keys.tobytes()), "counts": _pack(counts.tobytes())})
         doc = _pack(head + b"".join(t for _, _, t in docs))
         return record(_BLOCK, [block], [doc], [n_train], [int((flags >> 1).sum())], [parts["word"]], [parts["string"]])
 
@@ -218,30 +232,47 @@ def _blocks(docs: DataFrame, key: str, text: str, learns, p: Tree) -> DataFrame:
     return mine.mapInArrow(run, "block long, doc binary, n_train long, docs_train long, word array<struct<bucket:int,keys:binary,counts:binary>>, string array<struct<bucket:int,keys:binary,counts:binary>>")
 
 
-def _merged(table: pa.Table, with_counts: bool = True) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Blocks, their keys, all distinct keys and these keys' summed counts."""
-    blocks = table.column("block").to_pylist()
-    keys = [_unpack(k.as_py(), U) for k in table.column("keys")]
-    counts = np.concatenate([_unpack(c.as_py(), np.uint32) for c in table.column("counts")]).astype(np.int64)
-    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return blocks, keys, every, np.bincount(inverse, counts, minlength=len(every)).astype(np.int64)
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a bucket's rows and their summed counts."""
+    keys = np.concatenate([_unpack(k.as_py(), U) for k in table.column("keys")])
+    counts = np.concatenate([_unpack(c.as_py(), np.int64) for c in table.column("counts")])
+    every, inverse = np.unique(keys, return_inverse=True)
+    return every, np.bincount(inverse, counts, minlength=len(every)).astype(np.int64)
+
+
+def _one_row(table: pa.Table, **columns) -> pa.Table:
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), **columns})
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """The sums of a bucket's rows, and how many keys have a count."""
+    every, counts = _merged(table)
+    return _one_row(table, keys=pa.array([_pack(every.tobytes())], pa.binary()), counts=pa.array([_pack(counts.tobytes())], pa.binary()), distinct=pa.array([int((counts > 0).sum())], pa.int64()))
 
 
-def _word_bucket(table: pa.Table) -> pa.Table:
-    """For each block the counts of its keys, in its order; and how many keys the bucket
-    has with a count, beside its first block."""
-    blocks, keys, every, counts = _merged(table)
-    values = [_pack(counts[np.searchsorted(every, k)].astype(np.uint32).tobytes()) for k in keys]
-    distinct = [int((counts > 0).sum())] + [0] * (len(blocks) - 1)
-    return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": table.column("bucket"), "vals": pa.array(values, pa.binary()), "distinct": pa.array(distinct, pa.int64())})
+_SUMS = "bucket int, keys binary, counts binary, distinct long"
+
+
+def _values(kind: type):
+    """For each block of a group its keys' values, in its order, from the bucket's."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "vals": pa.array([], pa.binary())})
+        every, of = (_unpack(right.column(c)[0].as_py(), t) for c, t in (("keys", U), ("of", kind)))
+        values = [_pack(of[np.searchsorted(every, _unpack(k.as_py(), U))].tobytes()) for k in left.column("keys")]
+        return pa.table({"block": left.column("block"), "bucket": left.column("bucket"), "vals": pa.array(values, pa.binary())})
+
+    return run
 
 
 class Subtrees:
-    """Nodes of a bucket's subtrees from ``depth`` down to two. A node is a context of d
-    bytes and the bits of the byte so far (1 to 255), in one number."""
+    """Nodes of a bucket's subtrees from ``depth`` down to ``split``. A node is a context of
+    d bytes and the bits of the byte so far (1 to 255), in one number."""
 
-    def __init__(self, g: np.ndarray, counts: np.ndarray, depth: int):
-        self.depth = depth
+    def __init__(self, g: np.ndarray, counts: np.ndarray, p: Tree):
+        self.depth, self.split = p.depth, p.split
+        depth = p.depth
         byte, context = (g & U(255)).astype(np.int64), g >> U(8)
         self.bits = [(byte >> (7 - k)) & 1 for k in range(8)]
         leaf = np.concatenate([(context << U(8)) | ((byte >> (8 - k)) | (1 << k)).astype(U) for k in range(8)])
@@ -253,7 +284,7 @@ class Subtrees:
         own = kt_log(n0, n1)
         self.levels = {depth: (key, n0, n1, own, own)}
         self.parent = {}
-        for d in range(depth - 1, 1, -1):
+        for d in range(depth - 1, p.split - 1, -1):
             key, inverse = np.unique(self._shorter(key, d), return_inverse=True)
             self.parent[d + 1] = inverse
             _, c0, c1, _, total = self.levels[d + 1]
@@ -266,9 +297,9 @@ class Subtrees:
         return key & U((1 << (8 * d + 8)) - 1)
 
     def log_probabilities(self, above: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Of each string, given for each node at depth two the probability of a one that
-        shorter contexts add and the weight they leave."""
-        for d in range(2, self.depth):
+        """Of each string, given for each node at depth ``split`` the probability of a one
+        that shorter contexts add and the weight they leave."""
+        for d in range(self.split, self.depth):
             _, n0, n1, own, total = self.levels[d]
             stop = np.exp(HALF + own - total)
             above, left = above + left * stop * (n1 + 0.5) / (n0 + n1 + 1), left * (1 - stop)
@@ -279,23 +310,20 @@ class Subtrees:
         return sum(np.log(np.where(b, one[k], 1 - one[k])) for k, b in enumerate(self.bits))
 
 
-def _upper_nodes(depth: int):
+def _upper_nodes(p: Tree):
     def run(table: pa.Table) -> pa.Table:
-        _, _, every, counts = _merged(table)
-        key, n0, n1, _, total = Subtrees(every, counts, depth).levels[2]
+        key, n0, n1, _, total = Subtrees(*_merged(table), p).levels[p.split]
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(key), pa.int32()), "node": pa.array(key.astype(np.int64)), "n0": pa.array(n0), "n1": pa.array(n1), "total": pa.array(total)})
 
     return run
 
 
-def _string_bucket(depth: int):
+def _string_logs(p: Tree):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        blocks, keys, every, counts = _merged(left)
-        trees = Subtrees(every, counts, depth)
+        every, counts = _merged(left)
         order = np.argsort(right.column("node").to_numpy())
-        logs = trees.log_probabilities(*(right.column(c).to_numpy()[order] for c in ("above", "remains")))
-        values = [_pack(logs[np.searchsorted(every, k)].tobytes()) for k in keys]
-        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": left.column("bucket"), "vals": pa.array(values, pa.binary())})
+        logs = Subtrees(every, counts, p).log_probabilities(*(right.column(c).to_numpy()[order] for c in ("above", "remains")))
+        return _one_row(left, keys=pa.array([_pack(every.tobytes())], pa.binary()), of=pa.array([_pack(logs.tobytes())], pa.binary()))
 
     return run
 
@@ -305,10 +333,11 @@ def _kt_log(n0: pd.Series, n1: pd.Series) -> pd.Series:
     return pd.Series(kt_log(n0.to_numpy(), n1.to_numpy()))
 
 
-def _weights_above(upper: DataFrame) -> DataFrame:
-    """For each node at depth two what the depths one and zero predict, and the weight
-    that they leave."""
+def _weights_above(upper: DataFrame, p: Tree) -> DataFrame:
+    """For each node at depth ``split`` what shorter contexts predict, and the weight that
+    they leave."""
     half = F.lit(HALF)
+    shorter = lambda d: F.col("node").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1))
 
     def weighted(df: DataFrame) -> DataFrame:
         df = df.withColumn("own", _kt_log("n0", "n1"))
@@ -319,23 +348,31 @@ def _weights_above(upper: DataFrame) -> DataFrame:
         return df.withColumn("stop", stop).withColumn("one", (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1))
 
     sums = (F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("total").alias("below"))
-    two = upper.withColumn("node1", F.col("node").bitwiseAND(0xFFFF)).withColumn("node0", F.col("node").bitwiseAND(0xFF))
-    one = weighted(two.groupBy("node1", "node0").agg(*sums))
-    zero = weighted(one.groupBy("node0").agg(*sums)).select("node0", F.col("stop").alias("s0"), F.col("one").alias("p0"))
-    one = one.join(zero, "node0").select("node1", (F.col("s0") * F.col("p0") + (1 - F.col("s0")) * F.col("stop") * F.col("one")).alias("above"), ((1 - F.col("s0")) * (1 - F.col("stop"))).alias("remains"))
-    return two.select("bucket", "node", "node1").join(one, "node1").select("bucket", "node", "above", "remains")
+    levels = {p.split: upper}
+    for d in range(p.split - 1, -1, -1):
+        levels[d] = weighted(levels[d + 1].select(shorter(d).alias("node"), "n0", "n1", "total").groupBy("node").agg(*sums))
+    state = levels[0].select("node", (F.col("stop") * F.col("one")).alias("above"), (1 - F.col("stop")).alias("remains"))
+    for d in range(1, p.split):
+        nodes = levels[d].select("node", "stop", "one", shorter(d - 1).alias("over")).join(state.withColumnRenamed("node", "over"), "over")
+        state = nodes.select("node", (F.col("above") + F.col("remains") * F.col("stop") * F.col("one")).alias("above"), (F.col("remains") * (1 - F.col("stop"))).alias("remains"))
+    return upper.select("bucket", "node", shorter(p.split - 1).alias("over")).join(state.withColumnRenamed("node", "over"), "over").select("bucket", "node", "above", "remains")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
 
 def _lookup(sorted_keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Values of 48-bit keys, looked up in sorted order a few thousand at a time."""
+    """Values of keys, looked up in sorted order some thousands at a time."""
     out, step = np.empty(len(wanted)), 1 << 16
     for at in range(0, len(wanted), step):
         part = wanted[at : at + step]
-        packed = np.sort((part << U(16)) | np.arange(len(part), dtype=U))
-        out[at + (packed & U(0xFFFF)).astype(np.int64)] = values[np.searchsorted(sorted_keys, packed >> U(16))]
+        if part.max() >> U(48):
+            order = np.argsort(part)
+            keys = part[order]
+        else:  # the place fits beside the key, and plain numbers sort faster
+            packed = np.sort((part << U(16)) | np.arange(len(part), dtype=U))
+            order, keys = (packed & U(0xFFFF)).astype(np.int64), packed >> U(16)
+        out[at + order] = values[np.searchsorted(sorted_keys, keys)]
     return out
 
 
@@ -357,7 +394,7 @@ def _score_block(p: Tree, n_all: int, v_all: int, n_end: int):
             block = Block(docs, p)
             found = {(k, b): v for k, b, v in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("vals"), strict=True)}
             values = {"word": np.zeros(len(block.word_keys)), "string": np.zeros(len(block.string_keys))}
-            for kind, keys, where, form in (("word", block.word_keys, (block.word_keys % U(p.buckets)).astype(np.int64), np.uint32), ("string", block.string_keys, string_bucket(block.string_keys, p.buckets), np.float64)):
+            for kind, keys, where, form in (("word", block.word_keys, (block.word_keys % U(p.buckets)).astype(np.int64), np.int64), ("string", block.string_keys, string_bucket(block.string_keys, p), np.float64)):
                 order, bounds = in_buckets(keys, where, p.buckets)
                 for b in range(p.buckets):
                     if bounds[b + 1] > bounds[b]:
@@ -387,20 +424,28 @@ def text_scores(docs: DataFrame, learns=None, key: str = "doc_id", text: str = "
     as text, modulo 5, is not 1); where it is null the row trains. ``score`` is the tree's
     log10 probability of the text, ``base_score`` that of a smoothed word model. Null and
     empty texts are just an end. Without training rows every byte has probability 1/256.
+    Repeated rows and ids repeat, and count as often as they train. A very long text makes a
+    block of its own size. An empty table gives an empty result. Other columns don't matter.
     """
     if learns is None:
         learns = crc_bucket(F.col("id"), 5) != 1
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(docs[text])), F.lit(0))).first()[0]
+    p = replace(p, buckets=int(min(max(size // p.bucket_bytes, p.buckets), p.most_buckets)))
     table = written(_blocks(docs, key, text, learns, p))
-    kind = lambda k: table.select("block", F.inline(k))
     heads = table.select("block", "doc", "n_train", "docs_train")
-    n_words, n_end = heads.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("docs_train"), F.lit(0))).first()
-    word_values = written(kind("word").groupBy("bucket").applyInArrow(_word_bucket, "block long, bucket int, vals binary, distinct long"))
-    v_all = (word_values.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]) + (n_end > 0)
-    kept = kind("string")
-    upper = kept.groupBy("bucket").applyInArrow(_upper_nodes(p.depth), "bucket int, node long, n0 double, n1 double, total double")
-    above = written(_weights_above(written(upper)))
-    string_values = kept.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_string_bucket(p.depth), "block long, bucket int, vals binary")
-    values = word_values.select("block", "bucket", "vals", F.lit("word").alias("kind")).unionByName(string_values.withColumn("kind", F.lit("string")))
+    n_words, n_end, blocks = heads.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("docs_train"), F.lit(0)), F.count(F.lit(1))).first()
+    groups = blocks // p.blocks_a_group + 1
+    kind = lambda k: table.select("block", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"), F.inline(k))
+    summed = lambda k: written(kind(k).groupBy("bucket", "group").applyInArrow(_sums, _SUMS))
+    to_groups = lambda model: model.withColumn("group", F.explode(F.expr(f"sequence(0, {groups - 1})"))).groupBy("bucket", "group")
+    back = lambda k, model, of: kind(k).groupBy("bucket", "group").cogroup(to_groups(model)).applyInArrow(_values(of), "block long, bucket int, vals binary").withColumn("kind", F.lit(k))
+    words_of = written(summed("word").groupBy("bucket").applyInArrow(_sums, _SUMS))
+    v_all = words_of.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] + (n_end > 0)
+    strings_of = summed("string")
+    upper = written(strings_of.groupBy("bucket").applyInArrow(_upper_nodes(p), "bucket int, node long, n0 double, n1 double, total double"))
+    above = written(_weights_above(upper, p))
+    logs = strings_of.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_string_logs(p), "bucket int, keys binary, of binary")
+    values = back("word", words_of.select("bucket", "keys", F.col("counts").alias("of")), np.int64).unionByName(back("string", logs, np.float64))
     scored = heads.select("block", "doc").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(p, n_words + n_end, v_all, n_end), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_words + n_end).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -232,7 +232,20 @@ def test_ctw_against_brute_force(spark):
         assert got[i]["score"] == pytest.approx(brute_ctw([b" ".join(split[k]) + b"\n" for k in learn], b" ".join(split[i]) + b"\n", 3))
 
 
+@pytest.mark.parametrize("depth, split", [(2, 1), (5, 2), (5, 3), (6, 3), (7, 4)])
+def test_ctw_depths_against_brute_force(spark, depth, split):
+    texts = ["abcabcabcd abcabcabce", "xabcabcabcd", "the cat sat on the cat", "cat sat on thecat", "é日 abcabc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree = ctw.Tree(depth=depth, split=split, buckets=3, block_bytes=20, blocks_a_group=2)
+    got = rows(ctw.text_scores(df, F.col("id") != 1, p=tree))
+    plain = [b" ".join(words(t)) + b"\n" for t in texts]
+    for i in range(len(texts)):
+        assert got[i]["score"] == pytest.approx(brute_ctw([b for k, b in enumerate(plain) if k != 1], plain[i], depth))
+
+
 def test_ctw_edges(edge, empty, spark):
+    with pytest.raises(ValueError):
+        ctw.Tree(depth=8)
     got = ctw.text_scores(edge).collect()
     assert len(got) == len(EDGE) and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
     assert ctw.text_scores(empty).collect() == []
