@@ -169,6 +169,29 @@ def built_once(make):
     return get
 
 
+#: Elements that a fold takes at a time.
+AT_A_TIME = 64
+
+
+def folded(items: Column, start: Column, kind: str, step) -> Column:
+    """``struct<state, out>`` of a fold with output: ``step(state, item)`` returns the next
+    state and an array of what it adds, of type ``kind``.
+    Arrays grow by copying, so the items are taken in parts and the parts joined: time
+    follows the number of items, not its square."""
+    none = F.array().cast(kind)
+    pair = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+
+    def one(s: Column, x: Column) -> Column:
+        return let(F.struct(*(c.alias(n) for n, c in zip(("state", "out"), step(s["state"], x), strict=True))), lambda r: pair(r["state"], F.when(F.size(r["out"]) > 0, F.concat(s["out"], r["out"])).otherwise(s["out"])))
+
+    def part(s: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(items, k * AT_A_TIME + 1, AT_A_TIME), pair(s["state"], none), one)
+        return let(inner, lambda r: pair(r["state"], F.concat(s["out"], r["out"])))
+
+    parts = F.when(F.size(items) > 0, F.sequence(F.lit(0), ((F.size(items) - 1) / AT_A_TIME).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(parts, pair(start, none), part)
+
+
 SPAN = "struct<value:string,start:int,end:int,match:string,at:int>"
 
 
@@ -186,8 +209,8 @@ def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), trim: bool =
     between = F.split(text, pattern, -1)
     zipped = F.arrays_zip(between.alias("between"), whole.alias("whole"), *(c.alias(k) for k, c in parts.items()))
 
-    def step(state: Column, x: Column) -> Column:
-        at = state["pos"] + n(x["between"])
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
+        at = pos + n(x["between"])
         match = x["whole"]
         value = F.coalesce(*(F.nullif(x[k], F.lit("")) for k in parts), match) if parts else match
         start = at + n(match) - (F.position(F.reverse(value), F.reverse(match)) - 1) - n(value) if parts else at
@@ -195,8 +218,7 @@ def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), trim: bool =
             short = F.regexp_replace(value, "[.,;:!?]+$", "")
             value = F.when(n(short) > 0, short).otherwise(value)
         row = F.struct(value.alias("value"), start.cast("int").alias("start"), (start + n(value)).cast("int").alias("end"), match.alias("match"), at.cast("int").alias("at"))
-        return F.when(match.isNull(), state).otherwise(F.struct((at + n(match)).cast("int").alias("pos"), F.array_append(state["out"], row).alias("out")))
+        return (at + n(match)).cast("int"), F.array(row)
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    found = F.aggregate(zipped, zero, step, lambda s: s["out"])
+    found = let(F.filter(zipped, lambda x: x["whole"].isNotNull()), lambda items: folded(items, F.lit(0), f"array<{SPAN}>", step)["out"])
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))

@@ -93,9 +93,12 @@ def request(f: Column, text: Column) -> Column:
     """A finding with its window: 160 characters on both sides, out to whole words."""
     n = F.length(text)
     low, high = F.greatest(f["start"] - RADIUS, F.lit(0)), F.least(f["end"] + RADIUS, n)
-    before = F.length(F.regexp_extract(F.substring(text, F.greatest(low - 255, F.lit(1)), F.least(low, F.lit(256))), "[A-Za-z0-9_]*$", 0))
-    before = F.when(low > 0, before).otherwise(0)
-    after = F.length(F.regexp_extract(F.substring(text, high + 1, F.lit(256)), "^[A-Za-z0-9_]*", 0))
+    head = lambda s: F.length(F.regexp_extract(s, "^[A-Za-z0-9_]*", 0))
+    # 256 characters tell where nearly all words end; a longer word is followed to its end.
+    near = head(F.reverse(F.substring(text, F.greatest(low - 255, F.lit(1)), F.least(low, F.lit(256)))))
+    before = F.when(low <= 0, 0).when(near < 256, near).otherwise(head(F.reverse(F.substring(text, F.lit(1), low))))
+    near = head(F.substring(text, high + 1, F.lit(256)))
+    after = F.when(near < 256, near).otherwise(head(F.substring(text, high + 1, n)))
     first = low - before
     return F.struct(f["id"].alias("id"), f["value"].alias("value"), F.substring(text, first + 1, high + after - first).alias("window"), (f["start"] - first).cast("int").alias("offset"), first.cast("int").alias("window_start")).cast(REQUEST)
 
@@ -151,6 +154,31 @@ def apply_verdicts(findings: Column, recoverable: Column, given: Column, by: Dee
     return F.when(failed, findings).otherwise(F.concat(kept, back))
 
 
+DISCOVERY = "struct<category:string,value:string,start:int,end:int,confidence:double>"
+_DISCOVERY_ARROW = pa.list_(pa.struct([("category", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
+#: What may be discovered, and how sure a model must be of it.
+DISCOVERABLE, LEAST_SURE = ("PERSON", "ORGANISATION", "LOCATION"), 0.5
+
+
+def discoveries(text: Column, discover: Callable[[str], list[tuple]]) -> Column:
+    """``array<discovery>`` that a model sees in a text: of the categories that it may
+    discover, sure enough, with the text that stands at the place. A failure sees nothing."""
+
+    @F.arrow_udf(T._parse_datatype_string(f"array<{DISCOVERY}>"))
+    def run(batch: pa.Array) -> pa.Array:
+        def of(t: str | None) -> list[dict]:
+            try:
+                seen = discover(t) if t else []
+            except Exception:  # noqa: BLE001  a model may be anything
+                return []
+            fits = lambda c, v, s, e, x: c in DISCOVERABLE and x >= LEAST_SURE and v.strip() and t[s:e] == v
+            return [dict(zip(("category", "value", "start", "end", "confidence"), x, strict=True)) for x in seen if fits(*x)]
+
+        return pa.array([of(t) for t in batch.to_pylist()], _DISCOVERY_ARROW)
+
+    return run(text)
+
+
 def discovered(resolved: Column, declined: Column, entities: Column, by_id: str, by_label: str) -> Column:
     """Findings with those entities of a model that touch nothing taken, first come first
     served. ``entities`` is ``array<struct<category, value, start, end, confidence>>``."""
@@ -190,23 +218,31 @@ def needs_confirming(findings: Column, recoverable: Column) -> Column:
     return F.exists(findings, lambda f: f["tier"] == "medium") | (F.size(recoverable) > 0)
 
 
-def confirmed(scanned: DataFrame, confirmer: DeepContext | None = None, text: str = "text") -> DataFrame:
-    """``scanned`` with findings and risk after the second look, and ``escalation``."""
+def confirmed(scanned: DataFrame, confirmer: DeepContext | None = None, text: str = "text", only: Column | None = None) -> DataFrame:
+    """``scanned`` with findings and risk after the second look, and ``escalation``. A
+    confirmer with ``discover``, a function of a text that returns ``(category, value, start,
+    end, confidence)`` of what it sees, also adds what touches nothing taken or declined.
+    ``only`` limits the second look to some rows."""
     by = confirmer or DeepContext()
     t = F.coalesce(F.col(text), F.lit(""))
     asks = lambda f: request(f, t)
     uncertain = F.filter("findings", lambda f: f["tier"] == "medium")
     need = needs_confirming(F.col("findings"), F.col("recoverable"))
+    need = need if only is None else need & only
     df = scanned.withColumn("__requests", F.when(need, F.concat(F.transform(uncertain, asks), F.transform("recoverable", asks))).otherwise(F.array().cast(f"array<{REQUEST}>")))
     df = settled(df, "__verdicts", verdicts(F.col("__requests"), by))
     df = settled(df, "__resolved", apply_verdicts(F.col("findings"), F.col("recoverable"), F.col("__verdicts"), by))
+    failed = F.exists("__verdicts", lambda v: v["decision"] == "failed")
+    if hasattr(by, "discover"):
+        df = settled(df, "__seen", F.when(need & ~failed, discoveries(t, by.discover)).otherwise(F.array().cast(f"array<{DISCOVERY}>")))
+        df = settled(df, "__resolved", discovered(F.col("__resolved"), F.col("declined"), F.col("__seen"), by.id, by.label))
     count = lambda ids, d: F.size(F.filter("__verdicts", lambda v: v["id"].startswith(ids) & (v["decision"] == d)))
     error = F.try_element_at(F.filter("__verdicts", lambda v: v["decision"] == "failed"), F.lit(1))["note"]
     stats = F.struct(
         F.size(uncertain).alias("ambiguous"), F.size("recoverable").alias("recoverable"), need.alias("invoked"), count("f", "confirm").alias("confirmed"), count("f", "reject").alias("rejected"), count("f", "unknown").alias("unresolved"),
-        count("r", "confirm").alias("recovered"), F.lit(0).alias("discovered"), error.alias("error"),
+        count("r", "confirm").alias("recovered"), F.size(F.filter("__resolved", lambda f: f["id"].startswith("d"))).alias("discovered"), error.alias("error"),
     )
     df = df.withColumn("escalation", stats)
-    df = settled(df, "__final", F.when(F.size("__verdicts") > 0, one_answer(F.col("__resolved"))).otherwise(F.col("findings")))
+    df = settled(df, "__final", F.when((F.size("__verdicts") > 0) & ~failed, one_answer(F.col("__resolved"))).otherwise(F.col("findings")))
     df = df.withColumn("findings", F.col("__final"))
-    return df.withColumn("risk", risk(F.col("findings"))).drop("__requests", "__verdicts", "__resolved", "__final")
+    return df.withColumn("risk", risk(F.col("findings"))).drop("__requests", "__verdicts", "__resolved", "__final", "__seen")

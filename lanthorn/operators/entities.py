@@ -9,6 +9,7 @@ recognisers until one claims it, and what they propose gets its context signals.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -30,9 +31,9 @@ BASE = {
 # Patterns.
 TITLES = "mr|mrs|ms|miss|dr|prof|sir|madam|mnr|mev|dhr"
 STREET = r"\b\d{1,5}[A-Za-z]?\s+(?:[A-Z][A-Za-z'-]+\s+){0,3}(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Drive|Dr\.?|Lane|Ln\.?|Boulevard|Blvd\.?|Way|Close|Crescent|Court|Ct\.?|Place|Terrace|Park|Square)\b(?:,?\s*(?:Unit|Suite|Apt|Flat|Block)\s*\w+)?"
-OWNERSHIP = r"^\s+(?:is|are|remains|became|has been)\s+(?:one of\s+)?(?:our|a|an|the|their)\s+(?:largest\s+|biggest\s+|key\s+|new\s+|existing\s+|current\s+|main\s+|top\s+)?(?:customer|client|partner|reseller|vendor|supplier|tenant|account|prospect|distributor)\b"
-TEAM = r"^\s+(?:from|in|of|on|at)\s+(?:the\s+)?(?:[a-z]+\s+){0,2}(?:team|teams|department|dept|office|desk|group|division|unit|side|accounts|accounting|finance|sales|support|marketing|engineering|operations|ops|legal|procurement|payroll|hr|it|security|billing|logistics)\b"
-JOB = r"^\s*[,(]\s*(?:senior|junior|lead|head|chief|principal|associate|assistant|deputy|acting|global|regional)?\s*(?:account|sales|support|service|technical|solutions|customer|project|product|programme|program|delivery|operations|finance|hr|it|security|marketing|field|pre-sales|presales)?\s*(?:manager|director|engineer|architect|consultant|specialist|analyst|administrator|admin|lead|officer|executive|president|partner|advisor|adviser|representative|rep|coordinator|supervisor|technician|developer|designer|owner|scientist)\b"
+OWNERSHIP = r"\s+(?:is|are|remains|became|has been)\s+(?:one of\s+)?(?:our|a|an|the|their)\s+(?:largest\s+|biggest\s+|key\s+|new\s+|existing\s+|current\s+|main\s+|top\s+)?(?:customer|client|partner|reseller|vendor|supplier|tenant|account|prospect|distributor)\b"
+TEAM = r"\s+(?:from|in|of|on|at)\s+(?:the\s+)?(?:[a-z]+\s+){0,2}(?:team|teams|department|dept|office|desk|group|division|unit|side|accounts|accounting|finance|sales|support|marketing|engineering|operations|ops|legal|procurement|payroll|hr|it|security|billing|logistics)\b"
+JOB = r"\s*[,(]\s*(?:senior|junior|lead|head|chief|principal|associate|assistant|deputy|acting|global|regional)?\s*(?:account|sales|support|service|technical|solutions|customer|project|product|programme|program|delivery|operations|finance|hr|it|security|marketing|field|pre-sales|presales)?\s*(?:manager|director|engineer|architect|consultant|specialist|analyst|administrator|admin|lead|officer|executive|president|partner|advisor|adviser|representative|rep|coordinator|supervisor|technician|developer|designer|owner|scientist)\b"
 
 
 def _compiled(pattern: str, ignore_case: bool = False):
@@ -44,7 +45,7 @@ _CONTRACTION = regex.compile(r"['’](?:s|d|m|re|ve|ll|t)$", regex.I | regex.A)
 _TITLE = re.compile(rf"(?:{TITLES})\.?", re.I | re.A)
 _BARE_TITLE = re.compile(TITLES)
 _STREET, _OWNED, _TEAM, _JOB = _compiled(STREET), _compiled(OWNERSHIP, True), _compiled(TEAM), _compiled(JOB, True)
-_OWN = _compiled(r"^['’]s\b")
+_OWN = _compiled(r"['’]s\b")
 _BEFORE = re.compile(r"([A-Za-z]+)[ \t]*$")
 _AFTER = re.compile(r"[ \t,)]*([A-Za-z']+)")
 _ENDING = regex.compile(rf"[{SPACES}]+(?:{'|'.join(map(re.escape, V.COMPANY_ENDINGS))})(?![A-Za-z])")
@@ -152,14 +153,14 @@ class Recogniser:
 
     def company_by_ending(self, text, group, cue, titled):
         end = group[-1].end
-        m = _ENDING.match(text[end : end + 24])
+        m = _ENDING.match(text, end)
         if m and not acronym(group[0].text):
-            return "ORGANISATION", group[0].start, end + m.end(), "Company name with trading suffix", BASE["company_ending"], False, False
+            return "ORGANISATION", group[0].start, m.end(), "Company name with trading suffix", BASE["company_ending"], False, False
         return None
 
     def company_owned(self, text, group, cue, titled):
         start, end = group[0].start, group[-1].end
-        if _OWNED.match(text[end : end + 200]) and not acronym(text[start:end]):
+        if _OWNED.match(text, end) and not acronym(text[start:end]):
             return "ORGANISATION", start, end, "Named as a customer, client or partner", BASE["owned"], len(group) == 1, False
         return None
 
@@ -255,13 +256,19 @@ class Surroundings:
         return not self.text[left:start].strip() and not self.text[end : len(self.text) if right < 0 else right].strip()
 
     def starts_sentence(self, at: int) -> bool:
-        before = self.text[max(0, at - 512) : at]
-        kept = before.rstrip()
-        return not kept or "\n" in before[len(kept) :] or kept[-1] in ".!?:;"
+        while at > 0 and (c := self.text[at - 1]).isspace():
+            if c == "\n":
+                return True
+            at -= 1
+        return at == 0 or self.text[at - 1] in ".!?:;"
 
-    def rest_of_line(self, at: int) -> str:
-        rest = self.text[at : at + 400]
-        return re.split(r"[\r\n]", rest, maxsplit=1)[0]
+    @cached_property
+    def line_ends(self) -> list[int]:
+        return [m.start() for m in re.finditer(r"[\r\n]", self.text)] + [len(self.text)]
+
+    def line_end(self, at: int) -> int:
+        """Where the line that holds a place ends."""
+        return self.line_ends[bisect_left(self.line_ends, at)]
 
 
 def _quote(word: str) -> str:
@@ -275,8 +282,8 @@ class Context:
         self.nouns = vocabulary.everyday_nouns
 
     def person(self, doc: Surroundings, value: str, start: int, end: int, single: bool, unresolved: bool):
-        soft, before, rest = single or unresolved, word_before(doc.text, start), doc.rest_of_line(end)
-        m = _AFTER.match(rest)
+        soft, before, rest = single or unresolved, word_before(doc.text, start), (doc.text, end, doc.line_end(end))
+        m = _AFTER.match(*rest)
         after, lower, out = m[1].lower() if m else "", value.lower(), []
         introduced = False
         if _BARE_TITLE.fullmatch(before):
@@ -306,12 +313,12 @@ class Context:
             out.append(("known-person-token", 0.25, "Part of a full name used elsewhere in this content"))
         return out
 
-    def _person_after(self, rest: str, after: str, doubtful: bool):
-        if _TEAM.match(rest):
+    def _person_after(self, rest: tuple[str, int, int], after: str, doubtful: bool):
+        if _TEAM.match(*rest):
             return [("role-context", 0.4, "Followed by a team or department, as a person would be")]
-        if _JOB.match(rest):
+        if _JOB.match(*rest):
             return [("job-title", 0.3, "Followed by a job title")]
-        if _OWN.match(rest):
+        if _OWN.match(*rest):
             return [("possessive", 0.18, "Used possessively, as a person would be")]
         if after in V.PERSON_VERBS:
             return [("person-verb", 0.4, f"Followed by {_quote(after)}, something a person does")]
@@ -333,7 +340,7 @@ class Context:
 
     def place(self, doc: Surroundings, start: int, end: int):
         before, out = word_before(doc.text, start), []
-        m = _AFTER.match(doc.rest_of_line(end))
+        m = _AFTER.match(doc.text, end, doc.line_end(end))
         after = m[1].lower() if m else ""
         if before in V.LOCATIVES:
             out.append(("locative", 0.2, f"Follows {_quote(before)}, so it names an actual place"))

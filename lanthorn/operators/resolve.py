@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.categories import attribute
+from ..functions.dialect import folded, let
 from .scoring import SCORED
 
 MOST_RECOVERABLE, RECOVERABLE_FLOOR, MOST_DECLINED = 12, 0.15, 500
@@ -31,15 +32,32 @@ def by_start(scored: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["c"])
 
 
+def _touching(scored: Column) -> Column:
+    """The candidates by start, in groups that touch each other; those of different groups
+    don't clash. Each group ends where the next candidate starts after all before."""
+    kind = f"array<array<{SCORED}>>"
+    held = f"struct<upto:int,group:array<{SCORED}>>"
+
+    def step(s: Column, c: Column) -> tuple[Column, Column]:
+        apart = (F.size(s["group"]) > 0) & (c["start"] >= s["upto"])
+        group = F.when(apart, F.array(c)).otherwise(F.array_append(s["group"], c))
+        return F.struct(F.greatest(s["upto"], c["end"]).alias("upto"), group.alias("group")).cast(held), F.when(apart, F.array(s["group"])).otherwise(F.array().cast(kind))
+
+    zero = F.struct(F.lit(-1).alias("upto"), F.array().alias("group")).cast(held)
+    return let(folded(by_start(scored), zero, kind, step), lambda r: F.concat(r["out"], F.array(r["state"]["group"])))
+
+
 def without_overlaps(scored: Column) -> Column:
-    """The first of each clash stays, in order of rank; the result is by start."""
+    """The first of each clash stays, in order of rank; the result is by start. Only what
+    touches is compared."""
     none = F.array().cast(f"array<{SCORED}>")
 
     def take(kept: Column, c: Column) -> Column:
         clash = F.exists(kept, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"]))
         return F.when(clash, kept).otherwise(F.array_append(kept, c))
 
-    return by_start(F.aggregate(by_rank(scored), none, take))
+    settle = lambda group: F.when(F.size(group) < 2, group).otherwise(F.aggregate(by_rank(group), none, take))
+    return by_start(F.flatten(F.transform(_touching(scored), settle)))
 
 
 def numbered(scored: Column, prefix: str) -> Column:

@@ -40,12 +40,11 @@ def checked(prompts: DataFrame, text: str = "text", policy: Policy = Policy(), v
 
 
 def deep_checked(first: DataFrame, text: str = "text", policy: Policy = Policy(), confirmer: DeepContext | None = None) -> DataFrame:
-    """The second stage, for the rows that it can change; the others pass as they are."""
-    columns = first.columns
-    again = confirmed(first.where("deeper"), confirmer, text)
-    again = again.withColumn("__outcome", evaluate(F.col("findings"), policy))
-    again = again.withColumns({c: F.col(f"__outcome.{c}") for c in ("decision", "headline", "summary")}).withColumn("wire", wire_findings(F.col("findings")))
-    return first.where(~F.col("deeper")).unionByName(again.select(*columns))
+    """The second stage for the rows that it can change; the others pass as they are. One
+    pass: ``first`` is read once."""
+    again = confirmed(first, confirmer, text, F.col("deeper")).withColumn("__outcome", evaluate(F.col("findings"), policy))
+    new = {c: F.col(f"__outcome.{c}") for c in ("decision", "headline", "summary")} | {"wire": wire_findings(F.col("findings"))}
+    return again.withColumns({c: F.when(F.col("deeper"), v).otherwise(F.col(c)) for c, v in new.items()}).select(*first.columns)
 
 
 def counters(checked: DataFrame, time: str | None = None, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -56,10 +55,12 @@ def counters(checked: DataFrame, time: str | None = None, every: str = "5 minute
     return checked.withWatermark(time, late).groupBy(F.window(time, every)).agg(*aggregates)
 
 
-def not_cleared(prompts: DataFrame, time: str, text: str = "text", remember: str = "1 hour") -> DataFrame:
-    """Prompts whose text was not let through within the time remembered; the state holds
-    a digest for each."""
-    return prompts.withColumn("__text", F.sha2(text, 256)).withWatermark(time, remember).dropDuplicatesWithinWatermark(["__text"]).drop("__text")
+def not_cleared(checked: DataFrame, time: str, text: str = "text", remember: str = "1 hour") -> DataFrame:
+    """Checked prompts without those whose text was allowed before, within the time
+    remembered. What was blocked or warned about is never dropped, however often it is
+    sent. The state holds a digest for each allowed text."""
+    once = F.when(F.col("decision") == "allow", F.sha2(text, 256)).otherwise(F.expr("uuid()"))
+    return checked.withColumn("__once", once).withWatermark(time, remember).dropDuplicatesWithinWatermark(["__once"]).drop("__once")
 
 
 #: Sites by the end of their host name; what only looks alike matches none.

@@ -65,18 +65,19 @@ def test_names_and_sizes(spark):
 
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
-    turns = [("2024-01-01 00:00:00", "my password: hunter22 please"), ("2024-01-01 00:01:00", "what is the weather today"), ("2024-01-01 00:01:00", "what is the weather today")]
+    turns = [("2024-01-01 00:00:00", "my password: hunter22 please"), ("2024-01-01 00:00:30", "my password: hunter22 please"), ("2024-01-01 00:01:00", "what is the weather today"), ("2024-01-01 00:01:00", "what is the weather today")]
     df = spark.createDataFrame(turns, "ts string, text string").select(F.col("ts").cast("timestamp").alias("ts"), "text")
     df.write.parquet(str(src))
     stream = spark.readStream.schema(df.schema).parquet(str(src))
     query = check.checked(stream).select("text", "decision").writeStream.format("memory").queryName("checked").option("checkpointLocation", str(tmp_path / "c1")).start()
     query.processAllAvailable()
     query.stop()
-    assert sorted((r["text"][:4], r["decision"]) for r in spark.sql("select * from checked").collect()) == [("my p", "block"), ("what", "allow"), ("what", "allow")]
-    query = check.not_cleared(stream, "ts").writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "c2")).start()
+    assert sorted((r["text"][:4], r["decision"]) for r in spark.sql("select * from checked").collect()) == [("my p", "block"), ("my p", "block"), ("what", "allow"), ("what", "allow")]
+    # What was allowed is not passed on again; what was blocked is judged each time.
+    query = check.not_cleared(check.checked(stream), "ts").select("text", "decision").writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "c2")).start()
     query.processAllAvailable()
     query.stop()
-    assert spark.sql("select * from fresh").count() == 2
+    assert sorted(r["decision"] for r in spark.sql("select * from fresh").collect()) == ["allow", "block", "block"]
 
 
 def test_two_stages_and_limits(spark):
