@@ -86,6 +86,36 @@ class DeepContext:
         return "unknown", 0.5, note
 
 
+def best_overlap(spans: list[tuple[int, int, str, float]], start: int, end: int) -> tuple[int, int, str, float] | None:
+    """The surest of a model's ``(start, end, label, score)`` that touches a place."""
+    return max((s for s in spans if s[0] < end and start < s[1]), key=lambda s: s[3], default=None)
+
+
+class ModelConfirmer(DeepContext):
+    """Any span model as a confirmer and discoverer: a function of a text that returns
+    ``(start, end, label, score)``, and what its labels mean. It runs in the Arrow UDFs, so
+    whatever it loads is loaded once a worker."""
+
+    id, label = "model", "language model"
+    threshold, widest, absent = 0.45, 12, 0.8
+
+    def __init__(self, model: Callable[[str], list[tuple[int, int, str, float]]], labels: dict[str, str], vocabulary: V.Vocabulary = V.Vocabulary()):
+        super().__init__(vocabulary)
+        self.model, self.labels = model, labels
+
+    def spans(self, text: str) -> list[tuple[int, int, str, float]]:
+        return [s for s in self.model(text) if s[3] >= self.threshold and s[2] in self.labels and len(text[s[0] : s[1]].split()) <= self.widest]
+
+    def __call__(self, value: str, window: str, offset: int):
+        best = best_overlap(self.spans(window), offset, offset + len(value))
+        if best is None:
+            return "reject", self.absent, f"The {self.label} does not see a name here."
+        return "confirm", best[3], f"The {self.label} reads this as {self.labels[best[2]].lower()}."
+
+    def discover(self, text: str) -> list[tuple[str, str, int, int, float]]:
+        return [(self.labels[k], text[s:e], s, e, x) for s, e, k, x in self.spans(text)]
+
+
 REQUEST = "struct<id:string,value:string,window:string,offset:int,window_start:int>"
 
 
@@ -157,7 +187,17 @@ def apply_verdicts(findings: Column, recoverable: Column, given: Column, by: Dee
 DISCOVERY = "struct<category:string,value:string,start:int,end:int,confidence:double>"
 _DISCOVERY_ARROW = pa.list_(pa.struct([("category", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
 #: What may be discovered, and how sure a model must be of it.
-DISCOVERABLE, LEAST_SURE = ("PERSON", "ORGANISATION", "LOCATION"), 0.5
+DISCOVERABLE, LEAST_SURE = ("PERSON", "ORGANISATION", "LOCATION"), 0.45
+
+
+def like_a_name(category: str, value: str) -> bool:
+    """Whether what a model sees can be a name: it starts with a capital and has two
+    letters; not all of its words are acronyms or start sentences; none is a job or an
+    institution; a person has no digits."""
+    words = value.split()
+    lower = [w.lower() for w in words]
+    plain = all(w.upper() in V.ACRONYMS for w in words) or all(w in V.STARTERS for w in lower)
+    return len(value) >= 2 and value[:1].isupper() and not plain and not any(w in V.JOB_WORDS or w in V.INSTITUTIONS for w in lower) and not (category == "PERSON" and any(c.isdigit() for c in value))
 
 
 def discoveries(text: Column, discover: Callable[[str], list[tuple]]) -> Column:
@@ -171,7 +211,7 @@ def discoveries(text: Column, discover: Callable[[str], list[tuple]]) -> Column:
                 seen = discover(t) if t else []
             except Exception:  # noqa: BLE001  a model may be anything
                 return []
-            fits = lambda c, v, s, e, x: c in DISCOVERABLE and x >= LEAST_SURE and v.strip() and t[s:e] == v
+            fits = lambda c, v, s, e, x: c in DISCOVERABLE and x >= LEAST_SURE and t[s:e] == v and like_a_name(c, v)
             return [dict(zip(("category", "value", "start", "end", "confidence"), x, strict=True)) for x in seen if fits(*x)]
 
         return pa.array([of(t) for t in batch.to_pylist()], _DISCOVERY_ARROW)

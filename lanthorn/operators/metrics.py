@@ -32,6 +32,19 @@ def confusion(truth: Column, predicted: Column) -> list[Column]:
     return [hit.alias("true_positives"), extra.alias("false_positives"), missed.alias("false_negatives"), ratio(hit, hit + extra).alias("precision"), ratio(hit, hit + missed).alias("recall"), ratio(2 * hit, 2 * hit + extra + missed).alias("f1")]
 
 
+def accuracy(truth: Column, predicted: Column, ranked: Column) -> list[Column]:
+    """Aggregates: rows, the share whose prediction is right, and the share whose truth is
+    among the ``ranked`` ones. A null truth means that nothing should be predicted."""
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    nothing = truth.isNull() & (ranked.isNull() | (F.size(ranked) == 0))
+    return [F.count(F.lit(1)).alias("n"), share(truth.eqNullSafe(predicted)).alias("exact"), share(nothing | F.array_contains(ranked, truth)).alias("within")]
+
+
+def timing(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """Median, fastest and mean of each group."""
+    return df.groupBy(*by).agg(F.median(value).alias("median"), F.min(value).alias("fastest"), F.avg(value).alias("mean"))
+
+
 def ranked_percentile(df: DataFrame, value: str, percents: list[int], *by: str) -> DataFrame:
     """The value at place ``floor(p / 100 * n)`` of the sorted values, without
     interpolation. Values are counted first; a running count finds the place, so no group

@@ -7,6 +7,7 @@ from ..functions.classes import CLASSES, ROADMAP_ROW
 from ..functions.vocab import INFRASTRUCTURE, NOT_PROJECTS
 from ..operators.improve import DOMAINS, INTENTS
 from ..operators.rules import RULES
+from .cases import CASES_FROM, expected_sql
 from .corpora import CORPUS_SQL, NOTES_SQL, PAPERS_SQL
 from .queries import CORE
 
@@ -143,7 +144,24 @@ t as (select doc_id, n, ls[n] as line, trim(regexp_replace(trim(ls[n], E' \\t\\r
 h as (select * from t where t <> '' and length(t) <= 80 and not regexp_matches(t, '[.!?,;]$') and (regexp_matches(line, '^#{{1,6}}\\s') or (t = upper(t) and regexp_matches(t, '[A-Z]{{3}}')) or regexp_matches(t, '{_TITLE}')))
 select doc_id, row_number() over (partition by doc_id order by n) - 1 as place, regexp_replace(t, '^#{{1,6}}\\s*', '') as heading from h"""
 
-ORACLE_SQL: dict[str, str] = {f"rule_{name}": _rule_oracle(name) for name in RULES} | {
+_TIER = "case when confidence >= 0.8 then 'high' when confidence >= 0.55 then 'medium' else 'low' end"
+_CASE_RISK = f"""with f as ({expected_sql('confidence >= 0.55')}),
+cat as (select * from (values {sql_values()}) as v(category, label, "group", severity, priority, token, prefix)),
+w as (select doc_id, category, confidence, case severity when 'critical' then 45 when 'high' then 18 when 'medium' then 8 else 2 end as weight from f join cat using (category)),
+r as (select c_custkey + {CASES_FROM} as doc_id, count(category) as n_findings, coalesce(cast(floor(100 * (1 - exp(-sum(weight * confidence) / 60)) + 0.5) as integer), 0) as score from customer left join w on doc_id = c_custkey + {CASES_FROM} group by 1)
+select doc_id, score, case when score >= 60 then 'high' when score >= 25 then 'moderate' when score > 0 then 'low' else 'safe' end as level, case when n_findings > 0 then 'warn' else 'allow' end as decision, n_findings from r"""
+
+ORACLE_SQL: dict[str, str] = {
+    "entity_cases": expected_sql(),
+    "case_findings": f"""select doc_id, 'findings' as kind, category, value, {_TIER} as tier, confidence from ({expected_sql('confidence >= 0.55')})
+union all select doc_id, 'recoverable', category, value, {_TIER}, confidence from ({expected_sql('unresolved and confidence >= 0.15 and confidence < 0.55')})
+where not (category = 'PERSON' and value in ('Baker Street', 'Pty', 'Ltd'))""",
+    "case_risk": _CASE_RISK,
+    "banner_counts": _with_findings("select corpus.doc_id, coalesce(string_agg(f.label, ', ' order by i) filter (i < 12), '') as shown, greatest(count(f.label) - 12, 0)::integer as more from corpus left join f using (doc_id) group by corpus.doc_id"),
+    "latency_summary": "select event_type, round(median(value), 6) as median, min(value) as fastest, round(avg(value), 6) as mean from events group by 1",
+    "label_accuracy": """with c as (select source, lang, count(*) as n from documents group by 1, 2), u as (select source, lang as usual from (select *, row_number() over (partition by source order by n desc, lang desc) as k from c) where k = 1)
+select source, count(*) as n, round(avg((lang = usual)::integer), 6) as exact, 1.0::double as within from documents join u using (source) group by 1""",
+} | {f"rule_{name}": _rule_oracle(name) for name in RULES} | {
     "candidate_counts": f"select layer, rule, category, count(*) as n, count(distinct doc_id) as n_docs from ({_candidates()}) group by 1, 2, 3",
     "tier_assignment": f"select category, case when base >= 0.8 then 'high' when base >= 0.55 then 'medium' else 'low' end as tier, count(*) as n, round(avg(base::double), 6) as mean_confidence from ({_candidates()}) group by 1, 2",
     "overlap_resolved": _with_findings("select doc_id, 'f' || i as id, category, value, start::bigint as start, \"end\"::bigint as \"end\", round(confidence::double, 6) as confidence from f"),

@@ -14,6 +14,7 @@ from ..operators import classify, confirm, feedback, improve, metrics, resolve,
 from ..operators.rules import RULES, matches, rule_candidates
 from ..sources import files
 from ..streaming import check
+from .cases import case_texts
 from .corpora import corpus, notes, papers, table
 from .scan import finding_rows, scan, with_candidates
 
@@ -284,7 +285,45 @@ def token_islands(spark, sf_dir):
     return rows.groupBy("doc_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
 
 
+def entity_cases(spark, sf_dir):
+    """Every scored candidate in sentences whose outcome is written down by hand."""
+    rows = scan(case_texts(spark, sf_dir)).select("doc_id", F.inline("scored"))
+    return rows.select("doc_id", "category", "value", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("signals", lambda s: s["id"]), ",").alias("signals"), "unresolved")
+
+
+def case_findings(spark, sf_dir):
+    """What is found and what may be recovered in these sentences."""
+    df = scan(case_texts(spark, sf_dir))
+    part = lambda c: df.select("doc_id", F.lit(c).alias("kind"), F.explode(c).alias("f")).select("doc_id", "kind", "f.category", "f.value", "f.tier", F.round("f.confidence", 6).alias("confidence"))
+    return part("findings").unionAll(part("recoverable"))
+
+
+def case_risk(spark, sf_dir):
+    """Risk and policy of these sentences."""
+    df = scan(case_texts(spark, sf_dir)).withColumn("outcome", risk.evaluate(F.col("findings")))
+    return df.select("doc_id", F.col("risk.score").alias("score"), F.col("risk.level").alias("level"), F.col("outcome.decision").alias("decision"), F.size("findings").alias("n_findings"))
+
+
+def banner_counts(spark, sf_dir, found=core):
+    """What a banner shows of a document's findings, and how many more there are."""
+    df = settled(found(spark, sf_dir), "banner", check.banner(F.col("findings")))
+    return df.select("doc_id", F.array_join("banner.shown", ", ").alias("shown"), F.col("banner.more").alias("more"))
+
+
+def latency_summary(spark, sf_dir):
+    return metrics.timing(table(spark, sf_dir, "events"), "value", "event_type").select("event_type", F.round("median", 6).alias("median"), "fastest", F.round("mean", 6).alias("mean"))
+
+
+def label_accuracy(spark, sf_dir):
+    """How often a document's language is that of its own source's most frequent one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    counts = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    usual = counts.groupBy("source").agg(F.max_by("lang", F.struct("n", "lang")).alias("usual"), F.array_sort(F.collect_set("lang")).alias("langs"))
+    return docs.join(usual, "source").groupBy("source").agg(*metrics.accuracy(F.col("lang"), F.col("usual"), F.col("langs"))).select("source", "n", F.round("exact", 6).alias("exact"), F.round("within", 6).alias("within"))
+
+
 _FUNCTIONS = (
+    entity_cases, case_findings, case_risk, banner_counts, latency_summary, label_accuracy,
     candidate_counts, tier_assignment, overlap_resolved, risk_per_document, risk_level_histogram, findings_by_value, findings_by_group, category_join, policy_decision, strongest_mention, redacted_text, pseudonym_map, output_offsets,
     synthetic_text, residual_findings, full_residual_findings, scan_delta, url_signals, highlights, class_confidence, classification, heading_lines, roadmap_rows, sensitivity_state, entity_candidates, scan_findings, scan_risk, recoverable_topk, confirmed_findings,
     prompt_rewrite, prompt_intent, feedback_records, latency_percentiles, rolling_latency, newest_events, quality_confusion, table_rows_as_text, stream_check, stream_metrics, token_islands,

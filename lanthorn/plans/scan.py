@@ -7,6 +7,8 @@ over documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..operators.classify import classified
 from ..operators.entities import entity_candidates
 from ..operators.resolve import declined, findings, recoverable
 from ..operators.risk import risk
-from ..operators.rules import LAYERS, rule_candidates
+from ..operators.rules import CANDIDATE, LAYERS, rule_candidates
 from ..operators.scoring import score
 from ..operators.sensitivity import assessed
 
@@ -50,11 +52,15 @@ def with_candidates(df: DataFrame, text: str = "text", vocabulary: Vocabulary =
     return df.drop("__rules", *(f"__{x}" for x in (*LAYERS, "entity")))
 
 
-def scan(df: DataFrame, text: str = "text", vocabulary: Vocabulary = Vocabulary(), file_name: Column | None = None, sheets: Column | None = None, headings: Column | None = None, delimiter: Column | None = None) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", vocabulary: Vocabulary = Vocabulary(), file_name: Column | None = None, sheets: Column | None = None, headings: Column | None = None, delimiter: Column | None = None, extra: Column | None = None, classifier: Callable[..., DataFrame] = classified) -> DataFrame:
     """``df`` with ``candidates``, ``classification``, ``document``, ``scored``,
-    ``findings``, ``recoverable``, ``declined`` and ``risk``. A null text has no findings."""
+    ``findings``, ``recoverable``, ``declined`` and ``risk``. A null text has no findings.
+    ``extra`` adds the candidates of a detector of one's own, last in the order that settles
+    ties; ``classifier`` stands in for ``classified``."""
     df = with_candidates(df, text, vocabulary)
-    df = classified(df, text, file_name, sheets)
+    if extra is not None:
+        df = settled(df, "candidates", F.concat("candidates", F.coalesce(extra, F.array()).cast(f"array<{CANDIDATE}>")))
+    df = classifier(df, text, file_name, sheets)
     df = assessed(df, text, file_name, sheets, headings)
     df = settled(df, "scored", _scored())
     plain = delimiter is None

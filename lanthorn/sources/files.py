@@ -225,3 +225,8 @@ def cleaned_files(files: DataFrame) -> DataFrame:
     done = files.select("name", "kind", "content", "text", "value_map").mapInArrow(run, "name string, kind string, content binary")
     mime = F.create_map(*(F.lit(x) for kv in MIME.items() for x in kv))
     return done.select(output_name(F.col("name")).alias("name"), F.try_element_at(mime, F.col("kind")).alias("mime"), "content")
+
+
+def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Cases to score against, from JSON files that hold a list of objects each."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

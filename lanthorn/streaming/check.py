@@ -19,6 +19,31 @@ def worth_checking(text: Column) -> Column:
     return F.length(F.trim(text)) >= LEAST_CHARS
 
 
+MOST_SHOWN = 12
+
+
+def banner(findings: Column) -> Column:
+    """``struct<shown, more>``: the labels of the first dozen findings and how many follow."""
+    labels = F.transform(F.slice(findings, 1, MOST_SHOWN), lambda f: attribute(f["category"], "label"))
+    return F.struct(labels.alias("shown"), F.greatest(F.size(findings) - MOST_SHOWN, F.lit(0)).alias("more"))
+
+
+def best_reason(finding: Column) -> Column:
+    """Why an unsure finding was kept: the note of its weightiest signal that doesn't speak
+    against it, the first of equals; null for a sure one."""
+    noted = F.filter(finding["signals"], lambda s: (s["weight"] >= 0) & (s["note"] != ""))
+    keyed = F.transform(noted, lambda s, i: F.struct((-s["weight"]).alias("w"), i.alias("i"), s["note"].alias("note")))
+    return F.when(finding["tier"] == "medium", F.array_min(keyed)["note"])
+
+
+def without_overridden(scanned: DataFrame, overrides: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Findings that a user switched off, ``(key, id)``, are no longer enabled."""
+    off = overrides.groupBy(F.col(key).alias("__key")).agg(F.collect_set("id").alias("__off"))
+    none = F.array().cast("array<string>")
+    df = scanned.join(off, scanned[key] == F.col("__key"), "left")
+    return df.withColumn("findings", F.transform("findings", lambda f: f.withField("enabled", f["enabled"] & ~F.array_contains(F.coalesce("__off", none), f["id"])))).drop("__key", "__off")
+
+
 def wire_findings(findings: Column) -> Column:
     """What a client is shown of each finding."""
     reason = lambda f: F.try_element_at(F.filter(f["signals"], lambda s: (s["weight"] > 0) & (s["note"] != "")), F.lit(1))["note"]
