@@ -208,7 +208,8 @@ def _rest_links(members: DataFrame, component: DataFrame, sets: DataFrame, p: Mi
     counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     groups = counts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most")).where("most < total")
     pieces = lambda n: F.ceil(n / p.block).cast("int")
-    open_groups = groups.select("band", "largest", pieces(F.col("total")).alias("base_blocks"), pieces(F.col("total") - F.col("most")).alias("probe_blocks"))
+    # A table of its own, so that the join can split a group's rows over tasks.
+    open_groups = checkpointed(groups.select("band", "largest", pieces(F.col("total")).alias("base_blocks"), pieces(F.col("total") - F.col("most")).alias("probe_blocks")))
     rows = placed.join(open_groups, "band")
     mine = F.xxhash64("node")
     base = rows.select("band", "node", "rep", "component", F.lit(False).alias("probe"), F.pmod(mine, F.col("base_blocks")).alias("i"), F.explode(F.expr("sequence(0, probe_blocks - 1)")).alias("j"))
