@@ -119,6 +119,13 @@ def strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.concatenate([[0], np.cumsum(lengths)])
 
 
+def distinct_of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers and their counts; sorting is what numpy does fastest."""
+    g = np.sort(g)
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+    return g[first], np.diff(np.append(first, len(g)))
+
+
 def string_bucket(g: np.ndarray, p: Tree) -> np.ndarray:
     """By the last bytes of the context."""
     last = (g >> U(8)) & U((1 << (8 * p.split)) - 1)
@@ -133,24 +140,30 @@ def in_buckets(keys: np.ndarray, where: np.ndarray, buckets: int) -> tuple[np.nd
 
 class Block:
     """Documents ``(id, learn, canonical text)`` of a block with their distinct words and
-    strings. Words are split off a document at a time."""
+    strings, and their training counts if ``counted``. Words are split off a document at a
+    time."""
 
-    def __init__(self, docs: list[tuple[int | None, bool, bytes]], p: Tree):
+    def __init__(self, docs: list[tuple[int | None, bool, bytes]], p: Tree, counted: bool = True):
         self.p = p
         trained: Counter = Counter()
         distinct: set[bytes] = set()
         for _, learn, body in docs:
-            trained.update(body.split()) if learn else distinct.update(body.split())
+            trained.update(body.split()) if learn and counted else distinct.update(body.split())
         self.words = list(distinct.union(trained))
         h = WordHashes().of(self.words)
         order = np.argsort(h, kind="stable")
         self.word_keys = h[order]
-        self.word_counts = np.fromiter((trained.get(self.words[i], 0) for i in order), np.int64, len(order))
+        if counted:
+            self.word_counts = np.fromiter((trained.get(self.words[i], 0) for i in order), np.int64, len(order))
         self.words = [self.words[i] for i in order]
         del trained, distinct
+        if not counted:
+            some = [distinct_of(strings(texts, p.depth)[0])[0] for texts, _ in self._chunks(docs)]
+            self.string_keys = distinct_of(np.concatenate(some))[0] if some else np.empty(0, U)
+            return
         keys, sums = [], []
         for texts, learn in self._chunks(docs):
-            g, n = np.unique(strings(texts, p.depth)[0], return_counts=True)
+            g, n = distinct_of(strings(texts, p.depth)[0])
             keys.append(g)
             sums.append(n * learn)
         flat = np.concatenate(keys) if keys else np.empty(0, U)
@@ -391,7 +404,7 @@ def _score_block(p: Tree, n_all: int, v_all: int, n_end: int):
             for i, size, flag in zip(ids.tolist(), sizes.tolist(), flags.tolist(), strict=True):
                 docs.append((None if flag & 1 else i, bool(flag & 2), raw[at : at + size]))
                 at += size
-            block = Block(docs, p)
+            block = Block(docs, p, counted=False)
             found = {(k, b): v for k, b, v in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("vals"), strict=True)}
             values = {"word": np.zeros(len(block.word_keys)), "string": np.zeros(len(block.string_keys))}
             for kind, keys, where, form in (("word", block.word_keys, (block.word_keys % U(p.buckets)).astype(np.int64), np.int64), ("string", block.string_keys, string_bucket(block.string_keys, p), np.float64)):
