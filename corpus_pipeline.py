@@ -43,7 +43,7 @@ STAGES = [
     ("BPE encoding", encoding_stage),
 ]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; tests hold them against plain versions or, for classifiers, the operators' own scores.
 ORACLE_SQL = None
 
 
