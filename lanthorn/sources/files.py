@@ -10,6 +10,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -86,33 +88,141 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def _cell(c, shared: list[str]) -> str:
-    value = c.find(f"{_S}v")
-    if c.get("t") == "inlineStr":
-        return "".join(t.text or "" for t in c.iter(f"{_S}t"))
-    if value is None or value.text is None:
-        return ""
-    return shared[int(value.text)] if c.get("t") == "s" else value.text
+#: Formats by number (ECMA-376, 18.8.30).
+_FORMATS = {
+    1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00",
+    14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm",
+    37: "#,##0;(#,##0)", 38: "#,##0;(#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;(#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mm:ss.0",
+}
+_DATE_PART = re.compile(r'"[^"]*"|\\.|\[[hms]+\]|AM/PM|A/P|y+|m+|d+|h+|s+(?:\.0+)?|.', re.I)
+
+
+def _date_text(days: float, code: str, epoch: datetime) -> str:
+    """A serial date by its format's parts; m is a minute after hours or before seconds."""
+    at = epoch + timedelta(seconds=round(days * 86400))
+    tokens, twelve = _DATE_PART.findall(code), bool(re.search(r"AM/PM|A/P", code, re.I))
+    kinds = [t[0].lower() if t[0].lower() in "ymdhs" else t[:2].strip("[") if t[0] == "[" else "" for t in tokens]
+    known = [(k, n) for n, k in enumerate(kinds) if k]
+    for j, (k, n) in enumerate(known):
+        if k == "m" and len(tokens[n]) <= 2 and (j and known[j - 1][0] in "hH" or j + 1 < len(known) and known[j + 1][0] == "s"):
+            kinds[n] = "minute"
+    hour = (at.hour % 12 or 12) if twelve else at.hour
+    say = {
+        "y": lambda n: at.strftime("%Y" if n > 2 else "%y"),
+        "m": lambda n: at.strftime({3: "%b", 4: "%B"}[n]) if n in (3, 4) else at.strftime("%b")[0] if n > 4 else f"{at.month:0{n}d}",
+        "d": lambda n: at.strftime("%a" if n == 3 else "%A") if n > 2 else f"{at.day:0{n}d}",
+        "h": lambda n: f"{hour:0{min(n, 2)}d}",
+        "minute": lambda n: f"{at.minute:0{n}d}",
+        "s": lambda n: f"{at.second:0{min(n, 2)}d}",
+    }
+    out = []
+    for t, k in zip(tokens, kinds, strict=True):
+        if t[0] == "[":
+            unit = {"h": 3600, "m": 60, "s": 1}[t[1].lower()]
+            out.append(str(round(days * 86400) // unit))
+        elif k:
+            out.append(say[k](len(t)))
+        elif t.upper() in ("AM/PM", "A/P"):
+            out.append(at.strftime("%p"))
+        else:
+            out.append(t.strip('"') if t[0] == '"' else t[-1])
+    return "".join(out)
+
+
+def _number_text(x: float, code: str) -> str:
+    """A number by its format: decimals, thousands, percent, exponent and plain text."""
+    bare = re.sub(r'"[^"]*"|\\.', "", code)
+    slots = re.search(r"[#0?][#0?,.]*(?:E[+-]0+)?", bare)
+    literal = lambda t: re.sub(r'"([^"]*)"|\\(.)', lambda m: m[1] or m[2] or "", t)
+    if not slots:
+        return literal(code)
+    places = len(re.match(r"[0#?]*", slots[0].partition(".")[2])[0])
+    if "E" in slots[0]:
+        digits = f"{x:.{places}E}"
+    else:
+        x *= 100 ** bare.count("%")
+        digits = f"{x:{',' if ',' in slots[0].strip(',') else ''}.{places}f}"
+    at = code.find(slots[0])
+    return literal(code[:at]) + digits + literal(code[at + len(slots[0]) :]) if at >= 0 else digits
+
+
+def _shown(value: str, code: str, epoch: datetime) -> str:
+    """A stored number as its cell shows it. Whole numbers without a format keep all digits."""
+    try:
+        x = float(value)
+    except ValueError:
+        return value
+    if code in ("", "General", "@"):
+        return str(int(x)) if x.is_integer() and abs(x) < 1e21 else format(x, ".10g")
+    sections = re.split(r';(?=(?:[^"]*"[^"]*")*[^"]*$)', code)
+    k = 1 if x < 0 and len(sections) > 1 else 2 if x == 0 and len(sections) > 2 else 0
+    code = re.sub(r"\[(?![hms]+\])[^\]]*\]|_.|\*.", "", sections[k], flags=re.I)
+    if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\\.|E[+-]', "", code), re.I):
+        try:
+            return _date_text(x, code, epoch)
+        except OverflowError:
+            return value
+    return _number_text(abs(x) if k == 1 else x, code)
+
+
+@dataclass(frozen=True)
+class _Book:
+    """What the cells of a workbook refer to: shared strings, formats by style, dates."""
+
+    shared: list[str]
+    formats: list[str]
+    epoch: datetime
+
+    @classmethod
+    def of(cls, z: zipfile.ZipFile) -> _Book:
+        formats: list[str] = []
+        if "xl/styles.xml" in z.namelist():
+            styles = ElementTree.fromstring(z.read("xl/styles.xml"))
+            own = {int(f.get("numFmtId")): f.get("formatCode") for f in styles.iter(f"{_S}numFmt")}
+            formats = [own.get(int(xf.get("numFmtId", 0)), _FORMATS.get(int(xf.get("numFmtId", 0)), "")) for group in styles.findall(f"{_S}cellXfs") for xf in group]
+        settings = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_S}workbookPr")
+        late = settings is not None and settings.get("date1904") in ("1", "true")
+        return cls(_shared(z), formats, datetime(1904, 1, 1) if late else datetime(1899, 12, 30))
+
+    def raw(self, c) -> str:
+        value = c.find(f"{_S}v")
+        if c.get("t") == "inlineStr":
+            return "".join(t.text or "" for t in c.iter(f"{_S}t"))
+        if value is None or value.text is None:
+            return ""
+        return self.shared[int(value.text)] if c.get("t") == "s" else value.text
+
+    def shown(self, c) -> str:
+        """A cell's text as the sheet shows it."""
+        raw, style = self.raw(c), int(c.get("s", 0))
+        if c.get("t") == "b":
+            return {"1": "TRUE", "0": "FALSE"}.get(raw, raw)
+        if not raw or c.get("t", "n") != "n":
+            return raw
+        return _shown(raw, self.formats[style] if style < len(self.formats) else "", self.epoch)
 
 
 def xlsx_text(content: bytes) -> tuple[str, list[str]]:
-    """Each sheet under a line with its name; cells parted, empty ends and rows dropped."""
+    """Each sheet under a line with its name, sheets parted by a blank line; cells as shown,
+    empty ends and rows dropped. A sheet without text gives no line."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared, out, names = _shared(z), [], []
+        book, out, names = _Book.of(z), [], []
         for name, part in _sheets(z):
             names.append(name)
-            out.append(f"--- {name} ---")
+            lines = []
             for row in ElementTree.fromstring(z.read(part)).iter(f"{_S}row"):
                 cells: list[str] = []
                 for c in row.iter(f"{_S}c"):
                     at = _column(c.get("r")) if c.get("r") else len(cells)
                     cells += [""] * (at - len(cells))
-                    cells.append(_cell(c, shared))
+                    cells.append(book.shown(c))
                 while cells and not cells[-1].strip():
                     cells.pop()
                 if cells:
-                    out.append(DELIMITER.join(cells))
-    return "\n".join(out), names
+                    lines.append(DELIMITER.join(cells))
+            if lines:
+                out.append("\n".join([f"--- {name} ---", *lines]))
+    return "\n\n".join(out), names
 
 
 _READERS = {"docx": docx_text, "xlsx": xlsx_text}
@@ -124,47 +234,101 @@ def _replace_all(text: str, value_map: dict[str, str]) -> str:
     return text
 
 
+def _places(text: str, value_map: dict[str, str]) -> list[tuple[int, int, str]]:
+    """``(start, end, replacement)`` of the values in a text; longer ones take their place
+    first, none overlap."""
+    taken, out = bytearray(len(text)), []
+    for key in sorted((k for k in value_map if k), key=lambda k: (-len(k), k)):
+        at = text.find(key)
+        while at >= 0:
+            end = at + len(key)
+            if any(taken[at:end]):
+                end = at + 1
+            else:
+                taken[at:end] = b"\1" * len(key)
+                out.append((at, end, value_map[key]))
+            at = text.find(key, end)
+    return sorted(out)
+
+
+def _spread(nodes, places: list[tuple[int, int, str]]) -> None:
+    """Writes replacements into the run in which each value begins; the rest of the value
+    goes from the runs after it, which keep their other text."""
+    k = low = 0
+    for node in nodes:
+        text = node.text or ""
+        high, cut, parts = low + len(text), 0, []
+        while k < len(places) and places[k][0] < high:
+            start, end, new = places[k]
+            if start >= low:
+                parts += [text[cut : start - low], new]
+            cut = min(end, high) - low
+            if end > high:
+                break
+            k += 1
+        if parts or cut:
+            node.text = "".join([*parts, text[cut:]])
+            node.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+        low = high
+
+
+_FIRST_TAG = re.compile(r"<[A-Za-z_][^>]*>")
+
+
+def _parsed(data: bytes):
+    for prefix, uri in re.findall(r'xmlns:([\w.-]+)="([^"]+)"', data.decode("utf-8", "replace")):
+        if not re.fullmatch(r"ns\d+", prefix):
+            ElementTree.register_namespace(prefix, uri)
+    return ElementTree.fromstring(data)
+
+
+def _serialized(root, source: bytes) -> bytes:
+    """The changed XML with every prefix that the source's first element declares, used or
+    not: attributes such as ``mc:Ignorable`` name prefixes in their values."""
+    text = ElementTree.tostring(root, encoding="unicode")
+    head, before = _FIRST_TAG.search(text)[0], _FIRST_TAG.search(source.decode("utf-8", "replace"))[0]
+    more = [f' xmlns:{p}="{uri}"' for p, uri in re.findall(r'xmlns:([\w.-]+)="([^"]+)"', before) if f"xmlns:{p}=" not in head]
+    end = len(head) - (2 if head.endswith("/>") else 1)
+    return ("<?xml version='1.0' encoding='UTF-8'?>\n" + head[:end] + "".join(more) + text[end:]).encode()
+
+
 def docx_cleaned(content: bytes, value_map: dict[str, str]) -> bytes:
-    """The document with values replaced by paragraph. A changed paragraph's text moves
-    into its first run, so that run's format holds for it; others keep theirs."""
+    """The document with values replaced, found over the runs of a paragraph. A replacement
+    takes the format of the run in which its value begins; all other text keeps its own."""
 
     def part(data: bytes) -> bytes:
-        for prefix, uri in re.findall(r'xmlns:(\w+)="([^"]+)"', data.decode("utf-8", "replace")):
-            ElementTree.register_namespace(prefix, uri)
-        root = ElementTree.fromstring(data)
+        root = _parsed(data)
         for p in root.iter(f"{_W}p"):
             nodes = list(p.iter(f"{_W}t"))
-            text = "".join(t.text or "" for t in nodes)
-            new = _replace_all(text, value_map)
-            if new != text:
-                for t in nodes:
-                    t.text = ""
-                nodes[0].text = new
-                nodes[0].set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
-        return ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+            _spread(nodes, _places("".join(t.text or "" for t in nodes), value_map))
+        return _serialized(root, data)
 
     return _rewritten(content, lambda name: bool(_PART.search(name)), part)
 
 
 def xlsx_cleaned(content: bytes, value_map: dict[str, str]) -> bytes:
-    """The workbook with values replaced; a changed cell becomes text and loses its
-    formula and number format."""
+    """The workbook with values replaced in what cells show, else in what they store. A
+    changed cell becomes text without a formula; a number also loses its format."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared, sheets = _shared(z), {p for _, p in _sheets(z)}
+        book, sheets = _Book.of(z), {p for _, p in _sheets(z)}
 
     def part(data: bytes) -> bytes:
         ElementTree.register_namespace("", _S[1:-1])
-        root = ElementTree.fromstring(data)
+        root = _parsed(data)
         for c in root.iter(f"{_S}c"):
-            old = _cell(c, shared)
-            new = _replace_all(old, value_map)
-            if new != old:
-                for child in list(c):
-                    c.remove(child)
+            shown, raw = book.shown(c), book.raw(c)
+            new = _replace_all(shown, value_map)
+            if new == shown:
+                new = _replace_all(raw, value_map)
+                if new == raw:
+                    continue
+            if c.get("t", "n") in ("n", "d"):
                 c.attrib.pop("s", None)
-                c.set("t", "inlineStr")
-                ElementTree.SubElement(ElementTree.SubElement(c, f"{_S}is"), f"{_S}t").text = new
-        return ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+            for child in list(c):
+                c.remove(child)
+            c.set("t", "inlineStr")
+            ElementTree.SubElement(ElementTree.SubElement(c, f"{_S}is"), f"{_S}t").text = new
+        return _serialized(root, data)
 
     return _rewritten(content, sheets.__contains__, part)
 

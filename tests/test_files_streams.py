@@ -44,6 +44,53 @@ def test_office_round_trip():
     assert files.xlsx_text(files.xlsx_cleaned(xlsx(), names))[0].endswith("Person_001")
 
 
+def book(sheet: str, more: str = "", styles: str = "") -> bytes:
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    return archive({
+        "xl/workbook.xml": f'<workbook {S} {rel}>{more}<sheets><sheet name="Empty" sheetId="1" r:id="rId2"/><sheet name="Plan" sheetId="2" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/styles.xml": f"<styleSheet {S}>{styles}</styleSheet>",
+        "xl/worksheets/sheet1.xml": f"<worksheet {S}><sheetData>{sheet}</sheetData></worksheet>",
+        "xl/worksheets/sheet2.xml": f'<worksheet {S}><sheetData><row r="1"><c r="A1" s="1"/></row></sheetData></worksheet>',
+    })
+
+
+STYLES = '<numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="&quot;R&quot; #,##0.00;[Red]-&quot;R&quot; #,##0.00"/></numFmts><cellStyleXfs><xf numFmtId="9"/></cellStyleXfs><cellXfs>' + "".join(f'<xf numFmtId="{n}"/>' for n in (0, 164, 165, 10, 22, 3)) + "</cellXfs>"
+
+
+def test_cells_read_as_shown():
+    """A date of 2026-03-31 has the serial number 46112; a quarter of a day is six o'clock."""
+    row = '<row r="1"><c r="A1" s="1"><v>46112</v></c><c r="B1" s="2"><v>-1450000.5</v></c><c r="C1" s="3"><v>0.125</v></c><c r="D1" s="4"><v>46112.25</v></c><c r="E1" t="b"><v>1</v></c><c r="F1"><v>4111111111111111</v></c><c r="G1" s="5"><v>1450000</v></c><c r="H1"><v>0.1</v></c></row>'
+    shown = "2026-03-31 | -R 1,450,000.50 | 12.50% | 3/31/26 6:00 | TRUE | 4111111111111111 | 1,450,000 | 0.1"
+    assert files.xlsx_text(book(row, styles=STYLES)) == (f"--- Plan ---\n{shown}", ["Empty", "Plan"])
+    late = book('<row r="1"><c r="A1" s="1"><v>44650</v></c></row>', '<workbookPr date1904="1"/>', STYLES)
+    assert files.xlsx_text(late)[0] == "--- Plan ---\n2026-03-31"
+
+
+def test_changed_cells_are_text_and_others_keep_their_form():
+    row = '<row r="1"><c r="A1" s="1"><v>46112</v></c><c r="B1" s="5"><v>1450000</v></c><c r="C1" s="3" t="str"><f>A9</f><v>Sarah Mitchell</v></c><c r="D1"><v>12</v></c></row>'
+    out = files.xlsx_cleaned(book(row, styles=STYLES), {"2026-03-31": "[DATE]", "Sarah Mitchell": "[NAME]"})
+    assert files.xlsx_text(out)[0] == "--- Plan ---\n[DATE] | 1,450,000 | [NAME] | 12"
+    with zipfile.ZipFile(io.BytesIO(out)) as z:
+        xml = z.read("xl/worksheets/sheet1.xml").decode()
+    assert '<c r="B1" s="5"><v>1450000</v></c>' in xml and "<f>" not in xml
+    assert '<c r="C1" s="3" t="inlineStr">' in xml and '<c r="A1" t="inlineStr">' in xml
+
+
+def test_runs_keep_their_formats_and_prefixes_stay_declared():
+    """A value over two bold and plain runs; the tail of the second stays where it was."""
+    mc = 'xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" mc:Ignorable="w14"'
+    body = "<w:r><w:rPr><w:b/></w:rPr><w:t>Call John Sm</w:t></w:r><w:r><w:t>i</w:t></w:r><w:r><w:rPr><w:i/></w:rPr><w:t>th or Ann, now</w:t></w:r>"
+    source = archive({"word/document.xml": f"<w:document {W} {mc}><w:body><w:p>{body}</w:p><w:p><w:r><w:t>plain</w:t></w:r></w:p></w:body></w:document>"})
+    out = files.docx_cleaned(source, {"John Smith": "[NAME]", "Ann": "[N2]", "Smith": "?"})
+    assert files.docx_text(out)[0] == "Call [NAME] or [N2], now\nplain"
+    with zipfile.ZipFile(io.BytesIO(out)) as z:
+        xml = z.read("word/document.xml").decode()
+    assert '<w:b /></w:rPr><w:t xml:space="preserve">Call [NAME]</w:t>' in xml and '<w:i /></w:rPr><w:t xml:space="preserve"> or [N2], now</w:t>' in xml
+    assert 'xmlns:w14="' in xml and 'mc:Ignorable="w14"' in xml and "<w:t>plain</w:t>" in xml
+    files.ElementTree.fromstring(xml.encode())
+
+
 def test_read_files(spark, tmp_path):
     for name, data in {"a.docx": docx(), "b.xlsx": xlsx(), "c.txt": b"x\ny", "d.pdf": b"%PDF", "e.xlsx": b"junk", "f.exe": b""}.items():
         (tmp_path / name).write_bytes(data)
