@@ -11,16 +11,15 @@ compared by 64-bit hashes.
 A template of fewer than five words is one shingle of all its words; a text holds it where
 these words stand in a row, compared as words.
 
-Band values of the templates are literals of the plan; their number is checked. Windows
-are compared where they are made, so only retrieved ones are shuffled.
+Band values of up to ``most_windows`` template windows are literals of the plan, so windows
+are compared where they are made and only retrieved ones are shuffled. Beyond that number
+band values and shingles are tables, joined on band and value; the results are the same.
 """
 
 from __future__ import annotations
 
 import string
-from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -85,6 +84,19 @@ def _short(text: Column, templates: list[tuple[str, int, str]]) -> Column:
     return F.element_at(F.transform(F.array(F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))), of), 1)
 
 
+def _short_runs(mine: DataFrame) -> DataFrame:
+    """``(doc_id, words)``: every run of fewer than ``SHINGLE`` words of each text."""
+
+    def run(words: Column, k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
+        return F.when(F.size(words) >= k, F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(words: Column) -> Column:
+        return F.array_distinct(F.concat(*(run(words, k) for k in range(1, SHINGLE))))
+
+    return mine.select("doc_id", F.explode(F.element_at(F.transform(F.array(tokens(F.col("text"))), of), 1)).alias("words"))
+
+
 LOW = (1 << 31) - 1
 
 
@@ -102,38 +114,37 @@ def notices(spark, named: dict[str, str] | None = None) -> DataFrame:
 def license_matches(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id", text: str = "text", p: Scan = Scan()) -> DataFrame:
     """``(doc_id, template_id, template_shingles, matched_shingles, containment)`` where a
     text holds at least ``p.containment`` of a template's distinct shingles. A template of
-    fewer than five words is one shingle; null or empty texts and templates match nothing.
-    Rows that share an id are read as one document; a null id takes part as one."""
+    fewer than five words is one shingle; null or empty texts and templates, and
+    templates without an id, match nothing.
+    Rows that share an id are read as one document; a null id takes part as one. An empty
+    table matches nothing; of other columns, whatever their names, none is read; time and
+    memory follow a text's length, which is unbounded."""
     spark = docs.sparkSession
     templates = (notices(spark) if templates is None else templates).select("template_id", "template")
     mine = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     minima = _functions(p)
     model = templates.select("template_id", F.inline(_windows(F.col("template"), 1)))
-    rows = model.select("template_id", "h0", "h1", F.array(*map(F.expr, minima)).alias("m")).limit(p.most_windows + 1).collect()
+    model = model.select("template_id", "h0", "h1", F.array(*map(F.expr, minima)).alias("m"))
     few = templates.select("template_id", tokens(F.col("template")).alias("w")).where(F.size("w").between(1, SHINGLE - 1))
-    few = few.select("template_id", F.xxhash64("w").alias("h"), F.array_join("w", " ").alias("words")).distinct().limit(p.most_windows + 1).collect()
-    if len(rows) + len(few) > p.most_windows:
-        raise ValueError("too many templates for one scan; scan them in parts")
-    if not rows and not few:
-        return mine.where("false").select("doc_id", F.lit("").alias("template_id"), F.lit(0).cast("long").alias("template_shingles"), F.lit(0).cast("long").alias("matched_shingles"), F.lit(0.0).alias("containment"))
-    short = sorted(tuple(r) for r in few)
-    bands = sorted({(j, m, r["template_id"]) for r in rows for j, m in enumerate(r["m"])})
-    held = sorted({(r["template_id"], h) for r in rows for h in (r["h0"], r["h1"])} | {(t, h) for t, h, _ in short})
-    sizes = Counter(t for t, _ in held)
-    # Each of these three has at most ``most_windows`` times ``minima`` rows.
-    bands = F.broadcast(spark.createDataFrame(bands, "band int, m long, template_id string"))
-    held = F.broadcast(spark.createDataFrame(held, "template_id string, h long"))
-    sizes = F.broadcast(spark.createDataFrame(sorted(sizes.items()), "template_id string, template_shingles long"))
-    found = []
-    if rows:
-        met = [f"{least} in ({', '.join(f'{v}L' for v in sorted({r['m'][j] for r in rows}))})" for j, least in enumerate(minima)]
-        cut = mine.select("doc_id", F.inline(_windows(F.col("text"), STEP))).where(" or ".join(met))
-        hits = cut.select("doc_id", "h0", "h1", F.posexplode(F.array(*map(F.expr, minima))).alias("band", "m"))
-        hits = hits.join(bands, ["band", "m"]).select("doc_id", "template_id", F.explode(F.array("h0", "h1")).alias("h"))
-        found.append(hits.join(held, ["template_id", "h"]).select("doc_id", "template_id", "h"))
-    if short:
-        found.append(mine.select("doc_id", F.inline(_short(F.col("text"), short))).select("doc_id", "template_id", "h"))
-    found = reduce(DataFrame.unionAll, found)
+    few = few.select("template_id", F.xxhash64("w").alias("h"), F.array_join("w", " ").alias("words")).distinct()
+    rows, short = (df.limit(p.most_windows + 1).collect() for df in (model, few))
+    long_literals, short_literals = (len(x) <= p.most_windows for x in (rows, short))
+    values = [f"{least} in ({', '.join(f'{v}L' for v in sorted({r['m'][j] for r in rows}))})" for j, least in enumerate(minima)] if rows and long_literals else []
+    bands = model.select("template_id", F.posexplode("m").alias("band", "m")).distinct()
+    held = model.select("template_id", F.explode(F.array("h0", "h1")).alias("h")).unionAll(few.select("template_id", "h")).distinct()
+    sizes = held.groupBy("template_id").agg(F.count("*").alias("template_shingles"))
+    if long_literals and short_literals:
+        # At most ``most_windows`` times ``minima`` rows each.
+        bands, held, sizes = map(F.broadcast, (bands, held, sizes))
+    cut = mine.select("doc_id", F.inline(_windows(F.col("text"), STEP)))
+    cut = cut.where(" or ".join(values)) if values else cut.where(F.lit(bool(rows)))
+    hits = cut.select("doc_id", "h0", "h1", F.posexplode(F.array(*map(F.expr, minima))).alias("band", "m"))
+    hits = hits.join(bands, ["band", "m"]).select("doc_id", "template_id", F.explode(F.array("h0", "h1")).alias("h"))
+    found = hits.join(held, ["template_id", "h"]).select("doc_id", "template_id", "h")
+    if short and short_literals:
+        found = found.unionAll(mine.select("doc_id", F.inline(_short(F.col("text"), sorted(tuple(r) for r in short)))).select("doc_id", "template_id", "h"))
+    elif short:
+        found = found.unionAll(_short_runs(mine).join(few.select("template_id", "h", "words"), "words").select("doc_id", "template_id", "h"))
     matched = found.groupBy("doc_id", "template_id").agg(F.count_distinct("h").alias("matched_shingles"))
     out = matched.join(sizes, "template_id")
     return out.where(F.col("matched_shingles") >= p.containment * F.col("template_shingles")).select("doc_id", "template_id", "template_shingles", "matched_shingles", (F.col("matched_shingles") / F.col("template_shingles")).alias("containment"))

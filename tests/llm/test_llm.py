@@ -77,6 +77,16 @@ def test_license_against_brute_force(spark):
     assert got == want and want
 
 
+def test_license_tables_beyond_the_literals(spark, edge):
+    """Many templates are joined instead of written into the plan, with the same rows out."""
+    named = spark.createDataFrame([*license_scan.NOTICES.items(), ("short", "All rights reserved."), ("one", "reserved"), ("none", None), (None, "a b c d e f")], "template_id string, template string")
+    texts = [(i, f"x {n} y z {n.upper()}") for i, n in enumerate(license_scan.NOTICES.values())] + [(90, "all RIGHTS reserved"), (91, "reserved"), (92, "rights, reserved all"), (93, None), (94, ""), (None, "reserved all rights reserved")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    few, many = (sorted(map(tuple, license_scan.license_matches(docs, named, p=license_scan.Scan(most_windows=n)).collect()), key=str) for n in (4096, 0))
+    assert few == many and len(few) > len(license_scan.NOTICES)
+    assert sorted(r[1] for r in few if r[0] in (90, 91, 92)) == ["one", "one", "one", "short"]
+
+
 def test_license_short_templates_and_bodies(spark):
     docs = [(1, "Intro. All rights\nreserved."), (2, "ALL RIGHTS RESERVED"), (3, "all rights were reserved"), (4, "overall rights reserved"), (5, None), (None, "a b, all rights reserved!")]
     docs = spark.createDataFrame(docs, "doc_id long, text string")
