@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, ctw, decontam, dedup, license_scan, quality, token_counts, toxicity
+from . import ann, bpe, centroids, chat, collocations, ctw, decontam, dedup, languages, license_scan, quality, token_counts, toxicity
 from ._licenses import SHORT
 
 
@@ -72,8 +72,21 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark, sf_dir):
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_languages(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return languages.predictions(docs, languages.learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op1_short_notices, op2_bpe, op3_nearest, op4_ctw, op5_quality, op6_toxicity, op7_near_dedup, op8_decontamination, op9_chat, op10_token_counts)
+    f.__name__: f for f in (op1_license_scan, op1_short_notices, op2_bpe, op3_nearest, op4_ctw, op5_quality, op6_toxicity, op7_near_dedup, op8_decontamination, op9_chat, op10_token_counts, op11_collocations, op12_centroids, op13_languages)
 }
 
 
@@ -145,4 +158,46 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from c group by conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": _license_sql(), "op1_short_notices": _short_sql(), "op7_near_dedup": _dedup_sql(), "op9_chat": _chat_sql()}
+def _collocation_sql(p: collocations.Phrases = collocations.Phrases()) -> str:
+    lower = _LOWER.format("coalesce(text, '')")
+    grams = " union all ".join(f"select lang, {n} as size, array_to_string(list_slice(w, i, i + {n - 1}), ' ') as phrase from (select lang, w, unnest(range(1, len(w) - {n - 2})) as i from w)" for n in range(1, p.longest + 1))
+    return f"""
+with d as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({lower}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as materialized (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from d),
+t as (select lang, sum(len(w))::bigint as n from w group by 1),
+f as materialized (select lang, size, phrase, count(*) as a from ({grams}) group by all having count(*) >= {p.least}),
+c as materialized (select lang, size, phrase, a, string_split(phrase, ' ') as w from f where size >= 2),
+k as (select *, unnest(range(1, size)) as k from c),
+s as (select k.lang, k.phrase, k.a, k.k, l.a as l, r.a as r, (1000000::hugeint * k.a * k.a) // (l.a::hugeint * r.a) as score
+  from k join f l on l.lang = k.lang and l.phrase = array_to_string(list_slice(k.w, 1, k.k), ' ')
+  join f r on r.lang = k.lang and r.phrase = array_to_string(list_slice(k.w, k.k + 1, k.size), ' ')),
+b as (select lang, phrase, a, l, r, score from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+x as (select b.* from b where not exists (select 1 from c where c.lang = b.lang and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') and c.phrase <> b.phrase and 100 * c.a >= {p.covered} * b.a)),
+o as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, score from x)
+select o.lang, rank, phrase, a, l, r, n, score::bigint as score from o join t on t.lang = o.lang where rank <= {p.top}"""
+
+
+def _centroid_sql(p: centroids.Clustering = centroids.Clustering()) -> str:
+    gap = lambda v, c: f"list_sum(list_transform(range(1, {p.dimension + 1}), lambda i: ({v}[i] - {c}[i]) * ({v}[i] - {c}[i])))"
+    put = lambda r: f"a{r} as materialized (select row, arg_min(k, (d, k)) as k, min(d) as d from (select v.row, c.k, {gap('v.x', 'c.x')} as d from v, c{r} c) group by row)"
+    # Floors: what the remainder leaves is divided without one.
+    moved = "(s - ((s % n) + n) % n) // n"
+    move = lambda r: (
+        f"m{r} as materialized (select k, list({moved} order by i) as x from (select k, i, sum(x[i])::hugeint as s, count(*) as n from (select a.k, v.x, unnest(range(1, {p.dimension + 1})) as i from a{r - 1} a join v using (row)) group by k, i) group by k), "
+        f"c{r} as materialized (select k, coalesce(m.x, c.x) as x from c{r - 1} c left join m{r} m using (k))"
+    )
+    steps = ", ".join(f"{put(r)}, {move(r + 1)}" for r in range(p.rounds))
+    return f"""
+with e as (select vec_id, embedding::double[] as y from embeddings),
+v as materialized (select row_number() over () as row, vec_id, list_transform(y, lambda t: floor({p.scale} * t)::bigint) as x from e
+  where len(y) = {p.dimension} and len(list_filter(y, lambda t: t is not null and isfinite(t))) = {p.dimension}),
+c0 as materialized (select row_number() over (order by h, x) - 1 as k, list_transform(x, lambda t: t::hugeint) as x from (select sha256('{p.salt}' || vec_id) as h, x from v where vec_id is not null order by h, x limit {p.k})),
+{steps}, {put(p.rounds)},
+i as (select k, sum(d)::bigint as own from a{p.rounds} group by k)
+select v.vec_id, a.k::int as cluster, a.d::bigint as distance, i.own as cluster_inertia, (select sum(d)::bigint from a{p.rounds}) as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from v join a{p.rounds} a using (row) join i on i.k = a.k join c{p.rounds} c on c.k = a.k"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": _license_sql(), "op1_short_notices": _short_sql(), "op7_near_dedup": _dedup_sql(), "op9_chat": _chat_sql(), "op11_collocations": _collocation_sql(), "op12_centroids": _centroid_sql(),
+}
