@@ -170,26 +170,77 @@ def built_once(make):
 
 
 #: Elements that a fold takes at a time.
-AT_A_TIME = 64
+AT_A_TIME = 256
 
 
 def folded(items: Column, start: Column, kind: str, step) -> Column:
     """``struct<state, out>`` of a fold with output: ``step(state, item)`` returns the next
     state and an array of what it adds, of type ``kind``.
-    Arrays grow by copying, so the items are taken in parts and the parts joined: time
-    follows the number of items, not its square."""
+    Arrays grow by copying, so the items are taken in parts and the parts joined. Items are
+    found by their place, since a slice reads its whole array."""
     none = F.array().cast(kind)
     pair = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
 
     def one(s: Column, x: Column) -> Column:
         return let(F.struct(*(c.alias(n) for n, c in zip(("state", "out"), step(s["state"], x), strict=True))), lambda r: pair(r["state"], F.when(F.size(r["out"]) > 0, F.concat(s["out"], r["out"])).otherwise(s["out"])))
 
-    def part(s: Column, k: Column) -> Column:
-        inner = F.aggregate(F.slice(items, k * AT_A_TIME + 1, AT_A_TIME), pair(s["state"], none), one)
-        return let(inner, lambda r: pair(r["state"], F.concat(s["out"], r["out"])))
+    def over(items: Column) -> Column:
+        def part(s: Column, k: Column) -> Column:
+            mine = F.sequence(k * AT_A_TIME + 1, F.least((k + 1) * AT_A_TIME, F.size(items)))
+            inner = F.aggregate(mine, pair(s["state"], none), lambda s, i: one(s, F.element_at(items, i)))
+            return let(inner, lambda r: pair(r["state"], F.concat(s["out"], r["out"])))
 
-    parts = F.when(F.size(items) > 0, F.sequence(F.lit(0), ((F.size(items) - 1) / AT_A_TIME).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(parts, pair(start, none), part)
+        return F.aggregate(_parts(items), pair(start, none), part)
+
+    return let(items, over)
+
+
+def _parts(items: Column) -> Column:
+    """0, 1, ... for each part of an array."""
+    return F.when(F.size(items) > 0, F.sequence(F.lit(0), ((F.size(items) - 1) / AT_A_TIME).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def leaders(items: Column, key, rank=None) -> Column:
+    """``array<int>``: for each item the place, from 0, of the leader of its group: among the
+    items with the same ``key(item)``, a string, the one of least ``rank(item, place)``, the
+    first of equals. Without a rank the first one leads. By sorting, so time follows n log n."""
+    keyed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), (i if rank is None else rank(x, i)).alias("r"), i.alias("i")))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        at = F.when((s["at"] >= 0) & s["k"].eqNullSafe(x["k"]), s["at"]).otherwise(x["i"])
+        return F.struct(x["k"].alias("k"), at.alias("at")), F.array(F.struct(x["i"].alias("i"), at.alias("at")))
+
+    zero = F.struct(F.lit(None).cast("string").alias("k"), F.lit(-1).alias("at"))
+    found = folded(F.array_sort(keyed), zero, "array<struct<i:int,at:int>>", step)["out"]
+    return F.transform(F.array_sort(found), lambda p: p["at"])
+
+
+def places(items: Column) -> Column:
+    """0, 1, ... for each item."""
+    return F.transform(items, lambda x, i: i)
+
+
+def cut_between(text: Column, spans: Column, make) -> Column:
+    """``make(gap, inside, place)``, an array, for each of the spans, which are in order and
+    apart: the text between it and the one before, and the text inside it; the arrays are
+    joined. Spans are taken in parts and each part's text is cut out first, since every cut
+    counts characters from the start."""
+
+    end_of = lambda i: F.when(i == 0, 0).otherwise(F.element_at(spans, F.greatest(i, F.lit(1)))["end"])  # noqa: E731  of the i-th, from 1
+
+    def part(k: Column) -> Column:
+        first, last = k * AT_A_TIME, F.least((k + 1) * AT_A_TIME, F.size(spans))
+
+        def cuts(piece: Column) -> Column:
+            def one(n: Column) -> Column:
+                base, before, x = end_of(first), end_of(n - 1), F.element_at(spans, n)
+                return make(F.substring(piece, before - base + 1, x["start"] - before), F.substring(piece, x["start"] - base + 1, x["end"] - x["start"]), n - 1)
+
+            return F.flatten(F.transform(F.sequence(first + 1, last), one))
+
+        return let(F.substring(text, end_of(first) + 1, end_of(last) - end_of(first)), cuts)
+
+    return F.flatten(F.transform(_parts(spans), part))
 
 
 SPAN = "struct<value:string,start:int,end:int,match:string,at:int>"
@@ -220,5 +271,5 @@ def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), trim: bool =
         row = F.struct(value.alias("value"), start.cast("int").alias("start"), (start + n(value)).cast("int").alias("end"), match.alias("match"), at.cast("int").alias("at"))
         return (at + n(match)).cast("int"), F.array(row)
 
-    found = let(F.filter(zipped, lambda x: x["whole"].isNotNull()), lambda items: folded(items, F.lit(0), f"array<{SPAN}>", step)["out"])
+    found = folded(F.filter(zipped, lambda x: x["whole"].isNotNull()), F.lit(0), f"array<{SPAN}>", step)["out"]
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))

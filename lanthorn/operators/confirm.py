@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocab as V
-from ..functions.dialect import let, portable, settled
+from ..functions.dialect import leaders, let, portable, settled
 from .resolve import FINDING, by_start
 from .risk import risk
 from .scoring import MEDIUM, tier
@@ -173,15 +173,27 @@ def _checked(f: Column, v: Column, by: DeepContext) -> Column:
 def apply_verdicts(findings: Column, recoverable: Column, given: Column, by: DeepContext) -> Column:
     """Confirmed findings rise, rejected ones go, unknown ones stay with a note;
     recoverable ones join if confirmed."""
-    of = lambda f: F.try_element_at(F.filter(given, lambda v: v["id"] == f["id"]), F.lit(1))
     failed = F.exists(given, lambda v: v["decision"] == "failed")
+    none = F.lit(None).cast(VERDICT)
+    # Verdicts first, then who may have one: the first of an id is its verdict.
+    ids = lambda rows: F.transform(rows, lambda r: r["id"])
+    at = leaders(F.concat(ids(given), ids(findings), ids(recoverable)), lambda i: i)
+    n, m = F.size(given), F.size(findings)
 
-    def judged(f: Column) -> Column:
-        return let(of(f), lambda v: F.when(v.isNull() | (f["tier"] != "medium"), f).when(v["decision"] == "confirm", _vouched(f, v, by)).when(v["decision"] == "unknown", _checked(f, v, by)))
+    def of(place: Column, before: Column) -> Column:
+        """The verdict of the row at a place of those after ``before`` others, or null."""
+        led = lambda p: F.element_at(p, place + before + 1)
+        return lambda p: F.when(led(p) < n, F.element_at(given, F.least(led(p) + 1, n))).otherwise(none)
 
-    kept = F.array_compact(F.transform(findings, judged))
-    back = F.array_compact(F.transform(recoverable, lambda f: let(of(f), lambda v: F.when(v["decision"] == "confirm", _vouched(f, v, by)))))
-    return F.when(failed, findings).otherwise(F.concat(kept, back))
+    def judged(f: Column, v: Column) -> Column:
+        return F.when(v.isNull() | (f["tier"] != "medium"), f).when(v["decision"] == "confirm", _vouched(f, v, by)).when(v["decision"] == "unknown", _checked(f, v, by))
+
+    def result(p: Column) -> Column:
+        kept = F.array_compact(F.transform(findings, lambda f, i: let(of(i, n)(p), lambda v: judged(f, v))))
+        back = F.array_compact(F.transform(recoverable, lambda f, i: let(of(i, n + m)(p), lambda v: F.when(v["decision"] == "confirm", _vouched(f, v, by)))))
+        return F.when(failed, findings).otherwise(F.concat(kept, back))
+
+    return F.when(n == 0, findings).otherwise(let(at, result))
 
 
 DISCOVERY = "struct<category:string,value:string,start:int,end:int,confidence:double>"
@@ -240,18 +252,11 @@ def discovered(resolved: Column, declined: Column, entities: Column, by_id: str,
 def one_answer(findings: Column) -> Column:
     """A value has one category in a document: that of its surest mention, the first of
     equals."""
-    keyed = F.transform(findings, lambda f, i: F.struct((-f["confidence"]).alias("x"), i.alias("i"), F.lower(f["value"]).alias("k"), f.alias("f")))
-
-    def settle(rows: Column) -> Column:
-        def of(f: Column) -> Column:
-            best = F.array_min(F.filter(rows, lambda r: r["k"] == F.lower(f["value"])))["f"]
-            note = F.struct(F.lit("consistent-category").alias("id"), F.lit(0.0).alias("weight"), F.lit("Matched to the same value elsewhere in this content.").alias("note"))
-            changed = lambda b: f.withField("category", b["category"]).withField("confidence", F.greatest(f["confidence"], b["confidence"])).withField("tier", b["tier"]).withField("signals", F.array_append(f["signals"], note)).cast(FINDING)
-            return let(best, lambda b: F.when(b["category"] == f["category"], f).otherwise(changed(b)))
-
-        return F.transform(findings, of)
-
-    return by_start(let(keyed, settle))
+    note = F.struct(F.lit("consistent-category").alias("id"), F.lit(0.0).alias("weight"), F.lit("Matched to the same value elsewhere in this content.").alias("note"))
+    changed = lambda f, b: f.withField("category", b["category"]).withField("confidence", F.greatest(f["confidence"], b["confidence"])).withField("tier", b["tier"]).withField("signals", F.array_append(f["signals"], note)).cast(FINDING)
+    settle = lambda f, b: F.when(b["category"] == f["category"], f).otherwise(changed(f, b))
+    best = leaders(findings, lambda f: F.lower(f["value"]), lambda f, i: -f["confidence"])
+    return by_start(let(best, lambda at: F.transform(findings, lambda f, i: let(F.element_at(findings, F.element_at(at, i + 1) + 1), lambda b: settle(f, b)))))
 
 
 def needs_confirming(findings: Column, recoverable: Column) -> Column:

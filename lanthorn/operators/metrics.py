@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.categories import attribute
+from ..functions.dialect import cut_between, let
+from .sanitize import apart
 
 
 def by_value(findings: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -95,19 +97,13 @@ def corpus_score(found: DataFrame, expected: DataFrame, rejected: DataFrame, key
 
 def highlights(text: Column, findings: Column) -> Column:
     """``array<struct<text, finding>>``: the text in parts, plain ones with a null finding;
-    a finding that starts inside the one before is passed over."""
-    part = "struct<text:string,finding:string>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{part}>").alias("parts"))
+    a finding that starts inside the one before is passed over. The findings are in order."""
     make = lambda t, i: F.struct(t.alias("text"), i.cast("string").alias("finding"))
+    kept = lambda parts: F.filter(parts, lambda p: p["finding"].isNotNull() | (p["text"] != ""))
 
-    def step(s: Column, f: Column) -> Column:
-        plain = F.substring(text, s["at"] + 1, f["start"] - s["at"])
-        before = F.when(plain != "", F.array(make(plain, F.lit(None)))).otherwise(F.array().cast(f"array<{part}>"))
-        more = F.concat(s["parts"], before, F.array(make(F.substring(text, f["start"] + 1, f["end"] - f["start"]), f["id"])))
-        return F.when(f["start"] < s["at"], s).otherwise(F.struct(f["end"].alias("at"), more.alias("parts")))
+    def of(found: Column) -> Column:
+        parts = cut_between(text, found, lambda gap, inside, i: F.array(make(gap, F.lit(None)), make(inside, F.element_at(found, i + 1)["id"])))
+        end = F.when(F.size(found) > 0, F.element_at(found, -1)["end"]).otherwise(0)
+        return kept(F.concat(parts, F.array(make(F.substring(text, end + 1, F.length(text)), F.lit(None)))))
 
-    def finish(s: Column) -> Column:
-        rest = F.substring(text, s["at"] + 1, F.length(text))
-        return F.when(rest != "", F.array_append(s["parts"], make(rest, F.lit(None)))).otherwise(s["parts"])
-
-    return F.aggregate(findings, zero, step, finish)
+    return let(apart(findings), of)

@@ -1,16 +1,17 @@
 """Replacing findings: tokens, numbered pseudonyms or synthetic values.
 
-A document is one row; its findings are folded from left to right, which settles pseudonym
-numbers, synthetic collisions and the positions in the output in one pass.
+A document is one row. Equal values find each other by sorting; pseudonym numbers and the
+positions in the output are running sums, and the text is cut in parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.categories import attribute
-from ..functions.dialect import let, portable
+from ..functions.dialect import built_once, cut_between, folded, leaders, let, places, portable, settled
+from .resolve import FINDING
 from .risk import active
 
 MODES = {"redact": "category tokens", "pseudonymize": "numbered pseudonyms", "synthetic": "realistic stand-ins"}
@@ -42,8 +43,8 @@ def _pick(pool: tuple[str, ...], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, pool)), (n % len(pool) + 1).cast("int"))
 
 
-def synthetic(category: Column, value: Column, bump: Column) -> Column:
-    """A stand-in for the value; ``bump`` moves on to the next one."""
+def synthetic(category: Column, seed: Column, bump: Column) -> Column:
+    """A stand-in for the value whose ``fnv`` is given; ``bump`` moves on to the next one."""
 
     def of(seed: Column) -> Column:
         at, n = seed + bump, (seed + bump) % 9000
@@ -81,7 +82,7 @@ def synthetic(category: Column, value: Column, bump: Column) -> Column:
             chosen = chosen.when(category == name, form)
         return chosen.otherwise(attribute(category, "token"))
 
-    return let(fnv(value), of)
+    return of(seed)
 
 
 def identity(finding: Column) -> Column:
@@ -96,66 +97,118 @@ def _is_token(finding: Column, mode: str) -> Column:
 def preview(finding: Column, mode: str) -> Column:
     """What a finding would become by itself."""
     token, prefix = attribute(finding["category"], "token"), attribute(finding["category"], "prefix")
-    other = F.concat(prefix, F.lit("_001")) if mode == "pseudonymize" else synthetic(finding["category"], finding["value"], F.lit(0))
+    other = F.concat(prefix, F.lit("_001")) if mode == "pseudonymize" else let(fnv(finding["value"]), lambda seed: synthetic(finding["category"], seed, F.lit(0)))
     return F.when(_is_token(finding, mode), token).otherwise(other)
 
 
-STATE = "struct<cursor:int,pos:int,parts:array<string>,known:array<struct<key:string,category:string,replacement:string>>,done:array<struct<id:string,category:string,value:string,replacement:string,start:int,end:int>>>"
+def apart(findings: Column) -> Column:
+    """Findings by start, without those that start inside the one kept before."""
+    keyed = F.transform(findings, lambda f, i: F.struct(f["start"].alias("s"), i.alias("i"), f.alias("f")))
+    ordered = F.transform(F.array_sort(keyed), lambda k: k["f"])
+    none = F.array().cast(f"array<{FINDING}>")
+    keep = lambda end, f: (F.when(f["start"] < end, end).otherwise(f["end"]), F.when(f["start"] < end, none).otherwise(F.array(f.cast(FINDING))))
+    return folded(ordered, F.lit(0), f"array<{FINDING}>", keep)["out"]
 
 
-def _choose(finding: Column, key: Column, known: Column, mode: str) -> Column:
-    """The replacement: that of an equal value before, or a new one."""
-    before = F.try_element_at(F.filter(known, lambda k: k["key"] == key), F.lit(1))["replacement"]
-    if mode == "redact":
-        new = attribute(finding["category"], "token")
-    elif mode == "pseudonymize":
-        used = F.size(F.filter(known, lambda k: k["category"] == finding["category"]))
-        new = F.concat(attribute(finding["category"], "prefix"), F.lit("_"), padded(used + 1, 3))
-    else:
-        make = lambda b: synthetic(finding["category"], finding["value"], b)
-        taken = lambda x: F.exists(known, lambda k: k["replacement"] == x)
-        free = F.aggregate(
+def _numbers(found: Column, first: Column) -> Column:
+    """The number of each finding that leads its value among those of its category."""
+    keyed = F.array_sort(F.transform(found, lambda f, i: F.struct(f["category"].alias("c"), i.alias("i"), (F.element_at(first, i + 1) == i).alias("new"))))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        n = F.when(s["c"].eqNullSafe(x["c"]), s["n"]).otherwise(0) + x["new"].cast("int")
+        return F.struct(x["c"].alias("c"), n.alias("n")), F.array(F.struct(x["i"].alias("i"), n.alias("n")))
+
+    zero = F.struct(F.lit(None).cast("string").alias("c"), F.lit(0).alias("n"))
+    return F.transform(F.array_sort(folded(keyed, zero, "array<struct<i:int,n:int>>", step)["out"]), lambda x: x["n"])
+
+
+def _stand_ins(found: Column, first: Column) -> Column:
+    """A synthetic value for each finding that leads its value: the first of fifty that no
+    other has, else the last. What is taken is a set, no larger than the pools."""
+
+    def free(f: Column, seed: Column, taken: Column) -> Column:
+        make = lambda b: synthetic(f["category"], seed, b)
+        used = lambda x: F.array_contains(taken, x)
+        more = F.aggregate(
             F.sequence(F.lit(1), F.lit(MOST_BUMPS)), F.struct(make(F.lit(0)).alias("x"), F.lit(False).alias("over")),
-            lambda s, b: F.when(s["over"], s).otherwise(F.when(taken(s["x"]), F.struct(make(b).alias("x"), F.lit(False).alias("over"))).otherwise(F.struct(s["x"].alias("x"), F.lit(True).alias("over")))),
+            lambda s, b: F.when(s["over"], s).otherwise(F.when(used(s["x"]), F.struct(make(b).alias("x"), F.lit(False).alias("over"))).otherwise(F.struct(s["x"].alias("x"), F.lit(True).alias("over")))),
             lambda s: s["x"],
         )
-        new = F.when(taken(make(F.lit(0))), free).otherwise(make(F.lit(0)))
-    new = F.when(_is_token(finding, mode), attribute(finding["category"], "token")).otherwise(new)
-    return F.coalesce(before, new)
+        new = let(make(F.lit(0)), lambda x: F.when(used(x), more).otherwise(x))
+        return F.when(_is_token(f, "synthetic"), attribute(f["category"], "token")).otherwise(new)
 
+    def step(taken: Column, i: Column) -> tuple[Column, Column]:
+        f = F.element_at(found, i + 1)
+        row = lambda x: F.struct(F.when(F.array_contains(taken, x), taken).otherwise(F.array_append(taken, x)).alias("t"), F.array(x).alias("o"))
+        both = F.when(F.element_at(first, i + 1) == i, let(let(fnv(f["value"]), lambda seed: free(f, seed, taken)), row)).otherwise(F.struct(taken.alias("t"), F.array(F.lit("")).alias("o")))
+        return both["t"], both["o"]
 
-def sanitized(text: Column, findings: Column, mode: str = "redact") -> Column:
-    """``struct<text, replacements, value_map>``. A finding that starts inside the one
-    before is skipped; a value's last replacement stands in the map. A null text stays
-    null."""
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {', '.join(MODES)}")
-    zero = F.struct(F.lit(0).alias("cursor"), F.lit(0).alias("pos"), F.array().alias("parts"), F.array().alias("known"), F.array().alias("done")).cast(STATE)
+    return folded(places(found), F.array().cast("array<string>"), "array<string>", step)["out"]
 
-    def step(s: Column, f: Column) -> Column:
-        def put(key: Column) -> Column:
-            def placed(r: Column) -> Column:
-                gap = F.substring(text, s["cursor"] + 1, f["start"] - s["cursor"])
-                start = s["pos"] + f["start"] - s["cursor"]
-                is_new = ~F.exists(s["known"], lambda k: k["key"] == key)
-                known = F.when(is_new, F.array_append(s["known"], F.struct(key.alias("key"), f["category"].alias("category"), r.alias("replacement")))).otherwise(s["known"])
-                row = F.struct(f["id"].alias("id"), f["category"].alias("category"), f["value"].alias("value"), r.alias("replacement"), start.alias("start"), (start + F.length(r)).alias("end"))
-                return F.struct(f["end"].alias("cursor"), (start + F.length(r)).alias("pos"), F.concat(s["parts"], F.array(gap, r)).alias("parts"), known.alias("known"), F.array_append(s["done"], row).alias("done")).cast(STATE)
 
-            return let(_choose(f, key, s["known"], mode), placed)
+def _own(found: Column, first: Column, mode: str) -> Column:
+    """What those that lead their value get: a number or a synthetic value."""
+    return _stand_ins(found, first) if mode == "synthetic" else _numbers(found, first)
 
-        return F.when(f["start"] < s["cursor"], s).otherwise(let(identity(f), put))
 
-    keyed = F.transform(active(findings), lambda f, i: F.struct(f["start"].alias("s"), i.alias("i"), f.alias("f")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["f"])
+def _replacements(found: Column, first: Column, own: Column, mode: str) -> Column:
+    """What each finding becomes: the same for the same value."""
+    token = lambda f: attribute(f["category"], "token")
+    if mode == "redact":
+        return F.transform(found, token)
+    if mode == "synthetic":
+        return F.transform(first, lambda at: F.element_at(own, at + 1))
+    name = lambda f, n: F.when(_is_token(f, mode), token(f)).otherwise(F.concat(attribute(f["category"], "prefix"), F.lit("_"), padded(n, 3)))
+    return F.transform(found, lambda f, i: name(f, F.element_at(own, F.element_at(first, i + 1) + 1)))
+
+
+ROW = "struct<id:string,category:string,value:string,replacement:string,start:int,end:int>"
 
-    def finish(s: Column) -> Column:
-        out = F.concat(F.array_join(s["parts"], ""), F.substring(text, s["cursor"] + 1, F.length(text)))
-        last = F.filter(s["done"], lambda r, i: ~F.exists(F.slice(s["done"], i + 2, F.size(s["done"])), lambda later: later["value"] == r["value"]))
-        pairs = F.map_from_entries(F.transform(last, lambda r: F.struct(r["value"].alias("key"), r["replacement"].alias("value"))))
-        return F.struct(out.alias("text"), s["done"].alias("replacements"), pairs.alias("value_map"))
 
-    return let(F.aggregate(ordered, zero, step), finish)
+def _placed(found: Column, given: Column) -> Column:
+    """A row for each replacement, with its place in the output."""
+
+    def step(moved: Column, x: Column) -> tuple[Column, Column]:
+        f, r = x["f"], x["r"]
+        start = f["start"] + moved
+        row = F.struct(f["id"].alias("id"), f["category"].alias("category"), f["value"].alias("value"), r.alias("replacement"), start.alias("start"), (start + F.length(r)).alias("end"))
+        return moved + F.length(r) - (f["end"] - f["start"]), F.array(row.cast(ROW))
+
+    pairs = F.zip_with(found, given, lambda f, r: F.struct(f.alias("f"), r.alias("r")))
+    return folded(pairs, F.lit(0), f"array<{ROW}>", step)["out"]
+
+
+def _joined(text: Column, found: Column, given: Column) -> Column:
+    parts = cut_between(text, found, lambda gap, inside, i: F.array(gap, F.element_at(given, i + 1)))
+    end = F.when(F.size(found) > 0, F.element_at(found, -1)["end"]).otherwise(0)
+    return F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.length(text)))
+
+
+def _value_map(rows: Column, at: Column) -> Column:
+    last = F.filter(rows, lambda r, i: F.element_at(at, i + 1) == i)
+    return F.map_from_entries(F.transform(last, lambda r: F.struct(r["value"].alias("key"), r["replacement"].alias("value"))))
+
+
+@built_once
+def _step(name: str, mode: str, text: str, findings: str) -> Column:
+    found, given, rows = F.col("__found"), F.col("__given"), F.col("__rows")
+    make = {
+        "found": lambda: apart(active(F.col(findings))), "first": lambda: leaders(found, identity), "own": lambda: _own(found, F.col("__first"), mode), "given": lambda: _replacements(found, F.col("__first"), F.col("__own"), mode), "rows": lambda: _placed(found, given),
+        "last": lambda: leaders(rows, lambda r: r["value"], lambda r, i: -i), "all": lambda: F.struct(_joined(F.col(text), found, given).alias("text"), rows.alias("replacements"), _value_map(rows, F.col("__last")).alias("value_map")),
+    }
+    return make[name]()
+
+
+def cleaned(df: DataFrame, mode: str = "redact", name: str = "clean", text: str = "text", findings: str = "findings") -> DataFrame:
+    """``df`` with ``name``, a ``struct<text, replacements, value_map>``. A finding that
+    starts inside the one before is skipped; a value's last replacement stands in the map. A
+    null text stays null. Time follows the number of findings, but for sorting."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    steps = ("found", *(() if mode == "redact" else ("first", "own")), "given", "rows", "last")
+    for step in steps:
+        df = settled(df, f"__{step}", _step(step, mode, text, findings))
+    return settled(df, name, _step("all", mode, text, findings)).drop(*(f"__{step}" for step in steps))
 
 
 def apply_value_map(text: Column, value_map: Column) -> Column:

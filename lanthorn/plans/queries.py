@@ -47,11 +47,6 @@ def _core_risk():
     return risk.risk(F.col("findings"))
 
 
-@built_once
-def _sanitized(mode: str):
-    return sanitize.sanitized(F.col("text"), F.col("findings"), mode)
-
-
 def rule_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every match of one rule, with its place."""
     return corpus(spark, sf_dir).select("doc_id", F.inline(_rule(name))).select("doc_id", "value", "start", "end")
@@ -121,35 +116,35 @@ def strongest_mention(spark, sf_dir, found=core):
 
 
 def redacted_text(spark, sf_dir, found=core):
-    return settled(found(spark, sf_dir), "clean", _sanitized("redact")).select("doc_id", F.col("clean.text").alias("text"))
+    return sanitize.cleaned(found(spark, sf_dir), "redact").select("doc_id", F.col("clean.text").alias("text"))
 
 
 def pseudonym_map(spark, sf_dir, found=core):
-    df = settled(found(spark, sf_dir), "clean", _sanitized("pseudonymize"))
+    df = sanitize.cleaned(found(spark, sf_dir), "pseudonymize")
     return df.select("doc_id", F.inline("clean.replacements")).select("doc_id", "category", F.lower("value").alias("value"), "replacement").distinct()
 
 
 def output_offsets(spark, sf_dir, found=core):
-    df = settled(found(spark, sf_dir), "clean", _sanitized("redact"))
+    df = sanitize.cleaned(found(spark, sf_dir), "redact")
     return df.select("doc_id", F.inline("clean.replacements")).select("doc_id", "id", "replacement", F.col("start").alias("out_start"), F.col("end").alias("out_end"))
 
 
 def synthetic_text(spark, sf_dir, found=core):
-    return settled(found(spark, sf_dir), "clean", _sanitized("synthetic")).select("doc_id", F.col("clean.text").alias("text"), F.to_json("clean.value_map").alias("value_map"))
+    return sanitize.cleaned(found(spark, sf_dir), "synthetic").select("doc_id", F.col("clean.text").alias("text"), F.to_json("clean.value_map").alias("value_map"))
 
 
 def residual_findings(spark, sf_dir):
     """What a second scan still finds in cleaned notes."""
     df = notes(spark, sf_dir)
     df = settled(settled(settled(df, "candidates", _core_candidates()), "scored", _core_scored()), "findings", _core_findings())
-    df = settled(df, "clean", _sanitized("synthetic")).select("doc_id", F.col("clean.text").alias("text"), F.col("clean.replacements").alias("replacements"))
+    df = sanitize.cleaned(df, "synthetic").select("doc_id", F.col("clean.text").alias("text"), F.col("clean.replacements").alias("replacements"))
     df = settled(settled(settled(df, "candidates", _core_candidates()), "scored", _core_scored()), "findings", _core_findings())
     return df.select("doc_id", F.size("findings").alias("n_again"), F.size(sanitize.residual(F.col("findings"), F.col("replacements"))).alias("n_residual"))
 
 
 def full_residual_findings(spark, sf_dir):
     """What a second whole scan still finds in cleaned documents and notes."""
-    df = settled(whole(spark, sf_dir), "clean", _sanitized("synthetic")).select("doc_id", F.col("clean.text").alias("text"), F.col("clean.replacements").alias("replacements"))
+    df = sanitize.cleaned(whole(spark, sf_dir), "synthetic").select("doc_id", F.col("clean.text").alias("text"), F.col("clean.replacements").alias("replacements"))
     return scan(df).select("doc_id", F.size("findings").alias("n_again"), F.size(sanitize.residual(F.col("findings"), F.col("replacements"))).alias("n_residual"))
 
 

@@ -89,7 +89,7 @@ def test_risk_and_policy(scanned, found):
 
 @pytest.mark.parametrize("mode", list(sanitize.MODES))
 def test_sanitized(scanned, mode):
-    rows = scanned.select("doc_id", "findings", sanitize.sanitized(F.col("text"), F.col("findings"), mode).alias("c")).collect()
+    rows = sanitize.cleaned(scanned, mode, "c").select("doc_id", "findings", "c").collect()
     for r in rows:
         if not r["c"] or r["c"]["text"] is None:
             continue
