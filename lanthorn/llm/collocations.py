@@ -257,7 +257,7 @@ def passing(texts: DataFrame, p: Phrases, text_bytes: int) -> list[Passed]:
 
 
 #: Different phrases that a task counts before it passes them on.
-COUNTED = 200_000
+COUNTED = 400_000
 _COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 
 
@@ -289,6 +289,9 @@ def _counted(shipped):
     return run
 
 
+#: Text of a task: what a task passes on, a sketch and the phrases that it has seen, grows
+#: more slowly than its text, so small partitions are read together.
+TASK_BYTES = 128 << 20
 #: Candidates that are sorted together, about.
 PHRASES_OF_A_SHARE = 100_000
 
@@ -297,7 +300,9 @@ def counts(texts: DataFrame, p: Phrases) -> DataFrame:
     """``(lang, phrase, size, f)``: the exact counts of all phrases that occur at least
     ``least`` times, and of all words together as size 0, phrase ''."""
     text_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shipped = texts.sparkSession.sparkContext.broadcast(passing(texts, p, text_bytes))
+    context = texts.sparkSession.sparkContext
+    texts = texts.coalesce(max(2 * context.defaultParallelism, text_bytes // TASK_BYTES))
+    shipped = context.broadcast(passing(texts, p, text_bytes))
     parts = texts.mapInArrow(_counted(shipped), "lang string, phrase string, size int, f long")
     return parts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where((F.col("f") >= p.least) | (F.col("size") == 0))
 
