@@ -5,8 +5,8 @@ of saturating bytes; the parts of all tasks are added up slice by slice, and wha
 one bit a cell: whether the cell has reached the least count. Sizes are taken in turn. A
 phrase is put into its sketch only if the phrases without its first and without its last
 word have passed theirs, since it can't be commoner than they are; so a sketch holds little
-of the corpus's long tail. A last pass counts, as texts and not as hashes, what passed all
-sketches. Whatever is frequent passes, and whatever passes wrongly is dropped by its exact
+of the corpus's long tail. A last pass counts exactly what passed all sketches: in a task by
+128 bits of hash, over tasks by the phrases' texts. Whatever is frequent passes, and whatever passes wrongly is dropped by its exact
 count.
 
 The width of a sketch follows the text (``cells_for``) up to a bound. Beyond the bound more
@@ -15,7 +15,7 @@ rare phrases pass and are counted exactly, in a shuffle that has no bound; nothi
 
 from __future__ import annotations
 
-from collections import Counter
+import dataclasses
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -55,7 +55,7 @@ class Phrases:
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
-_LETTER = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_LETTERS = np.random.default_rng(11).integers(0, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 
 
 @lru_cache(maxsize=1)
@@ -65,8 +65,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(text: str | None) -> bytes:
-    """The text with A-Z lower-cased, a line feed for what ends a piece and a space for tabs."""
-    return (text or "").encode().translate(LOWER_AND_PIECES)
+    """The text with A-Z lower-cased, a line feed for what ends a piece and one space for
+    spaces and tabs, so that a phrase is a slice of it."""
+    out = (text or "").encode().translate(LOWER_AND_PIECES)
+    while b"  " in out:
+        out = out.replace(b"  ", b" ")
+    return out
 
 
 def parts(text: bytes, context: int, most: int = 2 * BLOCK) -> Iterator[tuple[bytes, int]]:
@@ -111,16 +115,10 @@ class Grams:
         inside[1:-1] = (a != 32) & (a != 10)
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = edge[::2], edge[1::2]
-        if not len(start):
-            none = np.zeros(0, np.int64)
-            return Grams(data, none, none, np.zeros(0, np.uint64), none, np.zeros(0, bool))
-        up, down = _powers(max(2 * BLOCK, 1 << (len(a) - 1).bit_length()))
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[a] * up[: len(a)], dtype=np.uint64)])
-        hashes = mix((run[end] - run[start]) * down[start] + np.uint64(seed))
         line = np.cumsum(a == 10)[start]
         at = np.arange(len(start))
         first = np.maximum.accumulate(np.where(np.diff(line, prepend=-1) != 0, at, 0))
-        return Grams(data, start, end, hashes, at - first + 1, at >= head)
+        return Grams(data, start, end, word_hashes(a, start, end, seed), at - first + 1, at >= head)
 
     def longer(self, before: np.ndarray) -> np.ndarray:
         """Hashes of the phrases that end at each word, from those of one word less."""
@@ -129,6 +127,15 @@ class Grams:
         return out
 
 
+def word_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, kind: int = 0) -> np.ndarray:
+    """A hash of the bytes of each word; those of other ``kind`` are independent."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(max(2 * BLOCK, 1 << (len(a) - 1).bit_length()))
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[kind][a] * up[: len(a)], dtype=np.uint64)])
+    return mix((run[end] - run[start]) * down[start] + np.uint64(seed))
+
+
 def _cell(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(hashes + np.uint64((row + 1) * 0xA0761D6478BD642F % (1 << 64))) & np.uint64(cells - 1)).astype(np.uint32)
 
@@ -256,35 +263,97 @@ def passing(texts: DataFrame, p: Phrases, text_bytes: int) -> list[Passed]:
     return out
 
 
-#: Different phrases that a task counts before it passes them on.
-COUNTED = 400_000
+def grouped(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(order, starts)`` that bring equal pairs together. Pairs that share only the first
+    number are rare, so one sort does unless there are any."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(new)
+
+
+def cut_out(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of some slices, one after the other."""
+    ends = np.cumsum(length)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)]
+
+
+class Tally:
+    """Counts of the phrases of a language: a phrase is its bytes, told apart by two
+    independent 64-bit hashes. About 50 bytes a phrase."""
+
+    def __init__(self):
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.n, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint8)
+        self.words, self.waiting, self.held = 0, [], 0
+
+    def __len__(self) -> int:
+        return len(self.first) + self.held
+
+    def add(self, data: np.ndarray, first: np.ndarray, second: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self.waiting.append(self.reduced(first, second, np.ones(len(first), np.int64), start, end - start, data))
+        self.held += len(self.waiting[-1][0])
+        if self.held > max(WAITING, len(self.first)):
+            self.settle()
+
+    @staticmethod
+    def reduced(first, second, n, start, length, data):
+        order, starts = grouped(first, second)
+        kept = order[starts]
+        return first[kept], second[kept], np.add.reduceat(n[order], starts) if len(starts) else n, length[kept], cut_out(data, start[kept], length[kept])
+
+    def settle(self) -> None:
+        parts = [(self.first, self.second, self.n, self.length, self.text), *self.waiting]
+        first, second, n, length, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.first, self.second, self.n, self.length, self.text = self.reduced(first, second, n, np.cumsum(length) - length, length, text)
+        self.waiting, self.held = [], 0
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """All phrases with their counts, and all words as size 0."""
+        self.settle()
+        yield record(_COUNT, [lang], [""], [0], [self.words])
+        ends = np.concatenate([[0], np.cumsum(self.length)])
+        spaces = np.concatenate([[0], np.cumsum(self.text == 32)])
+        sizes = spaces[ends[1:]] - spaces[ends[:-1]] + 1
+        for at in range(0, len(self.n), 50_000):
+            here = ends[at : at + 50_001]
+            offsets = pa.py_buffer((here - here[0]).astype(np.int32))
+            phrases = pa.StringArray.from_buffers(len(here) - 1, offsets, pa.py_buffer(self.text[here[0] : here[-1]].tobytes()))
+            yield record(_COUNT, [lang] * (len(here) - 1), phrases, pa.array(sizes[at : at + 50_000], pa.int32()), pa.array(self.n[at : at + 50_000], pa.int64()))
+
+
+#: Different phrases that a task holds before it passes them on, and that wait to be merged.
+COUNTED, WAITING = 4_000_000, 200_000
 _COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 
 
 def _counted(shipped):
     """``(lang, phrase, size, f)`` of what passed, and the number of all words as size 0."""
 
-    def out(counts: dict[str, list[Counter]]) -> Iterator[pa.RecordBatch]:
-        for lang, sizes in counts.items():
-            for size, counter in enumerate(sizes):
-                phrases = list(counter)
-                for at in range(0, len(phrases), 10_000):
-                    some = phrases[at : at + 10_000]
-                    yield record(_COUNT, [lang] * len(some), [b" ".join(x.split()).decode() for x in some], [size] * len(some), [counter[x] for x in some])
-
     def run(source):
-        passed, counts = shipped.value, {}
+        passed, tallies = shipped.value, {}
         for lang, grams in _blocks(source, len(passed) - 1):
-            mine = counts.setdefault(lang, [Counter() for _ in range(len(passed) + 1)])
-            mine[0][b""] += int(grams.fresh.sum())
-            data = grams.data
-            for size, (_, may) in zip(range(1, len(passed) + 1), survivors(grams, passed), strict=False):
+            mine = tallies.setdefault(lang, Tally())
+            mine.words += int(grams.fresh.sum())
+            data = np.frombuffer(grams.data, np.uint8)
+            second = dataclasses.replace(grams, hashes=word_hashes(data, grams.start, grams.end, 0, 1))
+            other, found = second.hashes, []
+            for size, (hashes, may) in zip(range(1, len(passed) + 1), survivors(grams, passed), strict=False):
+                other = other if size == 1 else second.longer(other)
                 at = np.flatnonzero(may & grams.fresh)
-                mine[size].update([data[s:e] for s, e in zip(grams.start[at - size + 1].tolist(), grams.end[at].tolist(), strict=True)])
-            if sum(len(c) for sizes in counts.values() for c in sizes) > COUNTED:
-                yield from out(counts)
-                counts = {}
-        yield from out(counts)
+                found.append((hashes[at] + np.uint64(size), other[at], grams.start[at - size + 1], grams.end[at]))
+            mine.add(data, *(np.concatenate(x) for x in zip(*found, strict=True)))
+            if sum(map(len, tallies.values())) > COUNTED:
+                for known, tally in tallies.items():
+                    yield from tally.rows(known)
+                tallies = {}
+        for known, tally in tallies.items():
+            yield from tally.rows(known)
 
     return run
 

@@ -79,6 +79,18 @@ def test_no_phrases(spark):
     assert found_collocations(spark, [(1, None, None), (2, "one two", "en")]) == set()
 
 
+def test_tally_of_clashing_hashes(monkeypatch):
+    tally = collocations.Tally()
+    data = np.frombuffer(b"a b a b c", np.uint8)
+    one = lambda *x: np.array(x, np.uint64)
+    monkeypatch.setattr(collocations, "WAITING", 1)
+    # Two phrases share the first hash; a third comes in two blocks.
+    tally.add(data, one(5, 5, 9), one(1, 2, 3), np.array([0, 2, 4]), np.array([1, 3, 7]))
+    tally.add(data, one(9, 5), one(3, 1), np.array([4, 0]), np.array([7, 1]))
+    got = [x for b in tally.rows("en") for x in b.to_pylist()]
+    assert sorted((x["phrase"], x["size"], x["f"]) for x in got) == [("", 0, 0), ("a", 1, 2), ("a b", 2, 2), ("b", 1, 1)]
+
+
 @pytest.mark.parametrize("context", [0, 1, 2])
 def test_parts_of_a_long_text(context):
     rng = random.Random(context)
