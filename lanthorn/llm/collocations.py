@@ -276,10 +276,16 @@ def grouped(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.flatnonzero(new)
 
 
-def cut_out(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The bytes of some slices, one after the other."""
-    ends = np.cumsum(length)
-    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)]
+def cut_out(data: np.ndarray, start: np.ndarray, length: np.ndarray, most: int = 20_000) -> np.ndarray:
+    """The bytes of some slices, one after the other; ``most`` slices at a time, since every
+    byte takes an index on the way."""
+    out, done = np.empty(int(length.sum()), np.uint8), 0
+    for at in range(0, len(start), most):
+        n = length[at : at + most]
+        ends = np.cumsum(n)
+        out[done : done + ends[-1]] = data[np.arange(ends[-1]) + np.repeat(start[at : at + most] - (ends - n), n)]
+        done += ends[-1]
+    return out
 
 
 class Tally:
@@ -298,7 +304,7 @@ class Tally:
     def add(self, data: np.ndarray, first: np.ndarray, second: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         self.waiting.append(self.reduced(first, second, np.ones(len(first), np.int64), start, end - start, data))
         self.held += len(self.waiting[-1][0])
-        if self.held > max(WAITING, len(self.first)):
+        if self.held > max(WAITING, len(self.first) // 4):
             self.settle()
 
     @staticmethod
@@ -328,7 +334,7 @@ class Tally:
 
 
 #: Different phrases that a task holds before it passes them on, and that wait to be merged.
-COUNTED, WAITING = 4_000_000, 200_000
+COUNTED, WAITING = 2_000_000, 200_000
 _COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 
 
