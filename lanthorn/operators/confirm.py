@@ -99,15 +99,26 @@ class ModelConfirmer(DeepContext):
     id, label = "model", "language model"
     threshold, widest, absent = 0.45, 12, 0.8
 
-    def __init__(self, model: Callable[[str], list[tuple[int, int, str, float]]], labels: dict[str, str], vocabulary: V.Vocabulary = V.Vocabulary()):
+    def __init__(self, model: Callable[[str], list[tuple[int, int, str, float]]], labels: dict[str, str], vocabulary: V.Vocabulary = V.Vocabulary(), many: Callable[[list[str]], list[list[tuple[int, int, str, float]]]] | None = None):
         super().__init__(vocabulary)
-        self.model, self.labels = model, labels
+        self.model, self.labels, self.many = model, labels, many
+
+    def _usable(self, text: str, spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+        return [s for s in spans if s[3] >= self.threshold and s[2] in self.labels and len(text[s[0] : s[1]].split()) <= self.widest]
 
     def spans(self, text: str) -> list[tuple[int, int, str, float]]:
-        return [s for s in self.model(text) if s[3] >= self.threshold and s[2] in self.labels and len(text[s[0] : s[1]].split()) <= self.widest]
+        return self._usable(text, self.model(text))
+
+    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        """Of many texts, in one call where the model takes a list (``many``)."""
+        many = self.many or (lambda some: [self.model(t) for t in some])
+        return [self._usable(t, s) for t, s in zip(texts, many(texts), strict=True)]
 
     def __call__(self, value: str, window: str, offset: int):
-        best = best_overlap(self.spans(window), offset, offset + len(value))
+        return self.judged(value, offset, self.spans(window))
+
+    def judged(self, value: str, offset: int, spans: list[tuple[int, int, str, float]]):
+        best = best_overlap(spans, offset, offset + len(value))
         if best is None:
             return "reject", self.absent, f"The {self.label} does not see a name here."
         return "confirm", best[3], f"The {self.label} reads this as {self.labels[best[2]].lower()}."
@@ -263,19 +274,18 @@ def needs_confirming(findings: Column, recoverable: Column) -> Column:
     return F.exists(findings, lambda f: f["tier"] == "medium") | (F.size(recoverable) > 0)
 
 
-def confirmed(scanned: DataFrame, confirmer: DeepContext | None = None, text: str = "text", only: Column | None = None) -> DataFrame:
-    """``scanned`` with findings and risk after the second look, and ``escalation``. A
-    confirmer with ``discover``, a function of a text that returns ``(category, value, start,
-    end, confidence)`` of what it sees, also adds what touches nothing taken or declined.
-    ``only`` limits the second look to some rows."""
-    by = confirmer or DeepContext()
-    t = F.coalesce(F.col(text), F.lit(""))
-    asks = lambda f: request(f, t)
-    uncertain = F.filter("findings", lambda f: f["tier"] == "medium")
+def _asking(scanned: DataFrame, text: str, only: Column | None) -> tuple[DataFrame, Column]:
+    """``scanned`` with ``__requests``, and whether a row has any."""
+    asks = lambda f: request(f, F.coalesce(F.col(text), F.lit("")))
     need = needs_confirming(F.col("findings"), F.col("recoverable"))
-    need = need if only is None else need & only
-    df = scanned.withColumn("__requests", F.when(need, F.concat(F.transform(uncertain, asks), F.transform("recoverable", asks))).otherwise(F.array().cast(f"array<{REQUEST}>")))
-    df = settled(df, "__verdicts", verdicts(F.col("__requests"), by))
+    need = need if only is None else need & F.coalesce(only, F.lit(False))
+    asked = F.concat(F.transform(F.filter("findings", lambda f: f["tier"] == "medium"), asks), F.transform("recoverable", asks))
+    return scanned.withColumn("__requests", F.when(need, asked).otherwise(F.array().cast(f"array<{REQUEST}>"))), need
+
+
+def _answered(df: DataFrame, by: DeepContext, text: str, need: Column) -> DataFrame:
+    """Findings, risk and ``escalation`` from ``__verdicts``."""
+    t = F.coalesce(F.col(text), F.lit(""))
     df = settled(df, "__resolved", apply_verdicts(F.col("findings"), F.col("recoverable"), F.col("__verdicts"), by))
     failed = F.exists("__verdicts", lambda v: v["decision"] == "failed")
     if hasattr(by, "discover"):
@@ -284,10 +294,76 @@ def confirmed(scanned: DataFrame, confirmer: DeepContext | None = None, text: st
     count = lambda ids, d: F.size(F.filter("__verdicts", lambda v: v["id"].startswith(ids) & (v["decision"] == d)))
     error = F.try_element_at(F.filter("__verdicts", lambda v: v["decision"] == "failed"), F.lit(1))["note"]
     stats = F.struct(
-        F.size(uncertain).alias("ambiguous"), F.size("recoverable").alias("recoverable"), need.alias("invoked"), count("f", "confirm").alias("confirmed"), count("f", "reject").alias("rejected"), count("f", "unknown").alias("unresolved"),
+        F.size(F.filter("findings", lambda f: f["tier"] == "medium")).alias("ambiguous"), F.size("recoverable").alias("recoverable"), need.alias("invoked"), count("f", "confirm").alias("confirmed"), count("f", "reject").alias("rejected"), count("f", "unknown").alias("unresolved"),
         count("r", "confirm").alias("recovered"), F.size(F.filter("__resolved", lambda f: f["id"].startswith("d"))).alias("discovered"), error.alias("error"),
     )
     df = df.withColumn("escalation", stats)
     df = settled(df, "__final", F.when((F.size("__verdicts") > 0) & ~failed, one_answer(F.col("__resolved"))).otherwise(F.col("findings")))
     df = df.withColumn("findings", F.col("__final"))
     return df.withColumn("risk", risk(F.col("findings"))).drop("__requests", "__verdicts", "__resolved", "__final", "__seen")
+
+
+def confirmed(scanned: DataFrame, confirmer: DeepContext | None = None, text: str = "text", only: Column | None = None) -> DataFrame:
+    """``scanned`` with findings and risk after the second look, and ``escalation``. A
+    confirmer with ``discover``, a function of a text that returns ``(category, value, start,
+    end, confidence)`` of what it sees, also adds what touches nothing taken or declined.
+    ``only`` limits the second look to some rows."""
+    by = confirmer or DeepContext()
+    df, need = _asking(scanned, text, only)
+    return _answered(settled(df, "__verdicts", verdicts(F.col("__requests"), by)), by, text, need)
+
+
+#: Windows that a model is given at a time.
+TOGETHER = 64
+_JUDGED = "place string, value string, offset int, decision string, confidence double, note string"
+
+
+def _judge(by: Confirmer) -> Callable:
+    """Judges distinct windows, a row each with all that is asked of it."""
+
+    def failing(work: Callable, *args):
+        try:
+            return work(*args), None
+        except Exception as e:  # noqa: BLE001  a confirmer may be anything
+            return None, str(e)
+
+    def run(batches):
+        schema = pa.schema([("place", pa.string()), ("value", pa.string()), ("offset", pa.int32()), ("decision", pa.string()), ("confidence", pa.float64()), ("note", pa.string())])
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                rows, out = batch.slice(at, TOGETHER).to_pylist(), []
+                seen, error = failing(by.spans_of, [r["window"] for r in rows]) if hasattr(by, "spans_of") else ([None] * len(rows), None)
+                for k, r in enumerate(rows):
+                    for a in r["asked"]:
+                        value, offset = a["value"], a["offset"]
+                        found = error
+                        if error is None:
+                            verdict, found = failing(by.judged, value, offset, seen[k]) if hasattr(by, "spans_of") else failing(by, value, r["window"], offset)
+                        out.append((r["place"], value, offset, *(("failed", 0.0, found) if found is not None else verdict)))
+                columns = list(zip(*out, strict=True)) or [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def confirmed_once(scanned: DataFrame, keys: list[str], confirmer: DeepContext | None = None, text: str = "text", only: Column | None = None) -> DataFrame:
+    """As ``confirmed``, but every distinct window of the whole table is looked at once, in
+    batches, however many documents have it: for models, whose look is dear.
+
+    ``keys`` name a row; rows that share their keys get each other's verdicts, so they must
+    be unique. Windows are told apart by SHA-256; what is asked of one is bounded by its
+    length. Windows are made distinct before they are shuffled, and verdicts return by a
+    join whose hot windows Spark can split. ``scanned`` is read twice: write it first where
+    the scan is dearer than that."""
+    by = confirmer or DeepContext()
+    df, need = _asking(scanned, text, only)
+    place = F.sha2("r.window", 256)
+    asked = df.select(*keys, F.posexplode("__requests").alias("__n", "r")).select(*keys, "__n", "r.id", "r.value", "r.offset", "r.window", place.alias("place"))
+    windows = asked.groupBy("place", "window").agg(F.collect_set(F.struct("value", "offset")).alias("asked"))
+    judged = windows.mapInArrow(_judge(by), _JUDGED)
+    told = asked.drop("window").join(judged, ["place", "value", "offset"])
+    verdict = F.struct("id", "decision", "confidence", "note").cast(VERDICT)
+    each = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__n", verdict.alias("v")))).alias("__told"))
+    none = F.array().cast(f"array<{VERDICT}>")
+    both = df.join(each, keys, "left").withColumn("__verdicts", F.coalesce(F.transform("__told", lambda t: t["v"]), none)).drop("__told")
+    return _answered(both, by, text, need)

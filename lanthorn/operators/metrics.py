@@ -47,18 +47,37 @@ def timing(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.median(value).alias("median"), F.min(value).alias("fastest"), F.avg(value).alias("mean"))
 
 
+#: Parts of a group that the sketch of its percentiles tells apart.
+ACCURACY = 10_000
+
+
 def ranked_percentile(df: DataFrame, value: str, percents: list[int], *by: str) -> DataFrame:
     """The value at place ``floor(p / 100 * n)`` of the sorted values, without
-    interpolation. Values are counted first; a running count finds the place, so no group
-    is gathered."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*by)
-    run = counted.withColumn("__upto", F.sum("__n").over(w.orderBy(value))).withColumn("__all", F.sum("__n").over(w))
-    out = []
-    for p in percents:
-        place = F.least(F.col("__all") - 1, F.floor(F.lit(p / 100) * F.col("__all")))
-        out.append(F.max(F.when((F.col("__upto") > place) & (F.col("__upto") - F.col("__n") <= place), F.col(value))).alias(f"p{p}"))
-    return run.groupBy(*by).agg(*out)
+    interpolation; nulls have no place.
+
+    A mergeable sketch bounds each percentile, all tasks count what lies below the bounds,
+    and only the values between them, some thousandths of a group, are put in order: no
+    task gets a group. The result is exact; should a sketch break its own bound, the query
+    fails."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    wide = lambda p, way: min(1.0, max(0.0, p / 100 + way * 4 / ACCURACY))
+    ends = F.array(*(F.lit(wide(p, way)) for p in percents for way in (-1, 1)))
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__all"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", ends, F.lit(ACCURACY)).alias("__ends"))
+    low = lambda k: F.lit(wide(percents[k], -1) > 0).cast("int")
+    end = lambda k, way: F.element_at("__ends", 2 * k + 1 + way)
+    bounds = [F.struct(F.lit(p).alias("p"), F.when(low(k) == 1, end(k, 0)).otherwise(F.col("__min")).alias("low"), (end(k, 1) if wide(p, 1) < 1 else F.col("__max")).alias("high"), F.least(F.col("__all") - 1, F.floor(F.lit(p / 100) * F.col("__all"))).alias("place")) for k, p in enumerate(percents)]
+    sketch = sketch.select(*(F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)), F.array(*bounds).alias("__bounds"))
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{i}")) for i, c in enumerate(by)]
+    met = rows.join(sketch, same) if by else rows.crossJoin(sketch)  # a single row
+    each = met.select(*by, "__v", F.explode("__bounds").alias("b")).where(F.col("__v") <= F.col("b.high"))
+    # What lies below is one row a percentile and task, what lies between one a value.
+    near = F.when(F.col("__v") >= F.col("b.low"), F.col("__v"))
+    counted = each.groupBy(*by, "b.p", "b.place", near.alias("__near")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*by, "p").orderBy(F.asc_nulls_first("__near"))
+    run = counted.withColumn("__upto", F.sum("__n").over(w))
+    here = (F.col("__upto") > F.col("place")) & (F.col("__upto") - F.col("__n") <= F.col("place"))
+    found = run.where(here).select(*by, "p", F.when(F.col("__near").isNull(), F.raise_error(F.lit("a percentile lies outside its sketch's bounds"))).otherwise(F.col("__near")).alias("__v"))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("p") == p, F.col("__v"))).alias(f"p{p}") for p in percents))
 
 
 def rolling(df: DataFrame, value: str, order: str, *by: str, rows: int = 200) -> DataFrame:
@@ -68,7 +87,10 @@ def rolling(df: DataFrame, value: str, order: str, *by: str, rows: int = 200) ->
 
 
 def newest(df: DataFrame, order: str, *by: str, rows: int = 200) -> DataFrame:
-    """The last ``rows`` rows of each key."""
+    """The last ``rows`` rows of each key. Without a key every task keeps its last ones and
+    no task sorts the table."""
+    if not by:
+        return df.orderBy(F.desc(order)).limit(rows)
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("__n") <= rows).drop("__n")
 
 

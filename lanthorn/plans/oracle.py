@@ -192,6 +192,17 @@ select page_id, case when carries then 'link-carries-data' else 'public-link' en
     "prompt_intent": _intent_sql(),
     "latency_percentiles": "with n as (select event_type, list_sort(list(value)) as v, count(value) as n from events group by 1) select event_type, "
     + ", ".join(f"v[1 + least(n - 1, floor({p}::double / 100 * n)::bigint)] as p{p}" for p in (50, 95, 99)) + " from n",
+    "latency_state": """
+with e as (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as back from events),
+c as (select event_type as key, count(*) as checked, count(*) filter (value < 100) as allow, count(*) filter (value >= 100 and value < 200) as warn, count(*) filter (value >= 200) as block from e group by 1),
+v as (select event_type as key, list_sort(list(value)) as v, count(*) as n from e where back <= 200 group by 1)
+select key, checked, allow, warn, block, block as escalations, 0::bigint as sanitized, n::int as samples, v[least(n, floor(0.5 * n)::int + 1)] as p50, v[least(n, floor(0.95 * n)::int + 1)] as p95, v[least(n, floor(0.99 * n)::int + 1)] as p99
+from c join v using (key)""",
+    "cleared_turns": """
+with t as (select conv_id, turn, trim(coalesce(text, ''), ' ') as said, not regexp_matches(coalesce(text, ''), '[0-9]') as fine from conversations where role = 'user')
+select conv_id, turn, case when length(said) < 12 then 'short'
+  when exists (select 1 from t b where b.conv_id = t.conv_id and b.turn < t.turn and b.said = t.said and b.fine) then 'cleared before'
+  when fine then 'allowed' else 'held' end as outcome from t""",
     "rolling_latency": "select event_id, event_type, round(avg(value) over w + 1e-7, 4) as rolling_mean, count(value) over w as rolling_n from events window w as (partition by event_type order by event_id rows between 199 preceding and current row)",
     "newest_events": "select event_id, event_type from (select *, row_number() over (partition by event_type order by event_id desc) as n from events) where n <= 200",
     "table_rows_as_text": "select c_custkey as doc_id, coalesce(c_name, '') || ' | ' || coalesce(c_mktsegment, '') || ' | ' || coalesce(c_acctbal::varchar, '') as text from customer",

@@ -13,7 +13,7 @@ from ..functions.dialect import built_once, settled
 from ..operators import classify, confirm, feedback, improve, metrics, resolve, risk, sanitize, scoring, sensitivity
 from ..operators.rules import RULES, matches, rule_candidates
 from ..sources import files
-from ..streaming import check
+from ..streaming import check, state
 from .cases import case_texts
 from .corpora import corpus, notes, papers, table
 from .scan import finding_rows, scan, with_candidates
@@ -268,6 +268,20 @@ def stream_metrics(spark, sf_dir):
     return check.counters(check.checked(turns))
 
 
+def latency_state(spark, sf_dir):
+    """The state of a stream's latencies, by event type: counts and percentiles of the last 200."""
+    kind = F.col("event_type")
+    decision = F.when(F.col("value") < 100, "allow").when(F.col("value") < 200, "warn").otherwise("block")
+    return state.latency_metrics(table(spark, sf_dir, "events"), kind, "ts", "event_id", "value", decision, escalated=F.col("value") >= 200)
+
+
+def cleared_turns(spark, sf_dir):
+    """Which user turns would be asked about, by conversation, where digits stop a turn."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = turns.select("*", F.timestamp_seconds("turn").alias("at"), F.lit("submit").alias("action"), F.when(F.col("text").rlike("[0-9]"), "block").otherwise("allow").alias("decision"))
+    return state.approvals(turns, "conv_id", "at", "turn", "text", "action", "decision").select(F.col("user").cast("long").alias("conv_id"), F.col("id").alias("turn"), "outcome")
+
+
 def token_islands(spark, sf_dir):
     """Capitalised words and the runs they form, without Python: a window over matches."""
     from ..functions.dialect import spans
@@ -321,7 +335,7 @@ _FUNCTIONS = (
     entity_cases, case_findings, case_risk, banner_counts, latency_summary, label_accuracy,
     candidate_counts, tier_assignment, overlap_resolved, risk_per_document, risk_level_histogram, findings_by_value, findings_by_group, category_join, policy_decision, strongest_mention, redacted_text, pseudonym_map, output_offsets,
     synthetic_text, residual_findings, full_residual_findings, scan_delta, url_signals, highlights, class_confidence, classification, heading_lines, roadmap_rows, sensitivity_state, entity_candidates, scan_findings, scan_risk, recoverable_topk, confirmed_findings,
-    prompt_rewrite, prompt_intent, feedback_records, latency_percentiles, rolling_latency, newest_events, quality_confusion, table_rows_as_text, stream_check, stream_metrics, token_islands,
+    prompt_rewrite, prompt_intent, feedback_records, latency_percentiles, rolling_latency, newest_events, quality_confusion, table_rows_as_text, stream_check, stream_metrics, latency_state, cleared_turns, token_islands,
 )
 # The same questions, asked of the whole scan; SQL can't follow it.
 _WHOLE = (

@@ -1,6 +1,7 @@
 """Plug-ins, toggles, reasons, banners and growth with the length of a text."""
 
 import json
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -82,3 +83,60 @@ def test_grows_with_length(spark):
         assert run(n) == n
         took.append(time.time() - began)
     assert took[1] < 6 * max(took[0], 0.3)
+
+
+def test_distinct_windows_are_looked_at_once(spark, tmp_path):
+    """As the look a document at a time; one call a window, however many documents have it."""
+    log = str(tmp_path / "calls")
+
+    def many(texts):
+        with open(log, "a") as f:
+            f.writelines(str(hash(t)) + "\n" for t in texts)
+        return [[(i, i + 5, "person", 0.9)] if (i := t.find("Sarah")) >= 0 else [] for t in texts]
+
+    texts = ["then Sarah is here with Mark.", "then Sarah is here with Mark.", "Grace was late", "Mark called about the report.", None, "", "plain words"]
+    df = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(42)], "doc_id long, text string").repartition(3)
+    scanned = scan(df)
+    class Confirming(confirm.ModelConfirmer):
+        """Only confirms, so that every call is one for a window."""
+
+        @property
+        def discover(self):
+            raise AttributeError
+
+    model = Confirming(lambda t: many([t])[0], LABELS, many=many)
+    once = lambda by: sorted(confirm.confirmed_once(scanned, ["doc_id"], by).select("doc_id", "findings", "escalation", "risk").collect())
+    each = lambda by: sorted(confirm.confirmed(scanned, by).select("doc_id", "findings", "escalation", "risk").collect())
+    assert once(None) == each(None)
+    got = once(model)
+    calls = len(open(log).readlines())
+    windows = scanned.select(F.explode(F.concat(F.filter("findings", lambda f: f["tier"] == "medium"), "recoverable")).alias("f"), "text").select(confirm.request(F.col("f"), F.col("text"))["window"]).distinct().count()
+    assert calls == windows > 1
+    assert got == each(model) and any(r["escalation"]["confirmed"] for r in got)
+    broken = once(type("Broken", (confirm.DeepContext,), {"__call__": lambda self, *x: 1 / 0})())
+    assert {r["escalation"]["error"] for r in broken if r["escalation"]["invoked"]} == {"division by zero"}
+    assert once(None)[0]["doc_id"] == 0 and len(broken) == 42
+
+
+def test_percentiles_of_any_size(spark):
+    """Ties, nulls, skewed groups and groups of one, against sorting."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, float(rng.randint(0, 30)), rng.expovariate(0.01)])) for _ in range(40_000)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    percents = [0, 1, 50, 95, 99, 100]
+
+    def plain(mine):
+        v = sorted(x for x in mine if x is not None)
+        return [v[min(len(v) - 1, p * len(v) // 100)] for p in percents] if v else None
+
+    want = {g: plain([v for k, v in rows if k == g]) for g in {g for g, _ in rows}}
+    got = {r["g"]: list(r)[1:] for r in metrics.ranked_percentile(df, "v", percents, "g").collect()}
+    assert got == {g: x for g, x in want.items() if x}
+    assert list(metrics.ranked_percentile(df, "v", percents).first()) == plain([v for _, v in rows])
+    assert metrics.ranked_percentile(df.where("false"), "v", percents, "g").collect() == []
+
+
+def test_newest_without_a_key(spark):
+    df = spark.range(5000).repartition(7)
+    assert sorted(r["id"] for r in metrics.newest(df, "id").collect()) == list(range(4800, 5000))
+    assert "Window" not in metrics.newest(df, "id")._jdf.queryExecution().executedPlan().toString()
