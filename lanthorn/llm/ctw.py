@@ -232,11 +232,12 @@ def _blocks(docs: DataFrame, key: str, text: str, learns, p: Tree) -> DataFrame:
         held, size, number = [], 0, 0
         for ids, texts, learn in batches(source, ["id", "text", "learn"], 500):
             for i, t, l in zip(ids, texts, learn, strict=True):
-                held.append((i, bool(l), canonical(t)))
-                size += len(held[-1][2]) + 64
-            if size >= p.block_bytes:
-                yield rows(number, held)
-                held, size, number = [], 0, number + 1
+                said = canonical(t)
+                if held and size + len(said) + 64 > p.block_bytes:
+                    yield rows(number, held)
+                    held, size, number = [], 0, number + 1
+                held.append((i, bool(l), said))
+                size += len(said) + 64
         if held:
             yield rows(number, held)
 
@@ -437,8 +438,8 @@ def text_scores(docs: DataFrame, learns=None, key: str = "doc_id", text: str = "
     as text, modulo 5, is not 1); where it is null the row trains. ``score`` is the tree's
     log10 probability of the text, ``base_score`` that of a smoothed word model. Null and
     empty texts are just an end. Without training rows every byte has probability 1/256.
-    Repeated rows and ids repeat, and count as often as they train. A very long text makes a
-    block of its own size. An empty table gives an empty result. Other columns don't matter.
+    Repeated rows and ids repeat, and count as often as they train. A block holds texts
+    of ``block_bytes`` together, or one longer text. An empty table gives an empty result. Other columns don't matter.
     """
     if learns is None:
         learns = crc_bucket(F.col("id"), 5) != 1

@@ -253,6 +253,20 @@ def test_ctw_depths_against_brute_force(spark, depth, split):
         assert got[i]["score"] == pytest.approx(brute_ctw([b for k, b in enumerate(plain) if k != 1], plain[i], depth))
 
 
+def test_blocks_are_bounded_by_their_texts(spark):
+    """Long texts between short ones, all within one Arrow batch."""
+    texts = ["word " * n for n in (3, 9000, 2, 4000, 100, 100, 5000, 1, 20_000, 7)] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    p = ctw.Tree(block_bytes=20_000)
+    sizes = []
+    for r in ctw._blocks(df, "doc_id", "text", F.lit(True), p).select("doc").collect():
+        raw = ctw._unpack(bytes(r["doc"]))
+        n = int(np.frombuffer(raw[:8], np.int64)[0])
+        sizes.append(np.frombuffer(raw[8 + 8 * n : 8 + 16 * n], np.int64))
+    assert sum(map(len, sizes)) == len(texts)
+    assert all(len(x) == 1 or x.sum() <= p.block_bytes for x in sizes)
+
+
 def test_ctw_edges(edge, empty, spark):
     with pytest.raises(ValueError):
         ctw.Tree(depth=8)
