@@ -8,7 +8,9 @@ an estimate is a few bit counts. The estimate's error is at most
 correction. Only vectors whose upper bound reaches the k-th best lower bound are compared
 exactly. Following Gao and Long, "RaBitQ" (2024).
 
-Every vector belongs to the list of its nearest centre. Centres are fitted on a bounded
+In a dimension of ``indexed_from`` vectors or more every vector belongs to the list of its
+nearest centre; below that lists cost more than they save and all vectors are looked at.
+Centres are fitted on a bounded
 sample of the vectors (``sample`` rows, ``sample_bytes``); about the square root of the row
 count, they keep the work below the product of queries and vectors. A query asks the lists
 whose centres have the largest inner product with it, as many as it takes for the sample's own
@@ -38,7 +40,8 @@ class OneBit:
     sample: int = 16_384
     sample_bytes: int = 32 << 20
     most_lists: int = 4_096
-    recall: float = 0.95
+    recall: float = 0.99
+    indexed_from: int = 1 << 17
     seed: int = 7
 
 
@@ -144,7 +147,7 @@ class Lists:
         return np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
 
 
-def fit_lists(sample: np.ndarray, n: int, p: OneBit, rounds: int = 8, asking: int = 512) -> Lists:
+def fit_lists(sample: np.ndarray, n: int, p: OneBit, rounds: int = 8, asking: int = 2048) -> Lists:
     """Centres by k-means for ``n`` vectors, and how many lists the sample's own queries need.
     The sample is sparser than the table, so its neighbours lie farther off than the real
     ones and the number errs on the safe side."""
@@ -158,15 +161,18 @@ def fit_lists(sample: np.ndarray, n: int, p: OneBit, rounds: int = 8, asking: in
     counts = np.bincount(Lists(centres, 1).of(sample), minlength=len(centres))
     centres, counts = centres[counts > 0], counts[counts > 0]
     lists = Lists(centres, len(centres))
-    queries = sample[:asking]
-    product = queries @ sample.T
-    product[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     k = min(p.k, len(sample) - 1)
     if len(centres) == 1 or k < 1:
         return lists
-    near = np.argpartition(-product, k - 1, axis=1)[:, :k]
-    place = np.argsort(lists.asked(queries), axis=1)  # of each list in a query's order
-    needed = np.sort(np.take_along_axis(place, lists.of(sample)[near], axis=1).ravel())
+    mine, needed = lists.of(sample), []
+    for at in range(0, min(asking, len(sample)), 256):
+        queries = sample[at : min(at + 256, asking)]
+        product = queries @ sample.T
+        product[np.arange(len(queries)), at + np.arange(len(queries))] = -np.inf
+        near = np.argpartition(-product, k - 1, axis=1)[:, :k]
+        place = np.argsort(lists.asked(queries), axis=1)  # of each list in a query's order
+        needed.append(np.take_along_axis(place, mine[near], axis=1).ravel())
+    needed = np.sort(np.concatenate(needed))
     enough = int(np.searchsorted(np.cumsum(np.sort(counts)), p.k + 1)) + 1  # lists that surely hold k others
     return Lists(centres, min(len(centres), max(enough, int(needed[int(np.ceil(p.recall * len(needed))) - 1]) + 2)))
 
@@ -218,7 +224,7 @@ def _with_lists(rows: DataFrame, lists: dict[int, Lists], asks: bool) -> DataFra
 def _fitted(rows: DataFrame, p: OneBit) -> dict[int, Lists]:
     """Lists for the dimensions with the most rows, each from a sample of distinct ids."""
     lists = {}
-    for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(MOST_INDEXED).collect():
+    for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.indexed_from).orderBy(F.desc("n"), "d").limit(MOST_INDEXED).collect():
         most = max(1, min(p.sample, p.sample_bytes // (8 * r["d"])))
         cut = int(min(1.0, most / r["n"]) * (1 << 30))
         mine = rows.where((F.col("d") == r["d"]) & (F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 30)) < cut))
