@@ -21,11 +21,7 @@ PATTERN, STRONG, TERM, AGAINST, FILE_NAME = 0.5, 0.3, 0.08, -0.35, 0.3
 TOPIC_SHARE, FUNCTION_SHARE = 0.7, 0.65
 
 
-def listed(terms: str) -> list[str]:
-    return [t for t in terms.split(";") if t]
-
-
-def held(lower: Column, terms: list[str]) -> Column:
+def held(lower: Column, terms: tuple[str, ...]) -> Column:
     """The terms that a text contains, in the order of the list."""
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(lower, t))
 
@@ -48,7 +44,7 @@ def scored(c: DocClass, text: Column, lower: Column, file_name: Column) -> Colum
     found = F.array(*(first_match(text, lower, p) for p in c.patterns))
     says = lambda m: strings(F.concat(F.lit('says "'), F.substring(F.regexp_replace(m, STRIP, ""), 1, 40), F.lit('"')))
     state = F.aggregate(found, state, lambda s, m: step(s, m.isNotNull(), PATTERN, says(m)))
-    strong, terms, against = (held(lower, listed(x)) if x else None for x in (c.strong, c.terms, c.against))
+    strong, terms, against = (held(lower, x) if x else None for x in (c.strong, c.terms, c.against))
     naming = lambda verb, hits: strings(F.concat(F.lit(verb + " "), F.array_join(F.slice(hits, 1, 3), ", ")))
 
     def with_terms(s: Column) -> Column:

@@ -6,25 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.dialect import let, portable
-from .classify import STRIP, listed
+from .classify import STRIP
 
 # Keywords of the intents and of the domains.
 INTENTS = {
-    "troubleshoot": "fail;failed;failing;failure;error;errors;issue;problem;broken;crash;crashed;not working;does not work;doesn’t work;timeout;timed out;stuck;hung;unable;cannot;troubleshoot;diagnose;root cause;why did;why is;debug",
-    "summarise": "summarise;summarize;summary;tl;dr;key points;main points;brief me;overview;recap;digest",
-    "draft": "write;draft;reply;respond;response;email;e-mail;message;letter;note to;communicate;announcement;update the customer",
-    "analyse": "analyse;analyze;analysis;trend;trends;insight;insights;spreadsheet;data;numbers;figures;report;compare;breakdown;statistics;forecast",
-    "explain": "explain;what is;what are;how does;how do;meaning of;difference between;help me understand",
-    "review": "review;feedback;improve this;check this;proofread;critique;sanity check;is this correct",
-    "code": "code;script;function;powershell;python;bash;sql query;javascript;regex;stack trace;exception;compile",
+    "troubleshoot": ("fail", "failed", "failing", "failure", "error", "errors", "issue", "problem", "broken", "crash", "crashed", "not working", "does not work", "doesn’t work", "timeout", "timed out", "stuck", "hung", "unable", "cannot", "troubleshoot", "diagnose", "root cause", "why did", "why is", "debug"),
+    "summarise": ("summarise", "summarize", "summary", "tl;dr", "key points", "main points", "brief me", "overview", "recap", "digest"),
+    "draft": ("write", "draft", "reply", "respond", "response", "email", "e-mail", "message", "letter", "note to", "communicate", "announcement", "update the customer"),
+    "analyse": ("analyse", "analyze", "analysis", "trend", "trends", "insight", "insights", "spreadsheet", "data", "numbers", "figures", "report", "compare", "breakdown", "statistics", "forecast"),
+    "explain": ("explain", "what is", "what are", "how does", "how do", "meaning of", "difference between", "help me understand"),
+    "review": ("review", "feedback", "improve this", "check this", "proofread", "critique", "sanity check", "is this correct"),
+    "code": ("code", "script", "function", "powershell", "python", "bash", "sql query", "javascript", "regex", "stack trace", "exception", "compile"),
 }
 DOMAINS = {
-    "backup and recovery": "backup;restore;recovery;repository;snapshot;replica;replication;retention;tape;immutable;veeam;vbr;job run",
-    "virtualisation": "vmware;esxi;vcenter;hyper-v;virtual machine;vm ;hypervisor;datastore",
-    "database": "sql;database;query;index;deadlock;table;postgres;oracle",
-    "network": "network;firewall;vlan;latency;dns;vpn;packet;routing;bandwidth;port",
-    "security": "security;breach;malware;ransomware;phishing;vulnerability;audit;compliance",
-    "storage": "storage;disk;volume;lun;nas;san;capacity;quota",
+    "backup and recovery": ("backup", "restore", "recovery", "repository", "snapshot", "replica", "replication", "retention", "tape", "immutable", "veeam", "vbr", "job run"),
+    "virtualisation": ("vmware", "esxi", "vcenter", "hyper-v", "virtual machine", "vm ", "hypervisor", "datastore"),
+    "database": ("sql", "database", "query", "index", "deadlock", "table", "postgres", "oracle"),
+    "network": ("network", "firewall", "vlan", "latency", "dns", "vpn", "packet", "routing", "bandwidth", "port"),
+    "security": ("security", "breach", "malware", "ransomware", "phishing", "vulnerability", "audit", "compliance"),
+    "storage": ("storage", "disk", "volume", "lun", "nas", "san", "capacity", "quota"),
 }
 # Templates. {ask}, {Ask}, {domain}, {subject} and {where} are filled in.
 STEPS = {
@@ -43,13 +43,9 @@ FILLER = r"^(?:please\s+|can you\s+|could you\s+|would you\s+|i need (?:you )?to
 MOST_ASK = 160
 
 
-def _terms(name: str, terms: str) -> list[str]:
-    return ["summarise", "summarize", "summary", "tl;dr", *listed(terms)[5:]] if name == "summarise" else listed(terms)
-
-
-def strongest(lower: Column, table: dict[str, str]) -> Column:
+def strongest(lower: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """The entry with the most terms in the text, the first of equals; null without any."""
-    rows = [F.struct((-F.size(F.filter(F.array(*map(F.lit, _terms(k, v))), lambda t: F.contains(lower, t)))).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(table.items())]
+    rows = [F.struct((-F.size(F.filter(F.array(*map(F.lit, v)), lambda t: F.contains(lower, t)))).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(table.items())]
     return let(F.array_min(F.array(*rows)), lambda best: F.when(best["n"] < 0, best["k"]))
 
 

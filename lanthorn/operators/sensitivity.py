@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes as C
 from ..functions.dialect import built_once, let, portable, settled
-from .classify import STRIP, held, listed
+from .classify import STRIP, held
 from .scoring import clamp, signal, weights
 
 # Thresholds.
@@ -73,7 +73,7 @@ def _subject(lower: Column, id: str, label: str, terms: str) -> Column:
         s = F.when(n >= STRONG_TERMS, pick(0.35)).when(n >= 2, pick(0.25)).otherwise(pick(0.12))
         return F.when(n > 0, _row(s, F.when(n >= 2, F.lit(f"topic:{id}")), n >= STRONG_TERMS))
 
-    return let(held(lower, listed(terms)), of)
+    return let(held(lower, terms), of)
 
 
 def signed(text: Column, lower: Column, candidates: Column, classification: Column, file_name: Column | None, sheets: Column | None, given_headings: Column | None) -> Column:

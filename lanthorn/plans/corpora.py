@@ -59,7 +59,7 @@ def paper_sql(key: str) -> str:
     """A paper in the words of the class that the key falls on, with rows of a plan."""
     cases = []
     for k, c in enumerate(CLASSES):
-        held = " and ".join(t for t in (c.strong + ";" + c.terms).split(";") if t).replace("'", "''")
+        held = " and ".join(c.strong + c.terms).replace("'", "''")
         cases.append(f"WHEN {k} THEN 'About {c.label}' || chr(10) || 'It has {held}.'")
     rows = " || ".join(f"chr(10) || 'Q{n} 20' || lpad(CAST({key} % 9 + 25 AS STRING), 2, '0') || ' step {n}'" for n in (1, 2, 3))
     return f"CASE {key} % {len(CLASSES)} {' '.join(cases)} END || chr(10) || 'INTERNAL PRICING' || {rows}"

@@ -8,7 +8,7 @@ from ..functions.vocab import INFRASTRUCTURE, NOT_PROJECTS
 from ..operators.improve import DOMAINS, INTENTS
 from ..operators.rules import RULES
 from .cases import CASES_FROM, expected_sql
-from .corpora import CORPUS_SQL, NOTES_SQL, PAPERS_SQL
+from .corpora import PAPERS_FROM, CORPUS_SQL, NOTES_SQL, PAPERS_SQL
 from .queries import CORE
 
 
@@ -109,26 +109,33 @@ seen as (select doc_id, category, key, min(start) as first from keyed group by 1
 numbered as (select *, row_number() over (partition by doc_id, category order by first) as n from seen)"""
 
 
-def _held(terms: list[str]) -> str:
+def _held(terms: tuple[str, ...]) -> str:
     return f"len(list_filter([{', '.join(map(q, terms))}], lambda t: contains(lower, t)))"
 
 
 def _class_sql() -> str:
     rows = []
     for k, c in enumerate(CLASSES):
-        terms = lambda x: [t for t in x.split(";") if t]
         pattern = lambda p: f"regexp_matches(sample, {re2(p[1:]) if p.startswith('=') else re2(p, True)})::int"
-        raw = " + ".join(f"0.5::double * {pattern(p)}" for p in c.patterns) + f" + 0.3::double * least({_held(terms(c.strong))}, 3) + 0.08::double * least({_held(terms(c.terms))}, 6)"
+        raw = " + ".join(f"0.5::double * {pattern(p)}" for p in c.patterns) + f" + 0.3::double * least({_held(c.strong)}, 3) + 0.08::double * least({_held(c.terms)}, 6)"
         if c.against:
-            raw += f" - 0.35::double * {_held(terms(c.against))}"
+            raw += f" - 0.35::double * {_held(c.against)}"
         rows.append(f"select doc_id, {q(c.dimension)} as dimension, {q(c.id)} as id, {k} as k, {raw} as raw from t")
     return f"""with t as materialized (select doc_id, substr(text, 1, 20000) as sample, lower(substr(text, 1, 20000)) as lower from ({PAPERS_SQL})), c as ({' union all '.join(rows)}),
 x as (select *, case when raw <= 0 then 0.0::double else 1 - exp(-raw / 0.8) end as confidence from c) select doc_id, dimension, id, round(confidence, 6) as confidence from x where confidence >= 0.45"""
 
 
-def _strongest(table: dict[str, str]) -> str:
-    terms = {k: (["summarise", "summarize", "summary", "tl;dr", *v.split(";")[5:]] if k == "summarise" else [t for t in v.split(";") if t]) for k, v in table.items()}
-    rows = ", ".join(f"{{'n': {_held(t)}, 'i': {-i}, 'k': {q(k)}}}" for i, (k, t) in enumerate(terms.items()))
+def _accuracy_sql() -> str:
+    known = ", ".join(f"({k}, {q(c.dimension)}, {q(c.id)})" for k, c in enumerate(CLASSES))
+    return f"""with c as ({_class_sql()}), v as (select * from (values {known}) as v(k, dimension, id)),
+p as (select c_custkey + {PAPERS_FROM} as doc_id, v.dimension, v.id as truth from customer join v on v.k = c_custkey % {len(CLASSES)}),
+r as (select p.*, c.id, row_number() over (partition by p.doc_id order by c.confidence desc, v.k) as place from p left join c on c.doc_id = p.doc_id and c.dimension = p.dimension left join v on v.id = c.id and v.dimension = c.dimension),
+d as (select doc_id, dimension, max((place = 1 and id = truth)::int) as first, max((place <= 3 and id = truth)::int) as near from r group by 1, 2)
+select dimension, count(*) as n, round(avg(coalesce(first, 0)), 6) as exact, round(avg(coalesce(near, 0)), 6) as within from d group by 1"""
+
+
+def _strongest(table: dict[str, tuple[str, ...]]) -> str:
+    rows = ", ".join(f"{{'n': {_held(t)}, 'i': {-i}, 'k': {q(k)}}}" for i, (k, t) in enumerate(table.items()))
     return f"list_max([{rows}])"
 
 
@@ -178,7 +185,7 @@ from corpus left join p using (doc_id) left join s using (doc_id)""", _POLICY),
     "redacted_text": _with_findings("select corpus.doc_id, coalesce(clean.text, corpus.text) as text from corpus left join clean using (doc_id)", _OUT),
     "output_offsets": _with_findings("select doc_id, 'f' || i as id, repl as replacement, (start + moved)::bigint as out_start, (start + moved + length(repl))::bigint as out_end from w", _OUT),
     "pseudonym_map": _with_findings("select distinct k.doc_id, k.category, lower(k.value) as value, case when k.\"group\" = 'secret' then k.token else k.prefix || '_' || lpad(n.n::varchar, greatest(3, length(n.n::varchar))::integer, '0') end as replacement from keyed k join numbered n using (doc_id, category, key)", _PSEUDO),
-    "scan_delta": _with_findings("select doc_id, count(*) as withdrawn, 0::bigint as added from f where category = 'PHONE' group by 1"),
+    "scan_delta": _with_findings("select doc_id, count(*) filter (category = 'PHONE') as withdrawn, count(*) filter (category = 'EMAIL') as added from f where category in ('PHONE', 'EMAIL') group by 1"),
     "highlights": _with_findings("""select doc_id, row_number() over (partition by doc_id order by pos, k) - 1 as part, part as text, finding from pieces where part <> ''""", """, g as (select *, coalesce(lag("end") over (partition by doc_id order by start), 0) as before from f),
 pieces as (select doc_id, before as pos, 0 as k, substr(text, before::bigint + 1, (start - before)::bigint) as part, null as finding from g union all select doc_id, start, 1, substr(text, start::bigint + 1, ("end" - start)::bigint), 'f' || i from g
   union all select c.doc_id, coalesce(max(f."end"), 0), 2, substr(any_value(c.text), coalesce(max(f."end"), 0)::bigint + 1), null from corpus c left join f using (doc_id) group by c.doc_id)"""),
@@ -187,6 +194,7 @@ from (select count(*) filter (toxic = 1 and score > 0) as a, count(*) filter (to
     "url_signals": """with p as (select page_id, url, string_split(url, '/') as s from pages), x as (select page_id, contains(url, '?') or contains(url, '#') or len(list_filter(s[4:], lambda v: length(v) >= 20 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]'))) > 0 as carries from p)
 select page_id, case when carries then 'link-carries-data' else 'public-link' end as signal, case when carries then 0.05::double else -0.45::double end as weight from x""",
     "class_confidence": _class_sql(),
+    "class_accuracy": _accuracy_sql(),
     "heading_lines": _HEADINGS,
     "roadmap_rows": f"select * from (select doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, {re2(ROADMAP_ROW, True)}))) as n from ({CORPUS_SQL} union all {PAPERS_SQL})) where n > 0",
     "prompt_intent": _intent_sql(),

@@ -15,7 +15,7 @@ from ..operators.rules import RULES, matches, rule_candidates
 from ..sources import files
 from ..streaming import check, state
 from .cases import case_texts
-from .corpora import corpus, notes, papers, table
+from .corpora import PAPERS_FROM, corpus, notes, papers, table
 from .scan import finding_rows, scan, with_candidates
 
 #: The rules whose findings SQL can follow through to the end.
@@ -149,9 +149,10 @@ def full_residual_findings(spark, sf_dir):
 
 
 def scan_delta(spark, sf_dir, found=core):
-    """Findings that a policy without phone numbers would withdraw."""
+    """What changes where a policy that leaves e-mail addresses alone gives way to one that
+    leaves phone numbers alone."""
     rows = finding_rows(found(spark, sf_dir), "doc_id")
-    return metrics.delta(rows, rows.where("category <> 'PHONE'"))
+    return metrics.delta(rows.where("category <> 'EMAIL'"), rows.where("category <> 'PHONE'"))
 
 
 def url_signals(spark, sf_dir):
@@ -282,6 +283,19 @@ def cleared_turns(spark, sf_dir):
     return state.approvals(turns, "conv_id", "at", "turn", "text", "action", "decision").select(F.col("user").cast("long").alias("conv_id"), F.col("id").alias("turn"), "outcome")
 
 
+def class_accuracy(spark, sf_dir):
+    """How often a paper that is made in the words of a class is given that class: first, and
+    among the first three of its dimension."""
+    places = F.create_map(*(F.lit(x) for k, c in enumerate(classify.CLASSES) for x in (f"{c.dimension}:{c.id}", k)))
+    known = F.element_at(F.array(*(F.struct(F.lit(c.dimension).alias("dimension"), F.lit(c.id).alias("truth")) for c in classify.CLASSES)), (F.col("c_custkey") % len(classify.CLASSES) + 1).cast("int"))
+    papers_of = table(spark, sf_dir, "customer").select((F.col("c_custkey") + PAPERS_FROM).alias("doc_id"), known.alias("c")).select("doc_id", "c.*")
+    given = class_confidence(spark, sf_dir).withColumn("k", F.element_at(places, F.concat_ws(":", "dimension", "id")))
+    best = given.groupBy("doc_id", "dimension").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("x"), "k", "id"))), lambda x: x["id"]).alias("ranked"))  # as many as classes
+    rows = papers_of.join(best, ["doc_id", "dimension"], "left").withColumn("ranked", F.slice(F.coalesce("ranked", F.array().cast("array<string>")), 1, 3))
+    right = metrics.accuracy(F.col("truth"), F.try_element_at("ranked", F.lit(1)), F.col("ranked"))
+    return rows.groupBy("dimension").agg(*right).select("dimension", "n", F.round("exact", 6).alias("exact"), F.round("within", 6).alias("within"))
+
+
 def token_islands(spark, sf_dir):
     """Capitalised words and the runs they form, without Python: a window over matches."""
     from ..functions.dialect import spans
@@ -335,7 +349,7 @@ _FUNCTIONS = (
     entity_cases, case_findings, case_risk, banner_counts, latency_summary, label_accuracy,
     candidate_counts, tier_assignment, overlap_resolved, risk_per_document, risk_level_histogram, findings_by_value, findings_by_group, category_join, policy_decision, strongest_mention, redacted_text, pseudonym_map, output_offsets,
     synthetic_text, residual_findings, full_residual_findings, scan_delta, url_signals, highlights, class_confidence, classification, heading_lines, roadmap_rows, sensitivity_state, entity_candidates, scan_findings, scan_risk, recoverable_topk, confirmed_findings,
-    prompt_rewrite, prompt_intent, feedback_records, latency_percentiles, rolling_latency, newest_events, quality_confusion, table_rows_as_text, stream_check, stream_metrics, latency_state, cleared_turns, token_islands,
+    prompt_rewrite, prompt_intent, feedback_records, latency_percentiles, rolling_latency, newest_events, quality_confusion, table_rows_as_text, stream_check, stream_metrics, latency_state, cleared_turns, class_accuracy, token_islands,
 )
 # The same questions, asked of the whole scan; SQL can't follow it.
 _WHOLE = (
