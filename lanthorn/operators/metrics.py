@@ -80,10 +80,41 @@ def ranked_percentile(df: DataFrame, value: str, percents: list[int], *by: str)
     return found.groupBy(*by).agg(*(F.max(F.when(F.col("p") == p, F.col("__v"))).alias(f"p{p}") for p in percents))
 
 
-def rolling(df: DataFrame, value: str, order: str, *by: str, rows: int = 200) -> DataFrame:
-    """The mean and count of the last ``rows`` values up to each row."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - rows, 0)
-    return df.withColumn("rolling_mean", F.avg(value).over(w)).withColumn("rolling_n", F.count(value).over(w))
+#: Rows of a key that a task orders, about, and ranges that a table is ordered in at most.
+PART_ROWS, MOST_PARTS = 100_000, 256
+
+
+def _range(value: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the sorted bounds lie below the value, by halving."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(value > F.lit(bounds[mid]), _range(value, bounds[mid + 1 :], first + mid + 1)).otherwise(_range(value, bounds[:mid], first))
+
+
+def rolling(df: DataFrame, value: str, order: str, *by: str, rows: int = 200, part_rows: int = PART_ROWS) -> DataFrame:
+    """The mean and count of the last ``rows`` values up to each row, by ``order``, whose
+    equal values have no order among them; a null comes first.
+
+    No task orders a key: ranges of ``order`` (bounds from a sketch) are counted and numbered,
+    which gives each row its place, and places are then taken in stretches of ``part_rows``,
+    each with the ``rows - 1`` before it. Ranges are at most ``MOST_PARTS``; rows of one key
+    with the same ``order`` stay in one."""
+    n, part = df.count(), max(part_rows, rows)
+    parts = min(MOST_PARTS, -(-n // part))
+    shares = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    bounds = sorted(set(df.agg(F.percentile_approx(order, shares, F.lit(10 * MOST_PARTS))).first()[0] or [])) if parts > 1 else []
+    ranged = df.withColumn("__range", F.when(F.col(order).isNull(), 0).otherwise(_range(F.col(order), bounds)))
+    held = ranged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    held = held.select(*(F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)), F.col("__range").alias("__of"), before.alias("__before"))
+    same = [F.col("__range") == F.col("__of"), *(F.col(c).eqNullSafe(F.col(f"__by_{i}")) for i, c in enumerate(by))]
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__range").orderBy(order)) - 1
+    placed = ranged.join(held, same).withColumn("__place", place).withColumn("__own", F.floor(F.col("__place") / part))
+    also = F.when(F.col("__place") % part > part - rows, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))
+    w = Window.partitionBy(*by, "__part").orderBy("__place").rowsBetween(1 - rows, 0)
+    found = placed.withColumn("__part", F.explode(also)).withColumn("rolling_mean", F.avg(value).over(w)).withColumn("rolling_n", F.count(value).over(w))
+    return found.where("__part = __own").select(*df.columns, "rolling_mean", "rolling_n")
 
 
 def newest(df: DataFrame, order: str, *by: str, rows: int = 200) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lanthorn.operators import confirm, metrics
@@ -136,6 +137,24 @@ def test_percentiles_of_any_size(spark):
     assert metrics.ranked_percentile(df.where("false"), "v", percents, "g").collect() == []
 
 
+@pytest.mark.parametrize("part_rows", [20, 60, 100_000])
+def test_rolling_in_stretches(spark, part_rows):
+    """Stretches shorter and longer than the window, a null key, a hot key, null values."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([None, float(rng.randint(0, 100))])) for i in range(1500)] + [("one", 1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, at long, v double").repartition(5)
+    got = {(r["g"], r["at"]): (r["rolling_mean"], r["rolling_n"]) for r in metrics.rolling(df, "v", "at", "g", rows=50, part_rows=part_rows).collect()}
+    want, seen = {}, {}
+    for g, at, v in sorted(rows, key=lambda r: r[1]):
+        mine = seen.setdefault(g, [])
+        mine.append(v)
+        last = [x for x in mine[-50:] if x is not None]
+        want[g, at] = (sum(last) / len(last) if last else None, len(last))
+    assert got == want and len(got) == len(rows)
+    assert metrics.rolling(df.where("false"), "v", "at", "g").collect() == []
+    assert len(metrics.rolling(df, "v", "at", rows=3, part_rows=part_rows).collect()) == len(rows)
+
+
 def test_newest_without_a_key(spark):
     df = spark.range(5000).repartition(7)
     assert sorted(r["id"] for r in metrics.newest(df, "id").collect()) == list(range(4800, 5000))
