@@ -134,11 +134,24 @@ NEEDS = {
 }
 
 
-def possible(text: Column, rule: Rule) -> Column:
+@dataclass(frozen=True)
+class Looks:
+    """What many rules ask of a text first: its lower-case form, and whether it has a digit."""
+
+    low: Column
+    digit: Column
+
+    @staticmethod
+    def of(text: Column) -> Looks:
+        return Looks(F.lower(text), text.rlike("[0-9]"))
+
+
+def possible(text: Column, rule: Rule, looks: Looks | None = None) -> Column:
     """A cheap test that every text with a match passes."""
-    tests = [text.rlike("[0-9]")] if rule.id not in WITHOUT_DIGITS else []
+    looks = looks or Looks.of(text)
+    tests = [looks.digit] if rule.id not in WITHOUT_DIGITS else []
     if rule.id in NEEDS:
-        low = F.lower(text)
+        low = looks.low
         some = F.lit(False)
         for literal in NEEDS[rule.id]:
             some = some | F.contains(low, F.lit(literal))
@@ -149,26 +162,26 @@ def possible(text: Column, rule: Rule) -> Column:
     return out
 
 
-def matches(text: Column, rule: Rule) -> Column:
+def matches(text: Column, rule: Rule, looks: Looks | None = None) -> Column:
     """``array<struct<value, start, end, match, at>>`` of what the rule accepts. A text
     that can't have a match is not searched."""
     found = spans(text, rule.regex, rule.groups, rule.trim)
     if rule.check is not None:
         found = F.filter(found, lambda s: rule.check(s, text))
-    test = possible(text, rule)
+    test = possible(text, rule, looks)
     literal = required_literal(rule.pattern)
     if len(literal) > 2 and not rule.ignore_case:
         test = test & F.contains(text, F.lit(literal))
     return F.when(test, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def rule_candidates(text: Column, rules: list[Rule], layer: str) -> Column:
+def rule_candidates(text: Column, rules: list[Rule], layer: str, looks: Looks | None = None) -> Column:
     """Candidates of all rules, in the order of the rules, then of the text. A null text
-    has none."""
+    has none. ``looks`` are the text's own, where they are at hand."""
 
     def of(rule: Rule) -> Column:
         return F.transform(
-            matches(text, rule),
+            matches(text, rule, looks),
             lambda s: F.struct(
                 F.lit(rule.category).alias("category"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.lit(layer).alias("layer"), F.lit(rule.name).alias("rule"), F.lit(rule.base).alias("base"),
                 F.lit(False).alias("unresolved"), F.lit(False).alias("single"), F.array().cast("array<struct<id:string,weight:double,note:string>>").alias("signals"),
