@@ -1,8 +1,8 @@
 """Files in and out: text, tables, spreadsheets and word-processor documents.
 
 Office files are zip archives of XML. They are read as ``binaryFile`` rows and taken apart
-by the standard library in an Arrow UDF; nothing else is needed. PDF files are listed, not
-read: there is no PDF library here.
+by the standard library in an Arrow UDF; nothing else is needed. PDF files are read by
+``pdf``. Files too large for a row are read by ``parts``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -18,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dialect import portable
+from .pdf import pdf_text
+
 KINDS = {".txt": "txt", ".md": "txt", ".log": "txt", ".json": "txt", ".csv": "csv", ".tsv": "csv", ".docx": "docx", ".xlsx": "xlsx", ".xlsm": "xlsx", ".pdf": "pdf"}
 MIME = {"txt": "text/plain", "csv": "text/csv", "pdf": "text/plain", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
 DELIMITER = " | "
@@ -60,10 +64,15 @@ def _part_order(name: str) -> tuple[int, str]:
     return (0 if "document" in name else 1 if "header" in name else 2), name
 
 
+def docx_parts(z: zipfile.ZipFile) -> list[str]:
+    """Parts with text: body, headers, the rest."""
+    return sorted((n for n in z.namelist() if _PART.search(n)), key=_part_order)
+
+
 def docx_text(content: bytes) -> tuple[str, list[str]]:
     """Paragraphs by line; parts (body, headers, the rest) by blank line."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        parts = sorted((n for n in z.namelist() if _PART.search(n)), key=_part_order)
+        parts = docx_parts(z)
         sections = ["\n".join(_paragraph(p) for p in ElementTree.fromstring(z.read(n)).iter(f"{_W}p")) for n in parts]
     return "\n\n".join(s for s in sections if s.strip()), []
 
@@ -169,12 +178,12 @@ def _shown(value: str, code: str, epoch: datetime) -> str:
 class _Book:
     """What the cells of a workbook refer to: shared strings, formats by style, dates."""
 
-    shared: list[str]
+    shared: Sequence[str]
     formats: list[str]
     epoch: datetime
 
     @classmethod
-    def of(cls, z: zipfile.ZipFile) -> _Book:
+    def of(cls, z: zipfile.ZipFile, shared: Sequence[str] | None = None) -> _Book:
         formats: list[str] = []
         if "xl/styles.xml" in z.namelist():
             styles = ElementTree.fromstring(z.read("xl/styles.xml"))
@@ -182,7 +191,7 @@ class _Book:
             formats = [own.get(int(xf.get("numFmtId", 0)), _FORMATS.get(int(xf.get("numFmtId", 0)), "")) for group in styles.findall(f"{_S}cellXfs") for xf in group]
         settings = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_S}workbookPr")
         late = settings is not None and settings.get("date1904") in ("1", "true")
-        return cls(_shared(z), formats, datetime(1904, 1, 1) if late else datetime(1899, 12, 30))
+        return cls(_shared(z) if shared is None else shared, formats, datetime(1904, 1, 1) if late else datetime(1899, 12, 30))
 
     def raw(self, c) -> str:
         value = c.find(f"{_S}v")
@@ -202,6 +211,18 @@ class _Book:
         return _shown(raw, self.formats[style] if style < len(self.formats) else "", self.epoch)
 
 
+    def line(self, row) -> str:
+        """A row's cells as shown, empty ones at its end left off."""
+        cells: list[str] = []
+        for c in row.iter(f"{_S}c"):
+            at = _column(c.get("r")) if c.get("r") else len(cells)
+            cells += [""] * (at - len(cells))
+            cells.append(self.shown(c))
+        while cells and not cells[-1].strip():
+            cells.pop()
+        return DELIMITER.join(cells)
+
+
 def xlsx_text(content: bytes) -> tuple[str, list[str]]:
     """Each sheet under a line with its name, sheets parted by a blank line; cells as shown,
     empty ends and rows dropped. A sheet without text gives no line."""
@@ -209,23 +230,14 @@ def xlsx_text(content: bytes) -> tuple[str, list[str]]:
         book, out, names = _Book.of(z), [], []
         for name, part in _sheets(z):
             names.append(name)
-            lines = []
-            for row in ElementTree.fromstring(z.read(part)).iter(f"{_S}row"):
-                cells: list[str] = []
-                for c in row.iter(f"{_S}c"):
-                    at = _column(c.get("r")) if c.get("r") else len(cells)
-                    cells += [""] * (at - len(cells))
-                    cells.append(book.shown(c))
-                while cells and not cells[-1].strip():
-                    cells.pop()
-                if cells:
-                    lines.append(DELIMITER.join(cells))
+            lines = [line for row in ElementTree.fromstring(z.read(part)).iter(f"{_S}row") if (line := book.line(row))]
             if lines:
                 out.append("\n".join([f"--- {name} ---", *lines]))
     return "\n\n".join(out), names
 
 
-_READERS = {"docx": docx_text, "xlsx": xlsx_text}
+#: Text, names of sheets, number of pages.
+_READERS = {"docx": lambda b: (*docx_text(b), None), "xlsx": lambda b: (*xlsx_text(b), None), "pdf": lambda b: (lambda text, pages: (text, [], pages))(*pdf_text(b))}
 
 
 def _replace_all(text: str, value_map: dict[str, str]) -> str:
@@ -342,36 +354,41 @@ def _rewritten(content: bytes, wanted, change) -> bytes:
     return out.getvalue()
 
 
-EXTRACTED = "text string, sheet_names array<string>, error string"
+EXTRACTED = "text string, sheet_names array<string>, error string, pages int"
+
+
+def _counted(n: Column, one: str) -> Column:
+    """A number with its noun, thousands parted: ``1 page``, ``1,200 pages``."""
+    return F.concat(F.format_number(n, 0), F.when(n == 1, f" {one}").otherwise(f" {one}s"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, name, kind, size, text, detail, sheet_names, delimiter, error)`` for each
-    file. A file that can't be read, and PDF, have a null text and an error."""
+    file. A file that can't be read has a null text and an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content").withColumn("kind", kind(F.col("name"))).where("kind is not null")
-    plain = files.where(F.col("kind").isin("txt", "csv")).select("path", "name", "kind", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("array<string>").alias("sheet_names"), F.lit(None).cast("string").alias("error"))
+    plain = files.where(F.col("kind").isin("txt", "csv")).select("path", "name", "kind", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("array<string>").alias("sheet_names"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("pages"))
 
     def run(source):
         for batch in source:
-            rows = {k: [] for k in ("text", "sheet_names", "error")}
+            rows = {k: [] for k in ("text", "sheet_names", "error", "pages")}
             for k, content in zip(batch.column("kind").to_pylist(), batch.column("content"), strict=True):
                 try:
-                    text, names = _READERS[k](content.as_py())
-                    row = (text, names, None)
+                    text, names, pages = _READERS[k](content.as_py())
+                    row = (text, names, None, pages)
                 except KeyError as e:
-                    row = (None, None, "this kind of file can't be read here" if k == "pdf" else f"missing part {e}")
+                    row = (None, None, f"missing part {e}", None)
                 except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, IndexError) as e:
-                    row = (None, None, str(e))
+                    row = (None, None, str(e), None)
                 for name, value in zip(rows, row, strict=True):
                     rows[name].append(value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "name", "kind", "size")), pa.array(rows["text"], pa.string()), pa.array(rows["sheet_names"], pa.list_(pa.string())), pa.array(rows["error"], pa.string())], names=["path", "name", "kind", "size", "text", "sheet_names", "error"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "name", "kind", "size")), pa.array(rows["text"], pa.string()), pa.array(rows["sheet_names"], pa.list_(pa.string())), pa.array(rows["error"], pa.string()), pa.array(rows["pages"], pa.int32())], names=["path", "name", "kind", "size", "text", "sheet_names", "error", "pages"])
 
     packed = files.where(~F.col("kind").isin("txt", "csv")).mapInArrow(run, "path string, name string, kind string, size long, " + EXTRACTED)
-    lines = F.concat(F.size(F.split("text", "\n", -1)).cast("string"), F.lit(" lines"))
-    sheets = F.concat(F.size("sheet_names").cast("string"), F.when(F.size("sheet_names") == 1, " sheet").otherwise(" sheets"))
-    detail = F.when(F.col("kind") == "xlsx", sheets).otherwise(lines)
-    return plain.unionByName(packed).withColumn("detail", detail).withColumn("delimiter", F.when(F.col("kind") == "xlsx", DELIMITER))
+    lines = F.concat(F.format_number(F.size(F.split("text", "\n", -1)), 0), F.lit(" lines"))
+    words = F.concat(F.format_number(F.size(F.filter(F.split("text", portable(r"\s+")), lambda w: w != "")), 0), F.lit(" words"))
+    detail = F.when(F.col("kind") == "xlsx", _counted(F.size("sheet_names"), "sheet")).when(F.col("kind") == "pdf", _counted(F.col("pages"), "page")).when(F.col("kind") == "docx", words).otherwise(lines)
+    return plain.unionByName(packed).withColumn("detail", detail).withColumn("delimiter", F.when(F.col("kind") == "xlsx", DELIMITER)).drop("pages")
 
 
 def cleaned_files(files: DataFrame) -> DataFrame:
