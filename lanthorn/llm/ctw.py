@@ -17,8 +17,8 @@ Run over blocks of documents:
    are weighted from the leaves up to depth ``split``; the nodes above are joined as tables;
    then the mixture's weights go down to the leaves, which gives the log probability of
    every string.
-3. The values return to their blocks, a group at a time; blocks add them up for each
-   document.
+3. The values return to their blocks, a group at a time: each group gets those of its own
+   words and strings, not the model. Blocks add them up for each document.
 
 No model is broadcast or collected. What moves follows the distinct strings of the blocks,
 so it grows with the input. Words are told apart by 64-bit hashes.
@@ -254,17 +254,30 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return every, np.bincount(inverse, counts, minlength=len(every)).astype(np.int64)
 
 
-def _one_row(table: pa.Table, **columns) -> pa.Table:
-    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), **columns})
-
-
 def _sums(table: pa.Table) -> pa.Table:
-    """The sums of a bucket's rows, and how many keys have a count."""
+    """The distinct keys of a bucket in a group of blocks, and their summed counts."""
     every, counts = _merged(table)
-    return _one_row(table, keys=pa.array([_pack(every.tobytes())], pa.binary()), counts=pa.array([_pack(counts.tobytes())], pa.binary()), distinct=pa.array([int((counts > 0).sum())], pa.int64()))
+    first = table.slice(0, 1)
+    return pa.table({"bucket": first.column("bucket"), "group": first.column("group"), "keys": pa.array([_pack(every.tobytes())], pa.binary()), "counts": pa.array([_pack(counts.tobytes())], pa.binary())})
+
+
+_SUMS = "bucket int, group int, keys binary, counts binary"
+_SHARES = "bucket int, group int, keys binary, of binary"
 
 
-_SUMS = "bucket int, keys binary, counts binary, distinct long"
+def _shares(table: pa.Table, every: np.ndarray, values: np.ndarray) -> pa.Table:
+    """For each group of blocks the values of the bucket's keys that it holds, and no more:
+    what goes back to the groups is as large as what came from them, however large the model."""
+    of = [_pack(values[np.searchsorted(every, _unpack(k.as_py(), U))].tobytes()) for k in table.column("keys")]
+    return pa.table({"bucket": table.column("bucket"), "group": table.column("group"), "keys": table.column("keys"), "of": pa.array(of, pa.binary())})
+
+
+def _word_shares(table: pa.Table) -> pa.Table:
+    """Each group's share of a bucket's word counts. ``distinct``, the number of keys with a
+    count, stands in one of the rows."""
+    every, counts = _merged(table)
+    distinct = [int((counts > 0).sum())] + [0] * (table.num_rows - 1)
+    return _shares(table, every, counts).append_column("distinct", pa.array(distinct, pa.int64()))
 
 
 def _values(kind: type):
@@ -337,7 +350,7 @@ def _string_logs(p: Tree):
         every, counts = _merged(left)
         order = np.argsort(right.column("node").to_numpy())
         logs = Subtrees(every, counts, p).log_probabilities(*(right.column(c).to_numpy()[order] for c in ("above", "remains")))
-        return _one_row(left, keys=pa.array([_pack(every.tobytes())], pa.binary()), of=pa.array([_pack(logs.tobytes())], pa.binary()))
+        return _shares(left, every, logs)
 
     return run
 
@@ -451,15 +464,14 @@ def text_scores(docs: DataFrame, learns=None, key: str = "doc_id", text: str = "
     groups = blocks // p.blocks_a_group + 1
     kind = lambda k: table.select("block", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"), F.inline(k))
     summed = lambda k: written(kind(k).groupBy("bucket", "group").applyInArrow(_sums, _SUMS))
-    to_groups = lambda model: model.withColumn("group", F.explode(F.expr(f"sequence(0, {groups - 1})"))).groupBy("bucket", "group")
-    back = lambda k, model, of: kind(k).groupBy("bucket", "group").cogroup(to_groups(model)).applyInArrow(_values(of), "block long, bucket int, vals binary").withColumn("kind", F.lit(k))
-    words_of = written(summed("word").groupBy("bucket").applyInArrow(_sums, _SUMS))
+    back = lambda k, shares, of: kind(k).groupBy("bucket", "group").cogroup(shares.groupBy("bucket", "group")).applyInArrow(_values(of), "block long, bucket int, vals binary").withColumn("kind", F.lit(k))
+    words_of = written(summed("word").groupBy("bucket").applyInArrow(_word_shares, _SHARES + ", distinct long"))
     v_all = words_of.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] + (n_end > 0)
     strings_of = summed("string")
     upper = written(strings_of.groupBy("bucket").applyInArrow(_upper_nodes(p), "bucket int, node long, n0 double, n1 double, total double"))
     above = written(_weights_above(upper, p))
-    logs = strings_of.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_string_logs(p), "bucket int, keys binary, of binary")
-    values = back("word", words_of.select("bucket", "keys", F.col("counts").alias("of")), np.int64).unionByName(back("string", logs, np.float64))
+    logs = strings_of.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_string_logs(p), _SHARES)
+    values = back("word", words_of.drop("distinct"), np.int64).unionByName(back("string", logs, np.float64))
     scored = heads.select("block", "doc").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(p, n_words + n_end, v_all, n_end), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_words + n_end).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

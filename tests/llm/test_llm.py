@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,17 @@ def test_ctw_against_brute_force(spark):
         assert got[i]["score"] == pytest.approx(brute_ctw([b" ".join(split[k]) + b"\n" for k in learn], b" ".join(split[i]) + b"\n", 3))
 
 
+def test_ctw_groups_get_their_own_share():
+    """Of a bucket's values a group of blocks gets those of its keys, each once."""
+    held = {0: ([1, 5, 9], [2, 0, 1]), 1: ([5, 7], [3, 0]), 2: ([7], [0])}
+    pack = lambda v, t: ctw._pack(np.array(v, t).tobytes())
+    table = pa.table({"bucket": pa.array([4] * 3, pa.int32()), "group": pa.array(list(held), pa.int32()), "keys": pa.array([pack(k, np.uint64) for k, _ in held.values()]), "counts": pa.array([pack(c, np.int64) for _, c in held.values()])})
+    shares = ctw._word_shares(table).to_pylist()
+    got = {r["group"]: (ctw._unpack(r["keys"], np.uint64).tolist(), ctw._unpack(r["of"], np.int64).tolist()) for r in shares}
+    assert got == {0: ([1, 5, 9], [2, 3, 1]), 1: ([5, 7], [3, 0]), 2: ([7], [0])}
+    assert sum(r["distinct"] for r in shares) == 3
+
+
 @pytest.mark.parametrize("depth, split", [(2, 1), (5, 2), (5, 3), (6, 3), (7, 4)])
 def test_ctw_depths_against_brute_force(spark, depth, split):
     texts = ["abcabcabcd abcabcabce", "xabcabcabcd", "the cat sat on the cat", "cat sat on thecat", "é日 abcabc"]
