@@ -145,7 +145,10 @@ def matched_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """``(doc_id, n_words, item_id, item_words, matched_words, tiles)``: a row for each
     document and item that share a seed, and for each block one row with a null item
     for a document with none. Null and empty texts have no words; items of fewer words
-    than a seed can't match."""
+    than a seed can't match. Repeated rows, of documents or items, each give rows of their
+    own. A very long text is one row of its task, and its memory follows its length; one that
+    repeats itself meets an item at every repeat, so its time follows the product. Other columns
+    don't matter, whatever their names. An empty table gives an empty result."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("matched_words", pa.int64()), ("tiles", pa.int64())])
     context = docs.sparkSession.sparkContext
     mine = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
@@ -171,7 +174,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """Per document id ``n_words``, ``n_items`` that are covered to the threshold, the
     best item (highest coverage, then smallest id) with its coverage, matched words and
     tiles, and ``contaminated``. Rows that share an id give one row, contaminated if any
-    of them is. An empty benchmark contaminates nothing."""
+    of them is; an item that several of them cover counts for each. An empty benchmark
+    contaminates nothing, an empty table gives an empty result. Very long and repetitive texts
+    and other columns are as in ``matched_items``."""
     rows = matched_items(docs, benchmark, key, text, item_key, item_text, p)
     covered = F.when(F.col("item_words") > 0, F.col("matched_words") / F.col("item_words")).otherwise(F.lit(0.0))
     rows = rows.withColumn("coverage", covered)

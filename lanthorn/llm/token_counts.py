@@ -94,7 +94,12 @@ def byte_pieces(content: str) -> set[bytes]:
 def token_counts(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text", prefix: bytes = b" ", limit: int = 300_000) -> DataFrame:
     """``(doc_id, n_words, n_tokens, n_unknown)`` for each row. Words are those of the
     lower-cased (A-Z) text, each preceded by ``prefix``. Null and empty texts have no
-    words. One pass without a shuffle; ``limit`` words are remembered at a time."""
+    words. White space isn't counted and capitals are lower-cased before counting, so the sum is
+    that of the words and not the length of an encoding of the text as it stands. A word that the
+    vocabulary can't spell counts as two tokens and in ``n_unknown``. Repeated rows repeat, ids
+    may be null or repeated. A very long text is one row of its task. An empty table gives an
+    empty result. Other columns don't matter, whatever their names. One pass without a shuffle;
+    ``limit`` words are remembered at a time."""
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
 

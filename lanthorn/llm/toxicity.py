@@ -192,7 +192,8 @@ def fit_all(rows: list[np.ndarray], y: np.ndarray, weigh: np.ndarray, first: lis
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (5, 0), key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED, most_terms: int = MOST_TERMS) -> Machine:
     """From the labelled documents that are not held out: at most ``most``, and in the order
     of their hashed ids only as far as they have ``most_terms`` terms together (four bytes
-    each), so one task can learn from them. Without any, every text gets the same score."""
+    each), so one task can learn from them. Without any, every text gets the same score; so it
+    is where the first row alone has more terms than ``most_terms``."""
     schema = pa.schema([("place", pa.int64()), ("label", pa.int32()), ("terms", pa.binary())])
 
     def run(source):

@@ -481,6 +481,47 @@ def brute_tiles(doc, item, least):
         out.append((t, d, n))
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 90])
+def test_contamination_against_brute_force(spark, block_bytes):
+    """Random documents and items over few words, so that matches cross, repeat and overlap;
+    with nulls, empty texts, repeated ids and rows, other columns with the same names."""
+    rng = random.Random(23)
+    said = lambda low, high: " ".join(rng.choice("Aa b c d".split()) for _ in range(rng.randint(low, high)))
+    items = [(k, said(0, 18), "x") for k in range(9)] + [(9, None, "x"), (10, "", "x")]
+    items.append(items[3])
+    cut = lambda t: " ".join(t.split()[rng.randint(0, 3) : rng.randint(6, 18)])
+    shuffled = lambda: " ".join([cut(rng.choice(items)[1] or ""), said(0, 4), cut(rng.choice(items)[1] or ""), said(0, 9)])
+    docs = [(k, shuffled() if k % 3 else said(0, 45), k) for k in range(40)] + [(40, None, 0), (41, "", 0), (5, said(20, 30), 0), (6, said(20, 30), 0)]
+    docs.append(docs[7])
+    p = decontam.Tiling(coverage=0.6, block_bytes=block_bytes)
+    bench = spark.createDataFrame(items, "item_id long, text string, n_words string")
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id long")
+    split = lambda t: (t or "").lower().split()
+    pairs, n_items, known = [], Counter(), {}
+    best = {i: (0.0, float("-inf")) for i, _, _ in docs}
+    for i, text, _ in docs:
+        for j, item, _ in items:
+            found = brute_tiles(split(text), split(item), p.least)
+            if found:
+                matched, size = sum(n for _, _, n in found), len(split(item))
+                pairs.append((i, len(split(text)), j, size, matched, len(found)))
+                n_items[i] += matched / size >= p.coverage
+                best[i] = max(best[i], (matched / size, -j))
+                known.setdefault((i, j, matched), set()).add(len(found))
+    got = [tuple(r) for r in decontam.matched_items(df, bench, p=p).where("item_id is not null").collect()]
+    assert sorted(got) == sorted(pairs)
+    assert len(pairs) > 40
+    out = {r["doc_id"]: r for r in decontam.contamination(df, bench, p=p).collect()}
+    assert set(out) == set(best)
+    for i, (cover, j) in best.items():
+        r = out[i]
+        assert (r["n_items"], r["contaminated"]) == (n_items[i], n_items[i] > 0) and r["coverage"] == pytest.approx(cover)
+        assert not cover or (r["item_id"] == -j and r["tiles"] in known[i, -j, r["matched_words"]])
+    kept = [r["doc_id"] for r in decontam.keep_clean(df, bench, p=p).collect()]
+    clean = lambda text: all(sum(n for _, _, n in brute_tiles(split(text), split(item), p.least)) < p.coverage * len(split(item)) for _, item, _ in items if split(item))
+    assert sorted(kept) == sorted(i for i, text, _ in docs if clean(text)) and 0 < len(kept) < len(docs)
+
+
 def test_tiling_against_brute_force():
     rng = random.Random(11)
     for _ in range(60):
