@@ -44,11 +44,11 @@ def _alternatives(group: str) -> list[str]:
 def starts_with_word(pattern: str) -> bool:
     """Whether what the pattern matches surely starts with a word character; a simple
     reading that says no where it can't tell."""
-    if pattern[:2] == "\\d" or pattern[:1].isalnum():
+    if pattern[:2] == "\\d" or (pattern[:1].isascii() and pattern[:1].isalnum()):
         return pattern[2 if pattern[:1] == "\\" else 1 :][:1] not in ("?", "*") and pattern[1:3] != "{0"
     if pattern[:1] == "[":
         end = pattern.index("]", 2)
-        return all(c.isalnum() or c == "_" or (c == "-" and 1 < k < end - 1) for k, c in enumerate(pattern[1:end], 1)) and pattern[end + 1 : end + 2] not in ("?", "*")
+        return all((c.isascii() and c.isalnum()) or c == "_" or (c == "-" and 1 < k < end - 1) for k, c in enumerate(pattern[1:end], 1)) and pattern[end + 1 : end + 2] not in ("?", "*")
     if pattern[:3] == "(?:":
         depth, i = 0, 0
         while i < len(pattern):
