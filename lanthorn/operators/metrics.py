@@ -125,12 +125,21 @@ def newest(df: DataFrame, order: str, *by: str, rows: int = 200) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("__n") <= rows).drop("__n")
 
 
+def delta_of(rows: DataFrame, before: Column, after: Column, key: str = "doc_id") -> DataFrame:
+    """How many findings a second scan withdrew and added, by place and value, where a row says
+    whether it is of the first scan and of the second. The rows are made once and not joined."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    held = rows.groupBy(key, "start", "value").agg(n(before).alias("__before"), n(after).alias("__after"))
+    # What has no place or no value equals nothing.
+    alone = lambda other: (F.col(other) == 0) | F.col(key).isNull() | F.col("start").isNull() | F.col("value").isNull()
+    only = lambda mine, other: F.sum(F.when(alone(other), F.col(mine)).otherwise(F.lit(0)))
+    return held.groupBy(key).agg(only("__before", "__after").alias("withdrawn"), only("__after", "__before").alias("added")).where("withdrawn > 0 or added > 0")
+
+
 def delta(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFrame:
     """How many findings a second scan withdrew and added, by place and value."""
-    on = [key, "start", "value"]
-    gone = before.join(after.select(*on), on, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("withdrawn"))
-    new = after.join(before.select(*on), on, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("added"))
-    return gone.join(new, key, "full").select(key, F.coalesce("withdrawn", F.lit(0)).alias("withdrawn"), F.coalesce("added", F.lit(0)).alias("added"))
+    of = lambda df, first: df.select(key, "start", "value", F.lit(first).alias("__first"))
+    return delta_of(of(before, True).unionAll(of(after, False)), F.col("__first"), ~F.col("__first"), key)
 
 
 def corpus_score(found: DataFrame, expected: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
