@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from test_spans import _texts
@@ -39,3 +41,20 @@ def test_the_scan_searches_no_rule_in_expressions(spark, capsys):
     scan(df).select("candidates").explain()
     plan = capsys.readouterr().out
     assert "regexp_replace(" not in plan and plan.count("ArrowEvalPython") == 2  # rules, entities
+
+
+def test_marks_and_letters_of_odd_case(spark):
+    texts = ["﷐ CUST-123 ﷐mail a@b.co﷐", "ſr-1234 Caſe 12345 ticKet 777 KEY=İ ticKet 999", "b@c.de é x@y.zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: [(c["rule"], c["value"], c["start"]) for layer in LAYERS for c in r["r"][layer]] for r in df.select("id", rule_candidates(F.col("text"), LAYERS).alias("r")).collect()}
+    for i, text in enumerate(texts):
+        want = [(r.name, v, at) for _, r in RULES.values() if r.check is None for v, at in plain_matches(r, text)]
+        assert [x for x in got[i] if x[0] in {r.name for _, r in RULES.values() if r.check is None}] == want and want
+
+
+def test_time_follows_the_length(spark):
+    """One text of many labels: a search that starts anew at each of them reads it thousands of times."""
+    df = spark.range(1).select(F.expr("repeat('ab.', 30000) || ' .local'").alias("text"))
+    began = time.time()
+    (row,) = df.select(rule_candidates(F.col("text"), {"business": [RULES["domain"][1]]}).alias("r")).collect()
+    assert not row["r"]["business"] and time.time() - began < 10
