@@ -113,7 +113,8 @@ def _held(terms: tuple[str, ...]) -> str:
     return f"len(list_filter([{', '.join(map(q, terms))}], lambda t: contains(lower, t)))"
 
 
-def _class_sql() -> str:
+def _class_sql(read: str) -> str:
+    """Classes by what is read of a text."""
     rows = []
     for k, c in enumerate(CLASSES):
         pattern = lambda p: f"regexp_matches(sample, {re2(p[1:]) if p.startswith('=') else re2(p, True)})::int"
@@ -121,13 +122,13 @@ def _class_sql() -> str:
         if c.against:
             raw += f" - 0.35::double * {_held(c.against)}"
         rows.append(f"select doc_id, {q(c.dimension)} as dimension, {q(c.id)} as id, {k} as k, {raw} as raw from t")
-    return f"""with t as materialized (select doc_id, substr(text, 1, 20000) as sample, lower(substr(text, 1, 20000)) as lower from ({PAPERS_SQL})), c as ({' union all '.join(rows)}),
+    return f"""with t as materialized (select doc_id, {read} as sample, lower({read}) as lower from ({PAPERS_SQL})), c as ({' union all '.join(rows)}),
 x as (select *, case when raw <= 0 then 0.0::double else 1 - exp(-raw / 0.8) end as confidence from c) select doc_id, dimension, id, round(confidence, 6) as confidence from x where confidence >= 0.45"""
 
 
 def _accuracy_sql() -> str:
     known = ", ".join(f"({k}, {q(c.dimension)}, {q(c.id)})" for k, c in enumerate(CLASSES))
-    return f"""with c as ({_class_sql()}), v as (select * from (values {known}) as v(k, dimension, id)),
+    return f"""with c as ({_class_sql("substr(text, 1, 20000)")}), v as (select * from (values {known}) as v(k, dimension, id)),
 p as (select c_custkey + {PAPERS_FROM} as doc_id, v.dimension, v.id as truth from customer join v on v.k = c_custkey % {len(CLASSES)}),
 r as (select p.*, c.id, row_number() over (partition by p.doc_id order by c.confidence desc, v.k) as place from p left join c on c.doc_id = p.doc_id and c.dimension = p.dimension left join v on v.id = c.id and v.dimension = c.dimension),
 d as (select doc_id, dimension, max((place = 1 and id = truth)::int) as first, max((place <= 3 and id = truth)::int) as near from r group by 1, 2)
@@ -193,7 +194,7 @@ pieces as (select doc_id, before as pos, 0 as k, substr(text, before::bigint + 1
 from (select count(*) filter (toxic = 1 and score > 0) as a, count(*) filter (toxic <> 1 and score > 0) as b, count(*) filter (toxic = 1 and score <= 0) as c from labels join risk using (doc_id))""", _RISK),
     "url_signals": """with p as (select page_id, url, string_split(url, '/') as s from pages), x as (select page_id, contains(url, '?') or contains(url, '#') or len(list_filter(s[4:], lambda v: length(v) >= 20 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]'))) > 0 as carries from p)
 select page_id, case when carries then 'link-carries-data' else 'public-link' end as signal, case when carries then 0.05::double else -0.45::double end as weight from x""",
-    "class_confidence": _class_sql(),
+    "class_confidence": _class_sql("text"),
     "class_accuracy": _accuracy_sql(),
     "heading_lines": _HEADINGS,
     "roadmap_rows": f"select * from (select doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, {re2(ROADMAP_ROW, True)}))) as n from ({CORPUS_SQL} union all {PAPERS_SQL})) where n > 0",
